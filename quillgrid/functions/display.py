@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .numbers import coerced_number, is_numeric
+from .numbers import coerced_number, fixed, is_numeric
 from .text import as_text, neutralise
 
 # Signs printed for a currency code in US English.
@@ -94,7 +94,7 @@ def comparison(value: Column, previous: float | None = None, target: float | Non
         nothing = F.lit(None)
         return {"diff": nothing.cast("double"), "pct_change": nothing.cast("double"), "direction": nothing.cast("string"), "change_text": nothing.cast("string")}
     diff = num - F.lit(float(base))
-    pct = F.round(diff / F.abs(F.lit(float(base))) * 100, 1)
+    pct = fixed(diff / F.abs(F.lit(float(base))) * 100, 1)
     sign = F.when(diff > 0, F.lit("+")).otherwise(F.lit(""))
     text = (
         F.concat(sign, F.format_string("%.1f", pct), F.lit("%"))

@@ -45,6 +45,17 @@ def finite(d: Column) -> Column:
     return F.when(F.abs(d) < float("inf"), d)
 
 
+def fixed(d: Column, places: int) -> Column:
+    """A double rounded by its exact binary value, ties away from zero.
+
+    ``round`` decides on the shortest decimal instead, which turns 0.00015, stored slightly below, into 0.0002. Number
+    formatting decides on the exact value; only true ties, which are multiples of a power of two, go the other way.
+    """
+    exact = F.replace(F.format_number(d, places), F.lit(","), F.lit("")).cast("double")
+    steps = d * 2.0 ** (places + 1)
+    return F.when(steps == F.rint(steps), F.round(d, places)).otherwise(exact)
+
+
 def cell_number(c: Column, dtype: T.DataType) -> Column:
     """A cell of any type as a double for comparing and aggregating; null when it is no number."""
     if isinstance(dtype, T.BooleanType):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import fixed
 from .text import trimmed
 
 NAME_LIMIT = 128
@@ -51,4 +52,4 @@ def name_similarity(a: Column, b: Column) -> Column:
     edits = F.greatest(F.lit(0.0), 1 - edit_distance(x, y) / longest)
     contained = ((F.length(x) >= 3) & y.contains(x)) | ((F.length(y) >= 3) & x.contains(y))
     blend = 0.4 * edits + 0.5 * token_overlap(x, y) + F.when(contained, 0.2).otherwise(0.0)
-    return F.when(x == y, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(blend, 3))))
+    return F.when(x == y, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), fixed(blend, 3))))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..functions.similarity import name_similarity
 from ..functions.text import FORBIDDEN_KEYS
 
@@ -126,7 +127,7 @@ def scored_renames(comparison: DataFrame) -> DataFrame:
         .when(coercible(F.col("expected_type"), F.col("actual_type")), COERCIBLE_TYPE)
         .otherwise(OTHER_TYPE)
     )
-    return pairs.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(alike + fit, 3))))
+    return pairs.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), fixed(alike + fit, 3))))
 
 
 def _pick_renames(scores: pd.DataFrame) -> pd.DataFrame:
@@ -177,7 +178,7 @@ def verdict(comparison: DataFrame, renames: DataFrame) -> DataFrame:
         "n_missing",
         "n_added",
         ((F.col("n_missing") > F.col("n_trusted")) | (F.col("n_incompatible") > 0)).alias("breaking"),
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(score, 3))).alias("overall_confidence"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), fixed(score, 3))).alias("overall_confidence"),
     )
 
 

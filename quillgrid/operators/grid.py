@@ -22,8 +22,8 @@ LAST_CANDIDATE, HEAD_ROWS, LOOK_AHEAD = 20, 26, 5
 MAX_COLUMNS, HEADER_LENGTH, NOTE_LENGTH, SUBTOTAL_LENGTH = 200, 256, 30, 60
 
 
-def _number_text(t: Column) -> Column:
-    return t.rlike(NUMBER_TEXT) | t.rlike("^0[xX][0-9a-fA-F]+$|^0[oO][0-7]+$|^0[bB][01]+$")
+# Text that reads as a number, radix literals included.
+_NUMERIC_LOOK = NUMBER_TEXT + "|^0[xX][0-9a-fA-F]+$|^0[oO][0-7]+$|^0[bB][01]+$"
 
 
 def _filled(cells: Column) -> Column:
@@ -128,9 +128,11 @@ def _scored_head(grid: DataFrame) -> DataFrame:
     """The first rows of every sheet with their score as a header; null where a row cannot be one."""
     rows = row_flags(grid.where(F.col("row_idx") < HEAD_ROWS), F.lit(MAX_COLUMNS))
     filled = F.col("filled")
-    words = F.size(F.filter(filled, lambda c: (c["kind"] == "string") & ~_number_text(c["raw"])))
-    texts = F.size(F.filter(filled, lambda c: c["kind"] == "string"))
-    data = F.size(F.filter(filled, lambda c: (c["kind"] != "string") | _number_text(c["raw"])))
+    looks = F.transform(filled, lambda c: F.struct((c["kind"] == "string").alias("text"), c["raw"].rlike(_NUMERIC_LOOK).alias("number")))
+    rows = rows.withColumn("looks", looks)
+    words = F.size(F.filter("looks", lambda c: c["text"] & ~c["number"]))
+    texts = F.size(F.filter("looks", lambda c: c["text"]))
+    data = F.size(F.filter("looks", lambda c: ~c["text"] | c["number"]))
     rows = rows.select(
         *ROW_KEY, "cells", "filled", "is_blank", "is_subtotal",
         F.size("cells").alias("width"),
@@ -139,7 +141,7 @@ def _scored_head(grid: DataFrame) -> DataFrame:
         texts.alias("n_texts"),
         data.alias("n_data"),
         F.size(F.array_distinct(F.transform("filled", lambda c: c["raw"]))).alias("n_distinct"),
-        F.size(F.filter(filled, lambda c: ~_number_text(c["raw"]))).alias("n_labels"),
+        F.size(F.filter("looks", lambda c: ~c["number"])).alias("n_labels"),
     )
     sheet = Window.partitionBy(*SHEET_KEY)
     ahead = sheet.orderBy("row_idx").rangeBetween(1, LOOK_AHEAD)
@@ -174,7 +176,7 @@ def _sheet_heads(grid: DataFrame) -> DataFrame:
     best = best.select(
         *SHEET_KEY,
         F.coalesce(-F.col("best.up"), F.lit(0).cast("bigint")).alias("header_row"),
-        F.when(F.col("width") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.round(score, 2))).alias("confidence"),
+        F.when(F.col("width") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.floor(score * 100 + 0.5) / 100)).alias("confidence"),
         "width",
         "rows",
     )

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..functions.text import as_text, normalised
 from .profile import describe_columns
 
@@ -101,7 +102,7 @@ def find_join_candidates(
         F.count_if(in_a).alias("size_a"), F.count_if(in_b).alias("size_b"), F.count_if(in_a & in_b).alias("common")
     )
     least = F.least("size_a", "size_b")
-    kept = sizes.withColumn("overlap_ratio", F.round(F.col("common") / least, 4)).where(
+    kept = sizes.withColumn("overlap_ratio", fixed(F.col("common") / least, 4)).where(
         (F.col("common") >= 1) & (F.col("overlap_ratio") > LEAST_OVERLAP)
     )
     # ``kept`` has one row per column pair. Its names are constants looked up by pair number.
@@ -133,7 +134,7 @@ def find_join_candidates(
         ends(1, 3).alias("source_column"),
         ends(2, 0).alias("target_table"),
         ends(3, 1).alias("target_column"),
-        F.least(F.lit(1.0), F.round(confidence, 2)).alias("confidence"),
+        F.least(F.lit(1.0), fixed(confidence, 2)).alias("confidence"),
         "overlap_ratio",
         F.transform("matches", lambda m: m["value"]).alias("sample_matches"),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
-from ..functions.numbers import CURRENCY_SIGNS, NUMBER_TEXT, coerced_number, finite, is_finite_number, is_numeric, parse_numeric
+from ..functions.numbers import CURRENCY_SIGNS, NUMBER_TEXT, coerced_number, finite, fixed, is_finite_number, is_numeric, parse_numeric
 from ..functions.text import as_text, category_label, normalised, plain_number, sample_label, trimmed
 from .median import by_ordinal, lower_medians
 
@@ -44,7 +44,7 @@ def profiled_columns(df: DataFrame, original_names: dict[str, str] | None = None
     out = []
     for i, f in enumerate(df.schema.fields):
         dtype, slot, kind = f.dataType, "txt", "number" if is_numeric(f.dataType) else "other"
-        if isinstance(dtype, (T.DateType, T.TimestampType)):
+        if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             slot, kind = "lng", "date" if isinstance(dtype, T.DateType) else "timestamp"
         elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             slot = "lng"
@@ -68,7 +68,7 @@ def value_counts(df: DataFrame, order: Column | None = None) -> DataFrame:
         c, dtype = F.col(f"`{col.key}`"), df.schema[col.key].dataType
         cells = {slot: F.lit(None).cast(kind) for slot, kind in empty.items()}
         if col.kind == "timestamp":
-            cells["lng"] = F.unix_micros(c)
+            cells["lng"] = F.unix_micros(c.cast("timestamp"))
         elif col.kind == "date":
             cells["lng"] = F.unix_date(c).cast("bigint")
         elif col.slot == "lng":
@@ -242,7 +242,7 @@ def column_facts(counts: DataFrame, columns: list[ProfiledColumn], kinds_by_look
     key, original = _by_ordinal([c.key for c in columns]), _by_ordinal([c.original_name for c in columns])
     counted = _counters(counts, columns, kinds_by_look).select("*", key.alias("column_key"), original.alias("original_name"))
     name = F.lower(F.concat_ws(" ", "original_name", "column_key"))
-    ratio = F.least(F.lit(1.0), F.round(F.col("distinct_count") / F.col("total_count"), 4))
+    ratio = F.least(F.lit(1.0), fixed(F.col("distinct_count") / F.col("total_count"), 4))
     typed = counted.withColumn("rule", _type_rules(name, F.col("column_key"))).withColumn("uniqueness_ratio", ratio)
     named_code = F.nullif(F.upper(F.regexp_extract(name, V.CURRENCY_CODE_WORD, 1)), F.lit(""))
     all_codes = [*V.CURRENCY_OF_SIGN.values(), *V.CURRENCY_CODES]
@@ -308,7 +308,7 @@ def top_values(counts: DataFrame, columns: list[ProfiledColumn], facts: list[Row
     """Up to 50 most frequent values of category, boolean and few-valued columns, ties by first appearance."""
     wanted = [f["ordinal"] for f in facts if f["inferred_type"] in ("category", "boolean") or f["distinct_count"] <= FEW_DISTINCT]
     ranked = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("first_seen"))
-    share = F.least(F.lit(100.0), F.round(F.col("n") / F.lit(facts[0]["total_count"]) * 100, 2))
+    share = F.least(F.lit(100.0), fixed(F.col("n") / F.lit(facts[0]["total_count"]) * 100, 2))
     # Spark keeps the first 50 rows of a column in every task before it shuffles for the ranking.
     return (
         counts.where(F.col("ordinal").isin(wanted))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import comparison
-from ..functions.numbers import is_numeric
+from ..functions.numbers import fixed, is_numeric
 from ..operators.aggregates import Measure, aggregate, order_by, page_of, text_of
 from ..operators.filters import bound_filters, where_all
 
@@ -62,7 +62,7 @@ def donut(df: DataFrame, dimension: str, measure: str, aggregation: str = "sum",
     value = F.col(top.columns[1]).cast("double")
     # The window without a key runs after the limit, over at most ``slices`` rows.
     total = F.sum(value).over(Window.partitionBy())
-    return top.withColumn("share", F.when(total > 0, F.round(value / total * 100, 1)))
+    return top.withColumn("share", F.when(total > 0, fixed(value / total * 100, 1)))
 
 
 def record_table(df: DataFrame, columns: Iterable[str], sort: tuple[str, str] | None = None, search: str | None = None, limit: int = TABLE_LIMIT, ties: Iterable[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import FORBIDDEN_KEYS, KEY_PATTERN, header_key
 from ..operators.grid import normalise_grid
-from ..session import shared_folder
+from ..session import stored
 from .delimited import read_grid
 
 
@@ -57,10 +57,7 @@ def ingest_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
     The parsed grid is written once to the shared folder, since normalising reads it several times; column pruning and
     the filter on the first rows then work on Parquet.
     """
-    folder = shared_folder(spark)
-    grid = read_grid(spark, paths)
-    grid.write.parquet(folder)
-    return normalise_grid(spark.read.schema(grid.schema).parquet(folder))
+    return normalise_grid(stored(read_grid(spark, paths)))
 
 
 def same_schema(headers: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,13 +33,13 @@ def _admit(log: list[int], now: int, limit: int, window: int) -> tuple[bool, int
     return True, limit - len(log), 0
 
 
-def _quiet_runs(events: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Events with the number of their run: a run ends where a key is silent for a whole window.
+def _quiet_runs(moments: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Moments ``(keys, _ms, _n)`` with the number of their run: a run ends where a key is silent for a whole window.
 
     No admitted event outlives such a silence, so runs are decided independently. They are found from one row per key
-    and window-long slot, so a busy key's events are not brought together to find them.
+    and window-long slot.
     """
-    slotted = events.withColumn("_slot", F.floor(F.col("_ms") / window))
+    slotted = moments.withColumn("_slot", F.floor(F.col("_ms") / window))
     slots = slotted.groupBy(*keys, "_slot").agg(F.min("_ms").alias("first_ms"), F.max("_ms").alias("last_ms"))
     by_time = Window.partitionBy(*keys).orderBy("_slot")
     silent = F.col("first_ms") - F.lag("last_ms").over(by_time) >= window
@@ -46,34 +47,71 @@ def _quiet_runs(events: DataFrame, keys: list[str], window: int) -> DataFrame:
     return slotted.join(runs.select(*keys, "_slot", "_run"), [*keys, "_slot"]).drop("_slot")
 
 
+def _decide_moments(ms: np.ndarray, n: np.ndarray, log: list[int], limit: int, window: int) -> tuple[np.ndarray, ...]:
+    """Per moment of one run: room before it, and the wait of what is refused at it. ``log`` carries over.
+
+    While the log is full nothing is admitted until its oldest entry leaves, so those moments are passed in one step.
+    """
+    room, wait, i = np.zeros(len(ms), dtype="int64"), np.zeros(len(ms), dtype="int64"), 0
+    while i < len(ms):
+        now = int(ms[i])
+        while log and now - log[0] >= window:
+            log.pop(0)
+        free = limit - len(log)
+        if free > 0:
+            room[i] = free
+            log.extend([now] * min(int(n[i]), free))
+            wait[i] = window - (now - log[0])
+            i += 1
+        else:
+            until = i + int(np.searchsorted(ms[i:], log[0] + window))
+            wait[i:until] = window - (ms[i:until] - log[0])
+            i = until
+    return room, wait
+
+
 def admit_events(
     events: DataFrame, keys: list[str], time: str, limit: int, window_ms: int = WINDOW_MS, tie: str | None = None
 ) -> DataFrame:
-    """Every event with ``admitted``, ``remaining`` and ``retry_after_seconds``.
+    """Every event with ``admitted``, ``remaining`` and ``retry_after_seconds``; ``tie`` orders events of one moment.
 
-    Events of a run are decided in time order (``tie`` orders equal times) while they stream through a sorted
-    partition; what is held per run is at most ``limit`` times, however many events a key has.
+    What is decided in sequence is one row per key and millisecond with its number of events, so a key with a third of
+    all events costs no more than the time it spans; a silence of a whole window lets its parts run side by side. The
+    sequence streams through a sorted partition and holds at most ``limit`` times. Events then take their moment's
+    decision by their place within it.
     """
     columns = events.columns
     timed = events.withColumn("_ms", F.unix_millis(F.col(time).cast("timestamp")))
-    runs = _quiet_runs(timed, keys, window_ms)
-    order = [*keys, "_run", "_ms", *([tie] if tie else [])]
-    laid_out = runs.repartition(*keys, "_run").sortWithinPartitions(*order)
+    moments = timed.groupBy(*keys, "_ms").agg(F.count(F.lit(1)).alias("_n"))
+    laid_out = _quiet_runs(moments, keys, window_ms).repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_ms")
+    run_key = [*keys, "_run"]
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, log = None, []
         for batch in batches:
-            decisions = []
-            run_keys = list(zip(*(batch[k] for k in keys), batch["_run"]))
-            for run, now in zip(run_keys, batch["_ms"].tolist()):
+            starts = (batch[run_key] != batch[run_key].shift()).any(axis=1).to_numpy().nonzero()[0]
+            ms, n = batch["_ms"].to_numpy(), batch["_n"].to_numpy()
+            parts = []
+            runs = zip(*(batch[k].to_numpy()[starts] for k in run_key))
+            for run, at, end in zip(runs, starts, [*starts[1:], len(batch)]):
                 if run != current:
                     current, log = run, []
-                decisions.append(_admit(log, now, limit, window_ms))
-            decided = pd.DataFrame(decisions, columns=["admitted", "remaining", "retry_after_seconds"], index=batch.index)
-            yield pd.concat([batch[columns], decided], axis=1)
+                parts.append(_decide_moments(ms[at:end], n[at:end], log, limit, window_ms))
+            if parts:
+                room, wait = (np.concatenate(p) for p in zip(*parts))
+                yield batch[[*keys, "_ms"]].assign(_room=room, _wait=wait)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    return laid_out.mapInPandas(decide, f"{fields}, {_DECISION}")
+    key_fields = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
+    decided = laid_out.select(*run_key, "_ms", "_n").mapInPandas(decide, f"{key_fields}, _ms bigint, _room bigint, _wait bigint")
+    in_moment = Window.partitionBy(*keys, "_ms").orderBy(*([tie] if tie else [F.lit(0)]))
+    placed = timed.withColumn("_place", F.row_number().over(in_moment)).join(decided, [*keys, "_ms"])
+    admitted = F.col("_place") <= F.col("_room")
+    return placed.select(
+        *columns,
+        admitted.alias("admitted"),
+        F.when(admitted, F.col("_room") - F.col("_place")).otherwise(0).cast("int").alias("remaining"),
+        F.when(admitted, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.col("_wait") / 1000))).cast("int").alias("retry_after_seconds"),
+    )
 
 
 def admit_stream(
@@ -83,9 +121,9 @@ def admit_stream(
 
     Events are decided in time order inside a micro-batch; an event older than the watermark is dropped.
     """
-    key_fields = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     kept = [time, *([tie] if tie and tie not in keys else [])]
-    fields = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in kept)
+    fields = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in [*keys, *kept])
     names = [*keys, *kept, "admitted", "remaining", "retry_after_seconds"]
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,10 +132,8 @@ def admit_stream(
             return
         log = list(state.get[0]) if state.exists else []
         # One key's events of one micro-batch, whose size the source bounds.
-        pdf = pd.concat(list(batches)).sort_values(kept, kind="stable")
-        decisions = []
-        for now in (pdf[time].astype("datetime64[us]").astype("int64") // 1000).tolist():
-            decisions.append(_admit(log, now, limit, window_ms))
+        pdf = pd.concat(list(batches)).sort_values(["_ms", *kept[1:]], kind="stable")
+        decisions = [_admit(log, now, limit, window_ms) for now in pdf["_ms"].tolist()]
         state.update((log,))
         # Spark asks for a timeout after the present watermark.
         state.setTimeoutTimestamp(max(log[-1] + window_ms, state.getCurrentWatermarkMs() + 1))
@@ -105,12 +141,10 @@ def admit_stream(
         yield pd.concat([pdf[[*keys, *kept]], out], axis=1)[names]
 
     return (
-        events.select(*keys, *kept)
+        events.select(*keys, *kept, F.unix_millis(time).alias("_ms"))
         .withWatermark(time, lateness)
         .groupBy(*keys)
-        .applyInPandasWithState(
-            decide, f"{key_fields}, {fields}, {_DECISION}", "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .applyInPandasWithState(decide, f"{fields}, {_DECISION}", "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -143,6 +177,7 @@ def minute_quota(events: DataFrame, actor: str, action: str, time: str, action_l
 
 def minute_counts(events: DataFrame, actor: str, action: str, time: str, lateness: str | None = None) -> DataFrame:
     """Events per minute, actor and action; with ``lateness`` on a stream, minutes close once the watermark passes."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     if lateness is not None:
         events = events.withWatermark(time, lateness)
     minute = F.window(F.col(time), "1 minute")
