@@ -48,12 +48,15 @@ def finite(d: Column) -> Column:
 def fixed(d: Column, places: int) -> Column:
     """A double rounded by its exact binary value, ties away from zero.
 
-    ``round`` decides on the shortest decimal instead, which turns 0.00015, stored slightly below, into 0.0002. Number
-    formatting decides on the exact value; only true ties, which are multiples of a power of two, go the other way.
+    ``round`` decides on the shortest decimal, which turns 0.00015, stored slightly below, into 0.0002. Here the number
+    is split into two halves whose products with the power of ten are exact, so the comparison with one half is too.
     """
-    exact = F.replace(F.format_number(d, places), F.lit(","), F.lit("")).cast("double")
-    steps = d * 2.0 ** (places + 1)
-    return F.when(steps == F.rint(steps), F.round(d, places)).otherwise(exact)
+    scale = float(10**places)
+    size = F.abs(d)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    whole = F.floor(high * scale)
+    up = (high * scale - whole - 0.5) + (size - high) * scale >= 0
+    return F.signum(d) * (whole + up.cast("int")) / scale
 
 
 def cell_number(c: Column, dtype: T.DataType) -> Column:

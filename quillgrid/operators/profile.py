@@ -122,6 +122,14 @@ def _currency_index(t: Column) -> Column:
 
 def _counters(counts: DataFrame, columns: list[ProfiledColumn], kinds_by_look: bool) -> DataFrame:
     """One row per column with everything the type rules ask of the values. Patterns run once per distinct value."""
+    # A column of a table without rows still gets its row: one missing cell that counts for nothing.
+    unseen = counts.sparkSession.range(len(columns)).select(
+        F.col("id").cast("int").alias("ordinal"),
+        *[F.lit(None).cast(kind).alias(slot) for slot, kind in (("lng", "bigint"), ("dbl", "double"), ("txt", "string"))],
+        F.lit(0).cast("bigint").alias("n"),
+        F.lit(None).cast("bigint").alias("first_seen"),
+    )
+    counts = counts.unionByName(unseen)
     t, kind = F.col("txt"), _by_ordinal([c.kind for c in columns])
     timed = kind.isin("date", "timestamp") & F.col("lng").isNotNull()
     number = F.coalesce(F.when(kind == "number", F.col("lng").cast("double")), F.col("dbl"))
@@ -177,12 +185,12 @@ def _type_rules(name: Column, key: Column) -> Column:
     filled = F.col("n_filled")
 
     def share(counter: str) -> Column:
-        return F.col(counter) / filled
+        return F.try_divide(F.col(counter), filled)
 
     def graded(counter: str) -> Column:
         return F.least(F.lit(1.0), 0.85 + 0.15 * share(counter))
 
-    uniqueness = F.col("distinct_count") / filled
+    uniqueness = F.try_divide(F.col("distinct_count"), filled)
     numeric = F.col("n_numeric") == filled
     identifier = _has(name, V.IDENTIFIER)
     flag = name.contains("flag") | name.startswith("is_") | name.startswith("has_") | name.endswith("_met")
@@ -242,7 +250,7 @@ def column_facts(counts: DataFrame, columns: list[ProfiledColumn], kinds_by_look
     key, original = _by_ordinal([c.key for c in columns]), _by_ordinal([c.original_name for c in columns])
     counted = _counters(counts, columns, kinds_by_look).select("*", key.alias("column_key"), original.alias("original_name"))
     name = F.lower(F.concat_ws(" ", "original_name", "column_key"))
-    ratio = F.least(F.lit(1.0), fixed(F.col("distinct_count") / F.col("total_count"), 4))
+    ratio = F.coalesce(F.least(F.lit(1.0), fixed(F.try_divide(F.col("distinct_count"), F.col("total_count")), 4)), F.lit(0.0))
     typed = counted.withColumn("rule", _type_rules(name, F.col("column_key"))).withColumn("uniqueness_ratio", ratio)
     named_code = F.nullif(F.upper(F.regexp_extract(name, V.CURRENCY_CODE_WORD, 1)), F.lit(""))
     all_codes = [*V.CURRENCY_OF_SIGN.values(), *V.CURRENCY_CODES]
@@ -270,7 +278,7 @@ def column_facts(counts: DataFrame, columns: list[ProfiledColumn], kinds_by_look
 
 
 def describe_columns(df: DataFrame, order: Column | None = None, original_names: dict[str, str] | None = None, kinds_by_look: bool = False) -> DataFrame:
-    """Types, roles and counts of every column of a non-empty table."""
+    """Types, roles and counts of every column of a table."""
     return column_facts(value_counts(df, order), profiled_columns(df, original_names), kinds_by_look)
 
 
@@ -308,7 +316,7 @@ def top_values(counts: DataFrame, columns: list[ProfiledColumn], facts: list[Row
     """Up to 50 most frequent values of category, boolean and few-valued columns, ties by first appearance."""
     wanted = [f["ordinal"] for f in facts if f["inferred_type"] in ("category", "boolean") or f["distinct_count"] <= FEW_DISTINCT]
     ranked = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("first_seen"))
-    share = F.least(F.lit(100.0), fixed(F.col("n") / F.lit(facts[0]["total_count"]) * 100, 2))
+    share = F.least(F.lit(100.0), fixed(F.col("n") / F.lit(max(1, facts[0]["total_count"])) * 100, 2))
     # Spark keeps the first 50 rows of a column in every task before it shuffles for the ranking.
     return (
         counts.where(F.col("ordinal").isin(wanted))
@@ -350,7 +358,7 @@ def profile_table(
     kinds_by_look: bool = False,
     parts: Iterable[str] = ("stats", "top_values", "sample_values"),
 ) -> DataFrame:
-    """The profile of a non-empty table, one row per column in column order.
+    """The profile of a table, one row per column in column order.
 
     The distinct values are counted once and kept on the executors while the parts read them; a lost executor's share
     is counted again. What reaches the driver is one row per column, and at most 50 top values and 5 samples of each.

@@ -25,7 +25,7 @@ def _counts_sql(columns, table):
         f"""
         select {{i}} as ordinal, '{{c}}' as column_key, count(*) as total_count, count(*) - count({{c}}) as null_count,
                count(*) > count({{c}}) as nullable, count(distinct {{c}}) as distinct_count,
-               least(1, round(count(distinct {{c}}) / count(*), 4)) as uniqueness_ratio from {table}
+               printf('%.4f', count(distinct {{c}}) / count(*))::double as uniqueness_ratio from {table}
         """,
     )
 
@@ -84,7 +84,7 @@ def _tops_sql(columns, table, order):
         columns,
         f"""
         select * from (select '{{c}}' as column_key, {{c}}::varchar as value, count(*) as "count",
-                 round(count(*) * 100 / (select count(*) from {table}), 2) as percentage,
+                 printf('%.2f', count(*) / (select count(*) from {table}) * 100)::double as percentage,
                  row_number() over (order by count(*) desc, min({order})) as rank
                from {table} where {{c}} is not null group by {{c}}) where rank <= 50
         """,
@@ -237,7 +237,7 @@ select * from (
          case when common / na >= common / nb then '{ca}' else '{cb}' end as source_column,
          case when common / na >= common / nb then '{nb}' else '{na}' end as target_table,
          case when common / na >= common / nb then '{cb}' else '{ca}' end as target_column,
-         round(0.5 + 0.3 * round(common / least(na, nb), 4) + {bonus}, 2) as confidence, round(common / least(na, nb), 4) as overlap_ratio
+         printf('%.2f', 0.5 + 0.3 * printf('%.4f', common / least(na, nb))::double + {bonus})::double as confidence, printf('%.4f', common / least(na, nb))::double as overlap_ratio
   from n where common / least(na, nb) > 0.5)
 """
 
@@ -317,7 +317,7 @@ _auto(
     "auto_donut", "donut_breakdown_o_orderstatus",
     """
     with s as (select o_orderstatus, round(sum(o_totalprice), 2) as o_totalprice from orders group by 1)
-    select *, round(o_totalprice / (select sum(o_totalprice) from s) * 100, 1) as share from s
+    select *, printf('%.1f', o_totalprice / (select sum(o_totalprice) from s) * 100)::double as share from s
     """,
     o_totalprice=2,
 )

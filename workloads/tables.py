@@ -55,7 +55,7 @@ def kpi_avg_text(spark, sf):
 @query(
     "kpi_comparison",
     """
-    select s as o_totalprice, round(s - 1e9, 2) as diff, round((s - 1e9) / 1e9 * 100, 1) as pct_change,
+    select s as o_totalprice, round(s - 1e9, 2) as diff, printf('%.1f', (s - 1e9) / 1e9 * 100)::double as pct_change,
            case when s > 1e9 then 'positive' when s < 1e9 then 'negative' else 'neutral' end as direction
     from (select round(sum(o_totalprice), 2) as s from orders)
     """,
@@ -303,7 +303,7 @@ def bar_count(spark, sf):
     "donut_share",
     """
     with top as (select p_brand, sum(p_size)::bigint as p_size from part group by p_brand order by p_size desc, p_brand limit 7)
-    select p_brand, p_size, round(p_size::decimal(18,0) * 100 / (select sum(p_size) from top), 1) as share from top
+    select p_brand, p_size, printf('%.1f', p_size / (select sum(p_size) from top) * 100)::double as share from top
     """,
 )
 def donut_share(spark, sf):
