@@ -250,7 +250,7 @@ def column_facts(counts: DataFrame, columns: list[ProfiledColumn], kinds_by_look
     key, original = _by_ordinal([c.key for c in columns]), _by_ordinal([c.original_name for c in columns])
     counted = _counters(counts, columns, kinds_by_look).select("*", key.alias("column_key"), original.alias("original_name"))
     name = F.lower(F.concat_ws(" ", "original_name", "column_key"))
-    ratio = F.coalesce(F.least(F.lit(1.0), fixed(F.try_divide(F.col("distinct_count"), F.col("total_count")), 4)), F.lit(0.0))
+    ratio = F.coalesce(fixed(F.try_divide(F.col("distinct_count"), F.col("total_count")), 4), F.lit(0.0))
     typed = counted.withColumn("rule", _type_rules(name, F.col("column_key"))).withColumn("uniqueness_ratio", ratio)
     named_code = F.nullif(F.upper(F.regexp_extract(name, V.CURRENCY_CODE_WORD, 1)), F.lit(""))
     all_codes = [*V.CURRENCY_OF_SIGN.values(), *V.CURRENCY_CODES]

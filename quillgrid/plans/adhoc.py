@@ -48,6 +48,7 @@ def check_sql(sql: str) -> None:
 
 def check_names(sql: str, columns: list[str], tables: list[str]) -> None:
     """Raise ValueError when a quoted name is neither a table, a column, an alias nor a usual result name."""
+    sql = re.sub(r"'(?:\'\'|[^'])*'", " ", sql)
     known = {c.lower() for c in columns} | {t.lower() for t in tables}
     known |= {m.lower() for m in re.findall(r'\b(?:from|join)\s+"([^"]+)"', sql, re.IGNORECASE)}
     known |= {m.lower() for m in re.findall(r'\bas\s+"([^"]+)"', sql, re.IGNORECASE)}

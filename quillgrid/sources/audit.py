@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +20,14 @@ MACRO_EXTENSIONS = ["xlsm", "xlsb", "xltm", "xlam", "xlm", "xla"]
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files with their bytes: ``path, modificationTime, length, content``."""
-    return spark.read.format("binaryFile").load(paths)
+    """Files with their bytes: ``path, content``.
+
+    Spark's scans skip empty files, so those are added from the listing that every read makes.
+    """
+    scanned = spark.read.format("binaryFile").load(paths)
+    listed = [re.sub("^file:/+", "file:/", unquote(p)) for p in scanned.inputFiles()]
+    empty = spark.createDataFrame([(p,) for p in listed], "path string").join(scanned.select("path"), "path", "left_anti")
+    return scanned.select("path", "content").unionByName(empty.select("path", F.lit(b"").alias("content")))
 
 
 def _starts(head: Column, *marks: str) -> Column:
