@@ -127,7 +127,8 @@ def scored_renames(comparison: DataFrame) -> DataFrame:
         .when(coercible(F.col("expected_type"), F.col("actual_type")), COERCIBLE_TYPE)
         .otherwise(OTHER_TYPE)
     )
-    return pairs.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), fixed(alike + fit, 3))))
+    scored = pairs.withColumn("score", alike + fit)
+    return scored.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), fixed(F.col("score"), 3)))).drop("score")
 
 
 def _pick_renames(scores: pd.DataFrame) -> pd.DataFrame:

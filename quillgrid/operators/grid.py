@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.numbers import NUMBER_TEXT
 from ..functions.text import header_key, normalised, unique_keys
+from ..session import stored
 
 SHEET_KEY = ["file_id", "sheet"]
 ROW_KEY = [*SHEET_KEY, "row_idx"]
@@ -262,10 +263,13 @@ def to_table(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def normalise_grid(grid: DataFrame, merges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Headers and records of every sheet. The grid is read several times: give a stored one when it is large."""
+    """Headers and records of every sheet. The grid is read several times: give a stored one when it is large.
+
+    Headers, one row per sheet, are stored, as finding them takes two passes and the records need them twice.
+    """
     if merges is not None:
         grid = fill_merges(grid, merges)
-    headers = detect_headers(grid)
+    headers = stored(detect_headers(grid))
     return headers, records(grid, headers)
 
 
