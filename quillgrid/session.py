@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local master may fall back to a folder of this machine: executors elsewhere could not read it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -54,30 +54,30 @@ def grid_through_cells(spark, sf):
     return found.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"))
 
 
-def _supplier_sheets(spark, sf):
-    """Lines by supplier; the part key stands only in the first row of its block, merged down over the block."""
-    lines = load(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
-    order = ["l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice"]
-    lines = lines.withColumn("row_idx", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)).cast("bigint"))
-    blocks = lines.groupBy("l_suppkey", "l_partkey").agg(F.min("row_idx").alias("start_row"), F.max("row_idx").alias("end_row"))
-    sheet = [F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("file_id"), F.lit("lines").alias("sheet")]
-    merges = blocks.select(*sheet, F.col("start_row").alias("merge_idx"), "start_row", F.lit(0).alias("start_col"), "end_row", F.lit(0).alias("end_col"))
-    first = lines.join(blocks, ["l_suppkey", "l_partkey"])
+def _order_line_sheets(spark, sf):
+    """Lines by order; the order key stands only in the first line of the order, merged down over its lines."""
+    lines = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    # An order's few lines are numbered inside it.
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    lines = lines.withColumn("row_idx", place.cast("bigint"))
+    sheet = [F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("file_id"), F.lit("lines").alias("sheet")]
+    orders = lines.groupBy("l_orderkey").agg(F.max("row_idx").alias("end_row"))
+    merges = orders.select(*sheet, F.lit(0).alias("merge_idx"), F.lit(1).cast("bigint").alias("start_row"), F.lit(0).alias("start_col"), "end_row", F.lit(0).alias("end_col"))
 
     def cell(c, kind="number"):
         return F.struct(c.alias("raw"), F.when(c.isNull(), F.lit(None).cast("string")).otherwise(kind).alias("kind"))
 
-    key = F.when(F.col("row_idx") == F.col("start_row"), F.col("l_partkey").cast("string"))
-    rows = first.select(*sheet, "row_idx", F.array(cell(key), cell(F.col("l_orderkey").cast("string")), cell(F.col("l_linenumber").cast("string"))).alias("cells"))
-    head = lines.select("l_suppkey").distinct().select(*sheet, F.lit(0).cast("bigint").alias("row_idx"), F.array(*[cell(F.lit(h), "string") for h in ("Part Key", "Order Key", "Line")]).alias("cells"))
-    return head.unionByName(rows), merges
+    key = F.when(F.col("row_idx") == 1, F.col("l_orderkey").cast("string"))
+    rows = lines.select(*sheet, "row_idx", F.array(cell(key), cell(F.col("l_partkey").cast("string")), cell(F.col("l_linenumber").cast("string"))).alias("cells"))
+    head = F.array(*[cell(F.lit(h), "string") for h in ("Order Key", "Part Key", "Line")]).alias("cells")
+    return orders.select(*sheet, F.lit(0).cast("bigint").alias("row_idx"), head).unionByName(rows), merges
 
 
-@query("merge_fill", "select 'supplier-' || l_suppkey as file_id, l_partkey::varchar as part_key, l_orderkey::varchar as order_key, l_linenumber::varchar as line from lineitem")
+@query("merge_fill", "select 'order-' || l_orderkey as file_id, l_orderkey::varchar as order_key, l_partkey::varchar as part_key, l_linenumber::varchar as line from lineitem")
 def merge_fill(spark, sf):
-    grid, merges = _supplier_sheets(spark, sf)
+    grid, merges = _order_line_sheets(spark, sf)
     _, records = G.normalise_grid(stored(G.fill_merges(stored(grid), stored(merges))))
-    return G.to_table(records, ["part_key", "order_key", "line"]).drop("sheet", "row_idx")
+    return G.to_table(records, ["order_key", "part_key", "line"]).drop("sheet", "row_idx")
 
 
 _LINES = f"""
@@ -154,11 +154,11 @@ def neutralised_lines(spark, sf):
     return lines.select("doc_id", "line", neutralise(F.col("line")).alias("safe"))
 
 
-@query("serial_dates", "select o_orderkey, cast(o_orderdate as date) as day_1900, cast(o_orderdate as date) as day_1904 from orders")
+@query("serial_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day_1900, strftime(o_orderdate, '%Y-%m-%d') as day_1904 from orders")
 def serial_dates(spark, sf):
     """Order dates as the day numbers of both spreadsheet systems, with a time of day, and back."""
     days = [F.date_diff("o_orderdate", F.lit(base)).cast("double") + 0.75 for base in ("1899-12-30", "1904-01-01")]
-    return load(spark, sf, "orders").select("o_orderkey", serial_date(days[0]).alias("day_1900"), serial_date(days[1], 1904).alias("day_1904"))
+    return load(spark, sf, "orders").select("o_orderkey", date_text(serial_date(days[0])).alias("day_1900"), date_text(serial_date(days[1], 1904)).alias("day_1904"))
 
 
 @query("parse_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders")

@@ -125,7 +125,7 @@ def profile_samples(spark, sf):
 @query(
     "profile_long_text",
     """
-    select 'text' as column_key, list(sample order by rank) as sample_values from (
+    select 'text' as column_key, string_agg(sample, chr(10) order by rank) as sample_values from (
       select case when left(t, 1) in ('=', '+', '-', '@', '|') then left('''' || t, 40) else left(t, 40) end as sample,
              row_number() over (order by min(doc_id)) as rank
       from (select doc_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(65279)) as t from documents) where t <> ''
@@ -135,7 +135,7 @@ def profile_samples(spark, sf):
 def profile_long_text(spark, sf):
     """Whole documents as one text column."""
     df = load(spark, sf, "documents").select("doc_id", "text")
-    return P.profile_table(df, F.col("doc_id"), parts=["sample_values"]).where("column_key = 'text'").select("column_key", "sample_values")
+    return P.profile_table(df, F.col("doc_id"), parts=["sample_values"]).where("column_key = 'text'").select("column_key", F.array_join("sample_values", "\n").alias("sample_values"))
 
 
 def _as_text(df):
@@ -143,7 +143,11 @@ def _as_text(df):
 
 
 def _values(columns, rows):
-    return f"select * from (values {', '.join(map(str, rows))}) t({', '.join(columns)})"
+    def sql(v):
+        return f"{v!r}::double" if isinstance(v, float) else repr(v)
+
+    listed = ", ".join(f"({', '.join(map(sql, row))})" for row in rows)
+    return f"select * from (values {listed}) t({', '.join(columns)})"
 
 
 @query(
@@ -273,7 +277,7 @@ def join_candidates_stems(spark, sf):
 @query(
     "join_candidate_matches",
     """
-    select list(v order by place) as sample_matches from (
+    select string_agg(v, ',' order by place) as sample_matches from (
       select o_custkey::varchar as v, min(o_orderkey) as place from orders where o_custkey in (select c_custkey from customer)
       group by 1 order by place limit 10)
     """,
@@ -285,7 +289,7 @@ def join_candidate_matches(spark, sf):
     }
     types = {"orders": dict.fromkeys(tables["orders"].columns, "number"), "customer": dict.fromkeys(tables["customer"].columns, "number")}
     found = find_join_candidates(tables, types, {"orders": "o_orderkey", "customer": "custkey"})
-    return found.where("source_column = 'custkey' and target_column = 'custkey'").select("sample_matches")
+    return found.where("source_column = 'custkey' and target_column = 'custkey'").select(F.array_join("sample_matches", ",").alias("sample_matches"))
 
 
 @query(
@@ -325,10 +329,10 @@ _auto("auto_breakdown", "bar_breakdown_o_orderstatus", "select o_orderstatus, su
 _auto("auto_matrix", "pivot_matrix", "select o_orderstatus, o_orderpriority, sum(o_custkey)::bigint as o_custkey from orders group by 1, 2")
 
 
-@query("auto_trend", "select cast(date_trunc('month', o_orderdate) as date) as o_orderdate, sum(o_custkey)::bigint as o_custkey from orders group by 1")
+@query("auto_trend", "select strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') as o_orderdate, sum(o_custkey)::bigint as o_custkey from orders group by 1")
 def auto_trend(spark, sf):
     found = auto_report(load(spark, sf, "orders"), F.col("o_orderkey"), granularity="month")
-    return found["line_trend_o_custkey"].withColumn("o_orderdate", F.to_date("o_orderdate"))
+    return found["line_trend_o_custkey"].withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 @query(

@@ -215,10 +215,10 @@ def group_null_key(spark, sf):
     return aggregate(labelled_documents(spark, sf), ["quality"], [("doc_id", "count", "n")])
 
 
-@query("global_aggregate", "select sum(l_quantity) as quantity, count(distinct l_returnflag) as flags, min(l_shipdate)::date as first_day from lineitem")
+@query("global_aggregate", "select sum(l_quantity) as quantity, count(distinct l_returnflag) as flags, strftime(min(l_shipdate), '%Y-%m-%d') as first_day from lineitem")
 def global_aggregate(spark, sf):
     measures = [("l_quantity", "sum", "quantity"), ("l_returnflag", "distinctCount", "flags"), ("l_shipdate", "min", "first_day")]
-    return aggregate(load(spark, sf, "lineitem"), [], measures).withColumn("first_day", F.to_date("first_day"))
+    return aggregate(load(spark, sf, "lineitem"), [], measures).withColumn("first_day", F.date_format("first_day", "yyyy-MM-dd"))
 
 
 @query("distinct_dims", "select distinct o_orderstatus, o_orderpriority from orders")
@@ -249,10 +249,10 @@ def limit_offset(spark, sf):
 
 
 def _trend(name, granularity, sql):
-    @query(name, f"select cast({sql} as date) as o_orderdate, round(sum(o_totalprice), 2) as o_totalprice from orders group by 1")
+    @query(name, f"select strftime({sql}, '%Y-%m-%d') as o_orderdate, round(sum(o_totalprice), 2) as o_totalprice from orders group by 1")
     def run(spark, sf):
         out = R.trend(load(spark, sf, "orders"), "o_orderdate", ["o_totalprice"], granularity=granularity)
-        return rounded(out, o_totalprice=2).withColumn("o_orderdate", F.to_date("o_orderdate"))
+        return rounded(out, o_totalprice=2).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 _trend("trend_as_is", None, "o_orderdate")
@@ -262,11 +262,11 @@ for _g in R.GRANULARITIES:
 
 @query(
     "trend_two_measures",
-    "select cast(l_shipdate as date) as l_shipdate, sum(l_quantity) as l_quantity, round(sum(l_extendedprice), 2) as l_extendedprice from lineitem group by 1",
+    "select strftime(l_shipdate, '%Y-%m-%d') as l_shipdate, sum(l_quantity) as l_quantity, round(sum(l_extendedprice), 2) as l_extendedprice from lineitem group by 1",
 )
 def trend_two_measures(spark, sf):
     out = R.trend(load(spark, sf, "lineitem"), "l_shipdate", ["l_quantity", "l_extendedprice"])
-    return rounded(out, l_extendedprice=2).withColumn("l_shipdate", F.to_date("l_shipdate"))
+    return rounded(out, l_extendedprice=2).withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
 
 
 @query(
