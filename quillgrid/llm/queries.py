@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import compression, factorization, quality_rules
+from quillgrid.llm import bpe, compression, factorization, quality_rules, repair
+from quillgrid.session import shared_folder
 
 PREDICT_FROM = 0.7
 
@@ -41,6 +43,16 @@ def predicted(scored: DataFrame, held_out: Column) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
 
 
+END_ID = 2
+
+
+@query("op1_repair_shards")
+def op1(spark, sf_dir):
+    folder = shared_folder(spark)
+    repair.write_shards(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, END_ID)
+    return repair.digest_shards(spark, folder).withColumnRenamed("key", "doc_id")
+
+
 @query("op2_toxicity")
 def op2(spark, sf_dir):
     model = factorization.fit(labelled(spark, sf_dir, "toxic").where(fold("doc_id", 3) != 1))
@@ -53,6 +65,12 @@ def op3(spark, sf_dir):
     return quality_rules.judge(load(spark, sf_dir, "documents").select("doc_id", "text"), weights).drop("text")
 
 
+@query("op5_byte_bpe")
+def op5(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
 @query("op9_compression_classifier")
 def op9(spark, sf_dir):
     model = compression.fit(labelled(spark, sf_dir, "quality").where(fold("doc_id", 4) != 2))
