@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, compression, factorization, quality_rules, repair
+from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, licenses, quality_rules, repair
 from quillgrid.session import shared_folder
 
 PREDICT_FROM = 0.7
@@ -65,12 +65,51 @@ def op3(spark, sf_dir):
     return quality_rules.judge(load(spark, sf_dir, "documents").select("doc_id", "text"), weights).drop("text")
 
 
+@query("op4_license_scan")
+def op4(spark, sf_dir):
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
 @query("op5_byte_bpe")
 def op5(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+@query("op6_decontamination")
+def op6(spark, sf_dir):
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+CONFLICT = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op7_chat_format",
+    rf"""
+    with turns as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all values (-1, 0, 'user', '{CONFLICT}'), (-1, 1, 'assistant', '{CONFLICT}')
+    ),
+    marked as (
+        select *, regexp_replace(text, '(\\*)({chat.MARKERS})', '\1\\\2', 'g') as escaped,
+            case when role = 'assistant' then 3 + 6 else 6 + 9 end as marks
+        from turns
+    )
+    select conv_id, count(*) as n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+        cast(sum(marks + length(role) + 1 + length(escaped)) as bigint) as formatted_chars
+    from marked group by conv_id
+    """,
+)
+def op7(spark, sf_dir):
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql(f"select -1L as conv_id, turn, role, '{CONFLICT}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    return chat.digest(chat.format_conversations(turns.unionByName(own)))
+
+
 @query("op9_compression_classifier")
 def op9(spark, sf_dir):
     model = compression.fit(labelled(spark, sf_dir, "quality").where(fold("doc_id", 4) != 2))

@@ -30,7 +30,7 @@ from quillgrid.llm.bpe import stretches
 from quillgrid.llm.textbatch import slices
 
 SHARD = 1 << 21
-MEMO = 800_000
+MEMO = 250_000
 MIN_COUNT = 12
 #: A round takes pairs that make up at least this share of the symbols (and MIN_COUNT occurrences).
 ROUNDS = (2**-9, 2**-11, 2**-13, 2**-15, 2**-17, 2**-18)
