@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, licenses, quality_rules, repair
+from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, jaccard, licenses, quality_rules, repair
 from quillgrid.session import shared_folder
 
 PREDICT_FROM = 0.7
@@ -110,6 +110,11 @@ def op7(spark, sf_dir):
     return chat.digest(chat.format_conversations(turns.unionByName(own)))
 
 
+@query("op8_ngram_jaccard")
+def op8(spark, sf_dir):
+    return jaccard.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 @query("op9_compression_classifier")
 def op9(spark, sf_dir):
     model = compression.fit(labelled(spark, sf_dir, "quality").where(fold("doc_id", 4) != 2))
