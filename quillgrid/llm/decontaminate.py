@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.textbatch import ALNUM_LOWER, Words, slices, text_of
+from quillgrid.llm.textbatch import ALNUM_LOWER, Words, bitmap_of, in_bitmap, slices, text_of
 from quillgrid.session import stored
 
 K = 4
@@ -73,16 +73,6 @@ def _items(benchmark: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return stored(plain.mapInArrow(run, f"item bigint, item_key {kind}, item_words binary, grams array<bigint>").where(F.size("grams") > 0))
 
 
-def _bitmap(grams: DataFrame) -> np.ndarray:
-    """A bit for the top bits of every k-gram; at most 2 ** (BITMAP_BITS - 6) longs reach the driver."""
-    index = F.shiftrightunsigned("gram", 64 - BITMAP_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - BITMAP_BITS}) & 63 as int))")
-    words = grams.groupBy(F.shiftright(index, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return bitmap.view(np.uint8)
-
-
 def _passages(docs: DataFrame, key: str, text: str, k: int, bitmap: np.ndarray, reach: int) -> DataFrame:
     """Passages around k-grams that may be an item's: number, key, first word, words and those k-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -92,8 +82,7 @@ def _passages(docs: DataFrame, key: str, text: str, k: int, bitmap: np.ndarray,
         for s in slices(batches, "text"):
             w = Words(*text_of(s.column("text")), ALNUM_LOWER, lower=True)
             h, at = w.grams(k)
-            top = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-            hit = np.flatnonzero(bits[top >> 3] >> (top & 7) & 1)
+            hit = np.flatnonzero(in_bitmap(bits, h))
             if not len(hit):
                 continue
             place, gram = at[hit], h[hit].view(np.int64)
@@ -147,7 +136,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_
     items = _items(benchmark, item_key, text, k)
     grams = items.select("item", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
     longest = items.agg(F.max(F.length("item_words"))).first()[0] or 0
-    passages = _passages(docs, key, text, k, _bitmap(grams), longest // 8 + DRIFT)
+    passages = _passages(docs, key, text, k, bitmap_of(grams, "gram", BITMAP_BITS), longest // 8 + DRIFT)
     shared = stored(passages.select("passage", F.explode("grams").alias("gram")).join(grams, "gram"))
     spread = shared.groupBy("item", "gram").agg(F.count("*").alias("spread"))
     middle = spread.groupBy("item").agg(F.expr("percentile(spread, 0.5)").alias("middle"))

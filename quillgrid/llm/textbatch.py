@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240607)
-_BYTE_AT = _RNG.integers(0, 2**64, (64, 256), dtype=np.uint64)
+#: A random value for every byte at every place of a word, place by place; places repeat after 64.
+_BYTE_AT = _RNG.integers(0, 2**64, 64 * 256, dtype=np.uint64)
 _STEP = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,9 +100,9 @@ class Words:
         self.first = np.searchsorted(at, self.start)
         self.size = np.diff(self.first, append=len(at))
         self.inside = b[at]
-        self.place = np.arange(len(at)) - np.repeat(self.first, self.size)
+        self.place = np.arange(len(at), dtype=np.int32) - np.repeat(self.first.astype(np.int32), self.size)
         if len(self.start):
-            value = _BYTE_AT[self.place & 63, self.inside]
+            value = _BYTE_AT.take((self.place & 63) << 8 | self.inside)
             if int(self.size.max()) > 64:
                 value = value * (2 * (self.place >> 6) + 1).astype(np.uint64)
             total = np.add.reduceat(value, self.first)
@@ -157,10 +158,19 @@ def hash_words(words: list[str], k: int) -> np.ndarray:
     return Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), NOT_SPACE).grams(k)[0]
 
 
-def select_without(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """The frame without columns of these names, whatever their case."""
-    taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+def bitmap_of(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for the leading bits of every hash; at most 2 ** (bits - 6) rows reach the driver."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))")
+    words = hashes.groupBy(F.shiftrightunsigned(column, 70 - bits).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bitmap.view(np.uint8)
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit; hashes that were not given may have it too."""
+    top = (hashes >> np.uint64(64 - (len(bitmap).bit_length() + 2))).astype(np.int64)
+    return (bitmap[top >> 3] >> (top & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def add_columns(df: DataFrame, text: str, fields: list[T.StructField], compute: Callable, limit: int = SLICE_BYTES) -> DataFrame:
