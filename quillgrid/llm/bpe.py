@@ -201,20 +201,30 @@ class Encoder:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", name: str = "ids") -> DataFrame:
     """The frame with a column of ids (binary, little-endian unsigned 32-bit); a column of that name is replaced."""
-    return _with(docs, ranks_path, pattern, text, [T.StructField(name, T.BinaryType())], lambda coder, ids: [pa.array(ids, pa.binary())])
+    return _with(docs, ranks_path, pattern, text, [T.StructField(name, T.BinaryType())], lambda coder, ids, _: [pa.array(ids, pa.binary())])
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """The frame with the number of ids, their digest, and the digest of the bytes they decode to."""
 
-    def digest(coder, ids):
-        return [
-            pa.array([len(x) // 4 for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-            pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids]),
-        ]
+    return _with(docs, ranks_path, pattern, text, FIELDS, lambda coder, ids, _: _digests(ids, [coder.decode(x) for x in ids]))
 
-    return _with(docs, ranks_path, pattern, text, FIELDS, digest)
+
+def encode_checked(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", name: str = "ids") -> DataFrame:
+    """As ``encode``, with the columns of ``round_trip``; fails if any text's ids do not decode to it."""
+
+    def derive(coder, ids, texts):
+        back = [coder.decode(x) for x in ids]
+        if any(x != t.encode() for x, t in zip(back, texts)):
+            raise ValueError("ids do not decode to their text")
+        return [pa.array(ids, pa.binary()), *_digests(ids, back)]
+
+    return _with(docs, ranks_path, pattern, text, [T.StructField(name, T.BinaryType()), *FIELDS], derive)
+
+
+def _digests(ids: list[bytes], back: list[bytes]) -> list[pa.Array]:
+    sha = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
+    return [pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(back)]
 
 
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -241,6 +251,6 @@ def _with(docs: DataFrame, ranks_path: str, pattern: str, text: str, fields: lis
         low = int(off[0])
         whole = data[low : int(off[-1])].tobytes()
         texts = [whole[a - low : b - low].decode() for a, b in zip(off, off[1:])]
-        return derive(coder, coder.encode(texts))
+        return derive(coder, coder.encode(texts), texts)
 
     return add_columns(docs, text, fields, compute)

@@ -164,18 +164,32 @@ def judge(docs: DataFrame, weights: Weights, text: str = "text", keep: float = K
     """The frame with the counts, the probability of good quality and the verdict; same-named columns are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def compute(data, off):
-        w = Words(data, off, NOT_SPACE)
-        low, rows = int(off[0]), len(off) - 1
-        byte_row = np.repeat(np.arange(rows), np.diff(off))
-        chars = np.bincount(np.repeat(w.row, w.size), _CODE_POINT[w.inside], rows).astype(np.int64)
-        symbols = np.bincount(byte_row, _SYMBOL[w.bytes], rows).astype(np.int64)
-        whole = w.bytes.tobytes()
-        texts = [whole[a - low : b - low] for a, b in zip(off, off[1:])]
-        lines = np.array([repeated_lines(t) for t in texts], np.int64)
-        repeated = np.array([repeated_words(t.split()) for t in texts], np.int64)
-        failed = (w.count < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * w.count)
-        p = shared.value.probability(*terms(w), rows)
-        return [w.count.astype(np.int64), chars, symbols, lines, repeated, failed, p, ~failed & (p >= keep)]
-
-    return add_columns(docs, text, FIELDS, compute)
+    return add_columns(docs, text, FIELDS, lambda data, off: _verdict(data, off, shared.value, keep))
+
+
+def _verdict(data: np.ndarray, off: np.ndarray, weights: Weights, keep: float) -> list[np.ndarray]:
+    """The columns of ``FIELDS`` for a slice of texts."""
+    w = Words(data, off, NOT_SPACE)
+    low, rows = int(off[0]), len(off) - 1
+    byte_row = np.repeat(np.arange(rows), np.diff(off))
+    chars = np.bincount(np.repeat(w.row, w.size), _CODE_POINT[w.inside], rows).astype(np.int64)
+    symbols = np.bincount(byte_row, _SYMBOL[w.bytes], rows).astype(np.int64)
+    whole = w.bytes.tobytes()
+    texts = [whole[a - low : b - low] for a, b in zip(off, off[1:])]
+    lines = np.array([repeated_lines(t) for t in texts], np.int64)
+    repeated = np.array([repeated_words(t.split()) for t in texts], np.int64)
+    failed = (w.count < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * w.count)
+    p = weights.probability(*terms(w), rows)
+    return [w.count.astype(np.int64), chars, symbols, lines, repeated, failed, p, ~failed & (p >= keep)]
+
+
+def keep_rows(docs: DataFrame, weights: Weights, text: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for part in slices(batches, text):
+            kept = _verdict(*text_of(part.column(text)), shared.value, keep)[-1]
+            yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

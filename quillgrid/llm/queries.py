@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, jaccard, licenses, quality_rules, repair
+from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, jaccard, licenses, quality_rules, repair, style_tree
 from quillgrid.session import shared_folder
 
 PREDICT_FROM = 0.7
@@ -119,3 +119,8 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     model = compression.fit(labelled(spark, sf_dir, "quality").where(fold("doc_id", 4) != 2))
     return predicted(compression.score(load(spark, sf_dir, "documents").select("doc_id", "text"), model), fold("doc_id", 4) == 2)
+
+
+@query("op10_style_tree")
+def op10(spark, sf_dir):
+    return style_tree.extract(load(spark, sf_dir, "pages"))
