@@ -104,7 +104,7 @@ class Page(HTMLParser):
                     break
                 if name in _SCOPES:
                     break
-        said = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
+        said = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().replace("/", " ")
         _, above, silent, inside = self.open[-1] if self.open else ("", "", False, False)
         if tag in MAIN:
             inside = self.article = True
@@ -219,10 +219,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     tree = stored(_tree(read))
     low = tree.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW)).select("host", "node")
     varied = tree.where("root").groupBy("host").agg(F.max("importance").alias("varied"))
-    branches = read.select("row", "host", "marked", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["branches"])))).alias("node"))
+    # Most pages have no branch that could go besides those the reader leaves out; only the others wait for the tree.
+    unsure = F.exists("blocks", lambda b: F.size(b["branches"]) > 0)
+    waiting = read.where(unsure)
+    branches = waiting.select("row", "host", "marked", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["branches"])))).alias("node"))
     gone = branches.join(low, ["host", "node"]).join(varied, "host", "left").where(~F.col("marked") | (F.col("varied") >= DIFFERENT))
     gone = gone.groupBy("row").agg(F.collect_set("node").alias("gone"))
-    whole = read.select("row", "key", "url", "blocks").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], F.col("gone")))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    cut = waiting.select("row", "key", "url", "blocks").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
+    cut = cut.select("key", "url", F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], F.col("gone"))).alias("blocks"))
+    whole = read.where(~unsure).select("key", "url", "blocks").unionByName(cut)
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     return whole.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
