@@ -60,55 +60,52 @@ def hash_tokens(tokens: list[bytes]) -> np.ndarray:
 
 @dataclass
 class PerfectHash:
-    """Hash and displace: every bucket of keys holds the stride and shift that send its keys to slots of their own."""
+    """Hash and displace: every bucket of keys holds the seed that sends its keys to slots of their own; a bucket of one
+    key holds a shift to a slot that was left."""
 
-    stride: np.ndarray
+    seed: np.ndarray
     shift: np.ndarray
     id_at: np.ndarray
 
-    @staticmethod
-    def _places(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """First slot and step of each key."""
-        second = mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        return (second % np.uint64(n)).astype(np.int64), ((second >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
-
     @classmethod
     def build(cls, h: np.ndarray) -> PerfectHash:
-        """Largest buckets first; a bucket of one key takes the next free slot by its shift. Keys must differ in hash."""
+        """Largest buckets first. Keys must differ in hash."""
         n = len(h)
         buckets = max(1, n // 3)
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        base, step = cls._places(h, n)
-        stride, shift = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        seed, shift = np.zeros(buckets, np.uint64), np.zeros(buckets, np.int64)
         id_at, free = np.full(n, -1, np.int64), np.ones(n, bool)
         sizes = np.diff(cut)
         by_size = np.argsort(-sizes, kind="stable")
         for b in by_size[sizes[by_size] > 1]:
             keys, at = order[cut[b] : cut[b + 1]], 0
             while True:
-                tries = np.arange(at, at + 512)
-                slot = (base[keys][:, None] + (tries % n) * step[keys][:, None] + tries // n) % n
+                seeds = np.arange(at, at + 512, dtype=np.uint64)
+                slot = _slots(h[keys][:, None], seeds, n)
                 ranked = np.sort(slot, 0)
                 good = np.flatnonzero(free[slot].all(0) & (ranked[1:] != ranked[:-1]).all(0))
                 if len(good):
-                    stride[b], shift[b] = tries[good[0]] % n, tries[good[0]] // n
+                    seed[b] = seeds[good[0]]
                     free[slot[:, good[0]]] = False
                     id_at[slot[:, good[0]]] = keys
                     break
                 at += 512
         alone = by_size[sizes[by_size] == 1]
         keys, slot = order[cut[alone]], np.flatnonzero(free)
-        shift[alone] = (slot - base[keys]) % n
+        shift[alone] = (slot - _slots(h[keys], seed[alone], n)) % n
         id_at[slot] = keys
-        return cls(stride, shift, id_at)
+        return cls(seed, shift, id_at)
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """The only id each hash can stand for."""
-        n, b = len(self.id_at), (h % np.uint64(len(self.stride))).astype(np.int64)
-        base, step = self._places(h, n)
-        return self.id_at[(base + self.stride[b] * step + self.shift[b]) % n]
+        n, b = len(self.id_at), (h % np.uint64(len(self.seed))).astype(np.int64)
+        return self.id_at[(_slots(h, self.seed[b], n) + self.shift[b]) % n]
+
+
+def _slots(h: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
+    return (mix(h + seed * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
 
 
 def merge_bytes(word: bytes, rank: dict[bytes, int]) -> list[int]:

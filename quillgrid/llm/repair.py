@@ -26,11 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.bpe import stretches
 from quillgrid.llm.textbatch import slices
 
 SHARD = 1 << 21
-MEMO = 250_000
 MIN_COUNT = 12
 #: A round takes pairs that make up at least this share of the symbols (and MIN_COUNT occurrences).
 ROUNDS = (2**-9, 2**-11, 2**-13, 2**-15, 2**-17, 2**-18)
@@ -59,9 +57,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndar
         count = np.bincount(slot[inner], minlength=1 << _COUNTER_BITS).astype(np.int32)[slot]
         count[~inner] = 0
         count[count < max(MIN_COUNT, int(len(s) * share))] = 0
+        # Of two overlapping occurrences the more frequent pair wins, of equal ones the one at the odd place.
+        rank = 2 * count + (np.arange(len(count)) & 1)
         take = count > 0
-        take[1:] &= count[1:] >= count[:-1]
-        take[:-1] &= count[:-1] > count[1:]
+        take[1:] &= rank[1:] > rank[:-1]
+        take[:-1] &= rank[:-1] > rank[1:]
         where = np.flatnonzero(take)
         if not len(where):
             continue
@@ -113,9 +113,15 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, expanded: n
 
 
 class Ids:
-    """Ids of texts by the tokenizers library, remembered by stretch; kept by a Python worker for its next task."""
+    """Ids of texts by the tokenizers library; a Python worker keeps one for its next task."""
 
-    made: dict[int, Ids] = {}
+    made: dict[str, Ids] = {}
+
+    @classmethod
+    def kept(cls, path: str, vocabulary) -> Ids:
+        if path not in cls.made:
+            cls.made[path] = cls(vocabulary.value)
+        return cls.made[path]
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -123,32 +129,11 @@ class Ids:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.terminals = self.tokenizer.get_vocab_size()
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.place, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in sequence, and the number of ids of each text."""
-        if len(self.number) > MEMO:
-            self.forget()
-        cut = [stretches(t) for t in texts]
-        new = list({x for found in cut for x in found}.difference(self.number))
-        if new:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            known = len(self.number)
-            self.number.update(zip(new, range(known, known + len(new))))
-            size = np.fromiter(map(len, coded), np.int64, len(new))
-            ids = np.fromiter((i for each in coded for i in each), np.uint32, int(size.sum()))
-            self.place = np.concatenate([self.place, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, ids])
-        get = self.number.__getitem__
-        which = np.fromiter((n for found in cut for n in map(get, found)), np.int64, sum(map(len, cut)))
-        size = self.size[which]
-        text = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-        return _gather(self.flat, self.place[which], size), np.bincount(text, size, len(cut)).astype(np.int64)
+        coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*coded, np.zeros(0, np.uint32)]), np.array([len(c) for c in coded], np.int64)
 
 
 def write_shards(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD) -> None:
@@ -158,10 +143,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        number = hash(vocabulary_path)
-        if number not in Ids.made:
-            Ids.made[number] = Ids(shared.value)
-        coder, part = Ids.made[number], TaskContext.get().partitionId()
+        coder, part = Ids.kept(vocabulary_path, shared), TaskContext.get().partitionId()
         waiting, held, shard, start = [], 0, 0, 0
 
         def row():

@@ -50,7 +50,7 @@ def test_machine_learns_pairs():
 
 
 def test_toxicity(spark, odd_docs, no_docs):
-    rows = [(prose(40, i) + (" you utter blockhead " if i % 4 == 0 else " ") + prose(10, i + 1), int(i % 4 == 0)) for i in range(200)]
+    rows = [(prose(40, i) + (" blockhead, " if i % 4 == 0 else " ") + prose(10, i + 1), int(i % 4 == 0)) for i in range(200)]
     model = factorization.fit(labelled(spark, rows))
     new = labelled(spark, [(prose(60, 300 + i) + (" blockhead!" if i % 2 else ""), i % 2) for i in range(40)])
     assert factorization.score(new, model).where("(score >= 0.7) <> (label = 1)").count() == 0
@@ -84,7 +84,7 @@ def test_compression(spark, odd_docs, no_docs):
     assert new.where("(score >= 0.7) <> (label = 1)").count() == 0
     scored = compression.score(odd_docs, model).collect()
     assert len(scored) == 10 and all(0 <= r.score <= 1 for r in scored)
-    assert {r.score for r in scored if not r.text} == {pytest.approx(model.prior)}
+    assert [r.score for r in scored if not r.text] == [pytest.approx(model.prior)] * 2
     assert compression.score(no_docs, model).count() == 0
     untaught = compression.fit(labelled(spark, []))
     assert {r.score for r in compression.score(odd_docs, untaught).collect()} == {0.5}

@@ -83,7 +83,8 @@ def test_repair_compresses_and_expands():
     ends = np.array([0, 10, 1999, 4000, len(ids) - 1])
     symbols, at, left, right, expanded = repair.compress(ids, ends, 100)
     assert (repair.expand(symbols, left, right, expanded, 100) == ids).all()
-    assert len(symbols) < len(ids) // 2 and len(at) == len(ends)
+    # The 3,000 ids of the two repeated parts all but vanish, the 4,000 random ones do not compress.
+    assert len(symbols) < 4300 and len(at) == len(ends)
     whole = {"symbols": symbols.astype("<u4").tobytes(), "at": at.tobytes(), "left": left.tobytes(), "right": right.tobytes(), "terminals": 100}
     for i, (a, b) in enumerate(zip([0, *(ends[:-1] + 1)], ends + 1)):
         assert (repair.access(whole, i) == ids[a:b]).all()
@@ -175,7 +176,8 @@ def test_leaks(spark, odd_docs, no_docs, make_docs):
     found = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(make_docs(*texts), benchmark).collect()}
     assert set(found) == {(0, 0), (2, 2), (6, 1), (6, 5)}
     assert found[0, 0] == found[6, 1] == 1 and 0.6 <= found[2, 2] < 1
-    assert decontaminate.find_leaks(odd_docs, benchmark).count() == 0
+    # The very long text begins with the very words of these items.
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(odd_docs, benchmark).collect()} == {(4, 0), (4, 1), (4, 2), (4, 5)}
     assert decontaminate.find_leaks(no_docs, benchmark).count() == 0
     assert decontaminate.find_leaks(odd_docs, benchmark.where("false")).count() == 0
     many = make_docs(*[prose(20, i) + " " + items[0] + " " + prose(9, i) for i in range(30)], "a b " + items[1])
