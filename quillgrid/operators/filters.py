@@ -43,6 +43,8 @@ def _number(value: Any) -> float | None:
         s = value.strip()
         if s == "":
             return 0.0
+        if re.fullmatch(r"[+-]?\d{1,18}", s):
+            return int(s)  # a double would lose the last digits of long ids
         return float(s) if _NUMBER.fullmatch(s) else None
     return None
 
@@ -61,7 +63,7 @@ def _is_written_number(value: Any) -> bool:
     number = _number(value)
     if number is None or isinstance(value, bool):
         return False
-    return not isinstance(value, str) or _plain(float(number)) == value
+    return not isinstance(value, str) or _plain(number) == value
 
 
 def _is_time(dtype: T.DataType) -> bool:

@@ -20,7 +20,7 @@ ROW_KEY = [*SHEET_KEY, "row_idx"]
 
 # Fixed values of header detection.
 LAST_CANDIDATE, HEAD_ROWS, LOOK_AHEAD = 20, 26, 5
-MAX_COLUMNS, HEADER_LENGTH, NOTE_LENGTH, SUBTOTAL_LENGTH = 200, 256, 30, 60
+HEADER_LENGTH, NOTE_LENGTH, SUBTOTAL_LENGTH = 256, 30, 60
 
 
 # Text that reads as a number, radix literals included.
@@ -127,7 +127,7 @@ def fill_merges(grid: DataFrame, merges: DataFrame) -> DataFrame:
 
 def _scored_head(grid: DataFrame) -> DataFrame:
     """The first rows of every sheet with their score as a header; null where a row cannot be one."""
-    rows = row_flags(grid.where(F.col("row_idx") < HEAD_ROWS), F.lit(MAX_COLUMNS))
+    rows = row_flags(grid.where(F.col("row_idx") < HEAD_ROWS), F.size("cells"))
     filled = F.col("filled")
     looks = F.transform(filled, lambda c: F.struct((c["kind"] == "string").alias("text"), c["raw"].rlike(_NUMERIC_LOOK).alias("number")))
     rows = rows.withColumn("looks", looks)
@@ -219,7 +219,7 @@ def detect_headers(grid: DataFrame) -> DataFrame:
         lambda c: c["label"].isNotNull() | F.coalesce(F.array_contains("filled_nameless", c["position"]), F.lit(False)),
     )
     only = F.array(F.struct(F.lit("Column 1").alias("label"), F.lit(0).alias("position")))
-    found = found.withColumn("kept", F.slice(F.when(F.size(kept) > 0, kept).otherwise(only), 1, MAX_COLUMNS))
+    found = found.withColumn("kept", F.when(F.size(kept) > 0, kept).otherwise(only))
     names = F.transform(
         "kept",
         lambda c: F.substring(F.coalesce(c["label"], F.concat(F.lit("Column "), (c["position"] + 1).cast("string"))), 1, HEADER_LENGTH),

@@ -15,13 +15,10 @@ from ..functions.numbers import fixed, is_numeric
 from ..operators.aggregates import Measure, aggregate, order_by, page_of, text_of
 from ..operators.filters import bound_filters, where_all
 
-# Default lengths of ranked reports and of the record table.
+# Default lengths of ranked reports.
 BAR_LIMIT = 20
 DONUT_SLICES = 10
-TABLE_LIMIT = 10_000
 MISSING_LABEL = "—"
-# Spark's own bound on pivot columns; wider matrices stay in long form.
-PIVOT_LIMIT = 10_000
 
 GRANULARITIES = ["day", "week", "month", "quarter", "year"]
 
@@ -46,14 +43,14 @@ def trend(df: DataFrame, time: str, measures: Iterable[str], aggregation: str =
 
 
 def bars(df: DataFrame, dimension: str, measures: Iterable[str], aggregation: str = "sum", sort: tuple[str, str] = ("value", "desc"), limit: int | None = BAR_LIMIT) -> DataFrame:
-    """A ranking of one dimension by value or by label; equal values rank by label."""
+    """A ranking of one dimension by value or by label; equal values rank by label. ``limit=None`` keeps all."""
     measures = list(measures)
-    out = aggregate(df, [dimension], [(m, aggregation, m) for m in measures if m != dimension] or [(dimension, aggregation, "count_records")])
     # A dimension counted by itself would overwrite its label; it gets its own name instead.
+    out = aggregate(df, [dimension], [(m, aggregation, "count_records" if m == dimension else m) for m in measures])
     first = measures[0] if measures[0] != dimension else "count_records"
     by, direction = sort
     keys = [(first, direction)] if by == "value" else [(dimension, direction)]
-    return page_of(order_by(out, keys, ties=[dimension] if by == "value" else []), limit or BAR_LIMIT)
+    return page_of(order_by(out, keys, ties=[dimension] if by == "value" else []), limit)
 
 
 def donut(df: DataFrame, dimension: str, measure: str, aggregation: str = "sum", slices: int = DONUT_SLICES) -> DataFrame:
@@ -65,8 +62,8 @@ def donut(df: DataFrame, dimension: str, measure: str, aggregation: str = "sum",
     return top.withColumn("share", F.when(total > 0, fixed(value / total * 100, 1)))
 
 
-def record_table(df: DataFrame, columns: Iterable[str], sort: tuple[str, str] | None = None, search: str | None = None, limit: int = TABLE_LIMIT, ties: Iterable[str] = ()) -> DataFrame:
-    """Chosen columns, optionally searched and sorted, up to the table limit."""
+def record_table(df: DataFrame, columns: Iterable[str], sort: tuple[str, str] | None = None, search: str | None = None, limit: int | None = None, ties: Iterable[str] = ()) -> DataFrame:
+    """Chosen columns, optionally searched and sorted; all rows unless the caller names a limit."""
     out = df.select(*[F.col(f"`{c}`") for c in columns])
     if search and search.strip():
         out = search_table(out, search)
@@ -122,17 +119,12 @@ def pivot_cells(df: DataFrame, row: str, column: str | None, measure: tuple[str,
     return cells.groupBy("row_label", "col_label").agg(F.sum("value").alias("value"))
 
 
-def pivot_matrix(df: DataFrame, row: str, column: str, measure: tuple[str, str], values: list[str] | None = None) -> DataFrame:
-    """The matrix of one row and one column dimension, absent cells 0.
+def pivot_matrix(df: DataFrame, row: str, column: str, measure: tuple[str, str], values: list[str]) -> DataFrame:
+    """The matrix of one row dimension and the listed labels of a column dimension, absent cells 0.
 
-    Column labels come from the caller or from one pass over the aggregated cells, bounded by Spark's pivot limit.
+    Labels the caller does not list are in ``pivot_cells`` and ``pivot_long``, which hold every cell.
     """
     cells = pivot_cells(df, row, column, measure)
-    if values is None:
-        found = cells.select("col_label").distinct().orderBy("col_label").limit(PIVOT_LIMIT + 1).collect()
-        if len(found) > PIVOT_LIMIT:
-            raise ValueError("too many column labels for a matrix; use pivot_long")
-        values = [r[0] for r in found]
     wide = cells.groupBy(F.col("row_label").alias(row)).pivot("col_label", values).agg(F.sum("value"))
     return wide.na.fill(0, subset=values).orderBy(row)
 
@@ -149,9 +141,9 @@ def pivot_totals(df: DataFrame, row: str, column: str | None, measure: tuple[str
 REPORTS = {
     "kpi": lambda df, r: kpi(df, r["measure"], r.get("aggregation", "sum"), **r.get("comparison", {})),
     "line": lambda df, r: trend(df, r["time"], r["measures"], r.get("aggregation", "sum"), r.get("granularity")),
-    "bar": lambda df, r: bars(df, r["dimension"], r["measures"], r.get("aggregation", "sum"), r.get("sort", ("value", "desc")), r.get("limit")),
+    "bar": lambda df, r: bars(df, r["dimension"], r["measures"], r.get("aggregation", "sum"), r.get("sort", ("value", "desc")), r.get("limit", BAR_LIMIT)),
     "donut": lambda df, r: donut(df, r["dimension"], r["measure"], r.get("aggregation", "sum"), r.get("slices", DONUT_SLICES)),
-    "table": lambda df, r: record_table(df, r["columns"], r.get("sort"), r.get("search"), r.get("limit", TABLE_LIMIT)),
+    "table": lambda df, r: record_table(df, r["columns"], r.get("sort"), r.get("search"), r.get("limit")),
     "pivot": lambda df, r: pivot_long(df, r["rows"], r.get("columns", []), r["measures"]),
 }
 

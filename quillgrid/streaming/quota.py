@@ -27,7 +27,7 @@ def _admit(log: list[int], now: int, limit: int, window: int) -> tuple[bool, int
     while log and now - log[0] >= window:
         log.pop(0)
     if len(log) >= limit:
-        wait = window - (now - log[0])
+        wait = window - (now - log[0]) if log else window
         return False, 0, max(1, -(-wait // 1000))
     log.append(now)
     return True, limit - len(log), 0
@@ -53,6 +53,8 @@ def _decide_moments(ms: np.ndarray, n: np.ndarray, log: list[int], limit: int, w
     While the log is full nothing is admitted until its oldest entry leaves, so those moments are passed in one step.
     """
     room, wait, i = np.zeros(len(ms), dtype="int64"), np.zeros(len(ms), dtype="int64"), 0
+    if limit < 1:
+        return room, wait + window
     while i < len(ms):
         now = int(ms[i])
         while log and now - log[0] >= window:

@@ -74,16 +74,46 @@ def test_question_limits(projects):
     assert len(read_question("list them", profile)["columns"]) == 6
 
 
-@pytest.mark.parametrize(
-    "sql",
-    [
-        "", "DELETE FROM t", "SELECT 1; SELECT 2", "SELECT * FROM t; DROP TABLE t", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SELECT read_csv('x')",
-        'SELECT "read_parquet"(\'x\')', "SELECT * FROM csv.`/etc/passwd`", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT java_method('a', 'b')", "SELECT " + "1" * 4000,
-    ],
-)
-def test_refused_sql(sql):
+REFUSED = """
+DELETE FROM t
+SELECT 1; SELECT 2
+SELECT * FROM t; DROP TABLE t
+WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x
+SELECT read_csv('x')
+SELECT * FROM csv.`/etc/passwd`
+SELECT *, 1 AS "/etc/passwd" FROM text."/etc/passwd"
+SELECT * FROM `text`.`/etc/passwd`
+SELECT /* ' */ * FROM text.`/etc/passwd` -- '
+SELECT '\\' FROM text.`/etc/passwd` WHERE '' = '\\'
+SELECT * FROM own_view
+SELECT * FROM default.t
+SELECT (SELECT max(x) FROM own_view) FROM t
+SELECT * FROM t WHERE EXISTS (SELECT 1 FROM own_view)
+SELECT * FROM t WHERE x IN (SELECT x FROM own_view)
+SELECT * FROM (SELECT * FROM (SELECT * FROM own_view))
+SELECT * FROM own_view WHERE EXISTS (WITH own_view AS (SELECT 1) SELECT * FROM own_view)
+WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a
+SELECT * FROM range(10)
+SELECT reflect('java.lang.System', 'exit', 0)
+SELECT `java_method`('a', 'b')
+SELECT session_user()
+SELECT * FROM IDENTIFIER('own_view')
+SELECT TRANSFORM(x) USING 'cat' FROM t
+VALUES (1)
+""".strip().splitlines()
+
+
+@pytest.mark.parametrize("sql", ["", "SELECT " + "1" * 4000, *REFUSED])
+def test_refused_sql(spark, sql):
+    spark.range(3).createOrReplaceTempView("own_view")
     with pytest.raises(ValueError):
-        check_sql(sql)
+        check_sql(spark, sql, ["t"])
+
+
+def test_session_views_stay(spark, regions):
+    spark.range(3).createOrReplaceTempView("sales")
+    assert ask_sql(spark, "WITH s AS (SELECT count(*) AS n FROM sales) SELECT n FROM s", {"sales": regions}).first()[0] == regions.count()
+    assert spark.table("sales").count() == 3
 
 
 def test_allowed_sql(spark, regions):

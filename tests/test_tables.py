@@ -121,7 +121,7 @@ def test_reports(sales):
 def test_pivots(sales):
     long = R.pivot_long(sales, ["region"], ["category"], [("sales", "sum"), ("sales", "avg")])
     assert long.columns == ["region", "category", "sales", "sales_avg"]
-    wide = {r["region"]: r.asDict() for r in R.pivot_matrix(sales, "region", "category", ("sales", "sum")).collect()}
+    wide = {r["region"]: r.asDict() for r in R.pivot_matrix(sales, "region", "category", ("sales", "sum"), [r[0] for r in R.pivot_cells(sales, "region", "category", ("sales", "sum")).select("col_label").distinct().collect()]).collect()}
     assert wide["East"]["Tech"] == 100.0 and wide["South"]["—"] == 50.0 and wide["South"]["Tech"] == 0.0
     totals = {(r["row_label"], r["col_label"]): r["value"] for r in R.pivot_totals(sales.fillna({"category": "Other"}), "region", "category", ("sales", "avg")).collect()}
     assert totals["West", None] == 700.0 and totals[None, "Tech"] == 400.0 and totals[None, None] == 1200.0
@@ -137,3 +137,15 @@ def test_trend_granularity(spark):
     df = spark.createDataFrame([("2024-01-05", 1), ("2024-01-20", 2), ("2024-02-01", 4)], "d string, v int").withColumn("d", F.to_date("d"))
     assert [r["v"] for r in R.trend(df, "d", ["v"], granularity="month").collect()] == [3, 4]
     assert [r["v"] for r in R.trend(df, "d", ["v"]).collect()] == [1, 2, 4]
+
+
+def test_all_rows_columns_and_digits(spark, sales):
+    """Nothing is cut that the caller did not ask to cut."""
+    many = spark.range(60_000).withColumn("v", F.col("id") % 50)
+    assert R.record_table(many, ["id"]).count() == 60_000
+    assert R.bars(many, "id", ["v"], limit=None).count() == 60_000
+    both = R.bars(sales, "region", ["region", "sales"], "count")
+    assert both.columns == ["region", "count_records", "sales"]
+    ids = spark.createDataFrame([(9007199254740993,), (9007199254740992,)], "id bigint")
+    for op, value, n in (("eq", "9007199254740993", 1), ("in", ["9007199254740993"], 1), ("gt", "9007199254740992", 1)):
+        assert where_all(ids, [("id", op, value)]).count() == n

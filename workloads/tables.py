@@ -310,7 +310,7 @@ def donut_share(spark, sf):
     return R.donut(load(spark, sf, "part"), "p_brand", "p_size", slices=7)
 
 
-@query("table_records", "select p_name, p_brand, p_retailprice from part order by p_retailprice desc, p_partkey limit 10000")
+@query("table_records", "select p_name, p_brand, p_retailprice from part order by p_retailprice desc, p_partkey")
 def table_records(spark, sf):
     out = R.record_table(load(spark, sf, "part"), ["p_name", "p_brand", "p_retailprice", "p_partkey"], ("p_retailprice", "desc"), ties=["p_partkey"])
     return out.drop("p_partkey")
@@ -362,7 +362,7 @@ def pivot_long(spark, sf):
     """,
 )
 def pivot_matrix(spark, sf):
-    return rounded(R.pivot_matrix(load(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ("o_totalprice", "sum")), F=2, O=2, P=2)
+    return rounded(R.pivot_matrix(load(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ("o_totalprice", "sum"), ["F", "O", "P"]), F=2, O=2, P=2)
 
 
 _CELLS = """
