@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.textbatch import slices
 
-SHARD = 1 << 21
+SHARD = 1 << 19
 MIN_COUNT = 12
 #: A round takes pairs that make up at least this share of the symbols (and MIN_COUNT occurrences).
 ROUNDS = (2**-9, 2**-11, 2**-13, 2**-15, 2**-17, 2**-18)
-_COUNTER_BITS = 21
+_COUNTER_BITS = 19
 
 SHARD_SCHEMA = (
     "part int, shard int, start bigint, n_ids bigint, terminals bigint, keys binary, key_null binary, lengths binary, at binary, symbols binary, left binary, right binary, expanded binary"
