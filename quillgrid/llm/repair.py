@@ -18,7 +18,10 @@ text. An empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +115,34 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, expanded: n
     return _gather(flat, place[symbols], size[symbols])
 
 
+#: Stretches of text that end where the tokenizer's own pattern ends a word too, whatever follows: a run of Latin letters
+#: before other ASCII, a run of ASCII marks before a space or letter, a line break before text, and else everything up to
+#: a space that begins a word. So their ids, one after another, are the ids of the whole text.
+STRETCH = re.compile(
+    r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\x00-&(-@\[-`{-\x7f]|\Z)| ?[!-&(-/:-@\[-`{-~]++(?=[\t-\r A-Za-z]|\Z)|\n(?=\S)|.[^ ]*+(?: (?!\S)[^ ]*+)*+", re.DOTALL
+)
+#: Stretches a worker remembers (some 150 bytes each); beyond it forgets all and learns again.
+REMEMBERED = 3 << 18
+_LEARN = 4096
+
+
+class _Numbers(dict):
+    """Stretches numbered as they come; ``new`` holds those not encoded yet."""
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = number = len(self)
+        self.new.append(stretch)
+        return number
+
+
 class Ids:
-    """Ids of texts by the tokenizers library; a Python worker keeps one for its next task."""
+    """Ids of texts by the tokenizers library; a Python worker keeps one for its next task.
+
+    The library encodes every distinct stretch of words once; a text is put together from its stretches.
+    """
 
     made: dict[str, Ids] = {}
 
@@ -123,17 +152,70 @@ class Ids:
             cls.made[path] = cls(vocabulary.value)
         return cls.made[path]
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+        # A worker is one of many on its machine; threads of its own would only add memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.terminals = self.tokenizer.get_vocab_size()
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.learnt = 0
+
+    def _coded(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches in sequence, and the number of ids of each.
+
+        Stretches without white space but a leading space go through the library as one text, a line break after each:
+        between two of them it is a token of its own, and none of them holds it.
+        """
+        plain = np.array([not (x[-1].isspace() or (x[1:2] if x[0] == " " else x[0]).isspace() or "\n" in x) for x in stretches])
+        ends_line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        if len(ends_line) != 1:
+            plain[:] = False
+        text = "".join(x + "\n" for x, p in zip(stretches, plain) if p)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        breaks = ids == ends_line[0]
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([x for x, p in zip(stretches, plain) if not p], add_special_tokens=False)]
+        size = np.zeros(len(stretches), np.int64)
+        size[plain] = np.diff(np.flatnonzero(breaks), prepend=-1) - 1
+        size[~plain] = [len(c) for c in others]
+        flat, joined = np.zeros(int(size.sum()), np.uint32), np.repeat(plain, size)
+        flat[joined] = ids[~breaks]
+        flat[~joined] = np.fromiter(chain.from_iterable(others), np.uint32)
+        return flat, size
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        for at in range(0, len(new), _LEARN):
+            ids, size = self._coded(new[at : at + _LEARN])
+            ends = (int(self.ends[self.learnt - 1]) if self.learnt else 0) + np.cumsum(size)
+            start, upto = int(ends[-1]) - len(ids), self.learnt + len(size)
+            if ends[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+            if upto > len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(size)), np.int64)])
+            self.flat[start : start + len(ids)] = ids
+            self.ends[self.learnt : upto] = ends
+            self.learnt = upto
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in sequence, and the number of ids of each text."""
-        coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([*coded, np.zeros(0, np.uint32)]), np.array([len(c) for c in coded], np.int64)
+        if len(self.numbers) > self.remembered:
+            self._forget()
+        parts = [STRETCH.findall(t) for t in texts]
+        used = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(parts)), np.int64)
+        self._learn()
+        place = np.where(used > 0, self.ends[used - 1], 0)
+        size = self.ends[used] - place
+        upto = np.concatenate([[0], np.cumsum(size)])
+        bounds = upto[np.cumsum([0, *map(len, parts)])]
+        return _gather(self.flat, place, size), np.diff(bounds)
 
 
 def write_shards(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD) -> None:
@@ -187,7 +269,8 @@ def _documents(spark: SparkSession, folder: str, field: str, derive) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):
+                (r,) = batch.slice(at, 1).to_pylist()
                 u4 = {c: np.frombuffer(r[c], "<u4") for c in ("lengths", "at", "symbols", "left", "right", "expanded")}
                 ids = expand(u4["symbols"], u4["left"], u4["right"], u4["expanded"], r["terminals"]).astype("<u4")
                 size = u4["lengths"].astype(np.int64)

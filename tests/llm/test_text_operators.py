@@ -91,6 +91,20 @@ def test_repair_compresses_and_expands():
     assert all(x < 100 + i for i, x in enumerate(np.maximum(left, right).tolist()))
 
 
+def test_stretches_give_the_ids_of_whole_texts():
+    with open(VOCABULARY, encoding="utf-8") as file:
+        coder = repair.Ids(file.read(), remembered=500)
+    marks = [*" \n\t\r'.,#sdltm019²½ⅧabXcé×αβ中_-|<>", "\xa0", "\u3000", "\x1c", "\x85", "\u0301", "\u200b", "  ", "'ll", "<|endoftext|>", " \n", "😀"]
+    draw = random.Random(3)
+    for _ in range(3000):
+        texts = ["".join(draw.choices(marks, k=draw.randint(0, 14))) for _ in range(3)]
+        ids, lengths = coder.of(texts)
+        whole = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == whole, texts
+    ids, lengths = coder.of([])
+    assert len(ids) == len(lengths) == 0
+
+
 def test_repair_files(spark, odd_docs, no_docs, tmp_path):
     t = Tokenizer.from_file(VOCABULARY)
     t.encode_special_tokens = True
