@@ -121,8 +121,10 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, expanded: n
 STRETCH = re.compile(
     r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\x00-&(-@\[-`{-\x7f]|\Z)| ?[!-&(-/:-@\[-`{-~]++(?=[\t-\r A-Za-z]|\Z)|\n(?=\S)|.[^ ]*+(?: (?!\S)[^ ]*+)*+", re.DOTALL
 )
+#: Stretches that the pattern leaves whole.
+ONE_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[!-&(-/:-@\[-`{-~]+|\n")
 #: Stretches a worker remembers (some 150 bytes each); beyond it forgets all and learns again.
-REMEMBERED = 3 << 18
+REMEMBERED = 5 << 18
 _LEARN = 4096
 
 
@@ -160,6 +162,9 @@ class Ids:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.terminals = self.tokenizer.get_vocab_size()
+        # How the pre-tokenizer spells the characters of such stretches.
+        spelt = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = {c: "".join(x for x, _ in spelt(chr(c))) for c in [10, *range(32, 127), *range(0xC0, 0x250)]}
         self.remembered = remembered
         self._forget()
 
@@ -171,24 +176,14 @@ class Ids:
     def _coded(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all stretches in sequence, and the number of ids of each.
 
-        Stretches without white space but a leading space go through the library as one text, a line break after each:
-        between two of them it is a token of its own, and none of them holds it.
+        A stretch that is one word to the tokenizer's pattern goes to its merges at once, any other through all its steps.
         """
-        plain = np.array([not (x[-1].isspace() or (x[1:2] if x[0] == " " else x[0]).isspace() or "\n" in x) for x in stretches])
-        ends_line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        if len(ends_line) != 1:
-            plain[:] = False
-        text = "".join(x + "\n" for x, p in zip(stretches, plain) if p)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        breaks = ids == ends_line[0]
-        others = [e.ids for e in self.tokenizer.encode_batch_fast([x for x, p in zip(stretches, plain) if not p], add_special_tokens=False)]
-        size = np.zeros(len(stretches), np.int64)
-        size[plain] = np.diff(np.flatnonzero(breaks), prepend=-1) - 1
-        size[~plain] = [len(c) for c in others]
-        flat, joined = np.zeros(int(size.sum()), np.uint32), np.repeat(plain, size)
-        flat[joined] = ids[~breaks]
-        flat[~joined] = np.fromiter(chain.from_iterable(others), np.uint32)
-        return flat, size
+        merges, spelt = self.tokenizer.model.tokenize, self.spelling
+        coded = [[t.id for t in merges(x.translate(spelt))] if ONE_WORD.fullmatch(x) else None for x in stretches]
+        others = [i for i, c in enumerate(coded) if c is None]
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([stretches[i] for i in others], add_special_tokens=False)):
+            coded[i] = e.ids
+        return np.fromiter(chain.from_iterable(coded), np.uint32), np.array([len(c) for c in coded], np.int64)
 
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
