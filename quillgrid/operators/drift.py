@@ -6,6 +6,7 @@ sample_values)``, so one job checks a whole catalogue of tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from typing import Any
 
@@ -38,44 +39,48 @@ def coercible(expected: Column, actual: Column) -> Column:
     return test
 
 
+#: What a report field implies for the columns it names, by report type and field.
+FIELD_TYPES = {
+    "kpi": [("measure", "number")],
+    "line": [("time", "date"), ("measures", "number")],
+    "bar": [("dimension", "category"), ("measures", "number")],
+    "donut": [("dimension", "category"), ("measure", "number")],
+    "table": [("columns", "by name")],
+    "pivot": [("rows", "category"), ("columns", "category"), ("measures", "number")],
+}
+#: Formats that say more than the field: which of them count for a report type.
+FORMAT_TYPES = {("kpi", "measure"): ["currency", "percent"], ("table", "columns"): ["currency", "percent"], ("pivot", "measures"): ["currency"]}
+CONTROL_TYPES = {"date-range": "date", "numeric-range": "number"}
+
+
+def _type_by_name(key: str) -> str:
+    name = key.lower()
+    if re.search("(^id|_id|_code|_sku)$", name):
+        return "id"
+    return "date" if re.search("date|time", name) else "text"
+
+
+def _type_by_format(fmt: Mapping[str, Any]) -> str | None:
+    return "currency" if fmt.get("currency") else "percent" if fmt.get("suffix") == "%" else None
+
+
+def _mentions(report: Mapping[str, Any]) -> Iterable[tuple[str, str]]:
+    for field, implied in FIELD_TYPES[report["type"]]:
+        named = report.get(field, [])
+        for entry in [named] if isinstance(named, str) else named:
+            key = entry if isinstance(entry, str) else entry[0]
+            fmt = _type_by_format(report.get("formats", {}).get(key, {}))
+            counts = fmt in FORMAT_TYPES.get((report["type"], field), [])
+            yield key, fmt if counts else _type_by_name(key) if implied == "by name" else implied
+
+
 def expected_columns(reports: Iterable[Mapping[str, Any]], controls: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str]]:
     """``(key, type)`` implied by dashboard controls ``(kind, key)`` and report definitions; the first mention wins."""
+    mentions = [(key, CONTROL_TYPES.get(kind, "category")) for kind, key in controls]
+    mentions += [m for r in reports for m in _mentions(r)]
     found: dict[str, str] = {}
-
-    def mention(key: str, kind: str) -> None:
+    for key, kind in mentions:
         found.setdefault(key, kind)
-
-    def shown(r: Mapping[str, Any], key: str) -> str | None:
-        fmt = r.get("formats", {}).get(key, {})
-        return "currency" if fmt.get("currency") else "percent" if fmt.get("suffix") == "%" else None
-
-    for kind, key in controls:
-        mention(key, {"date-range": "date", "numeric-range": "number"}.get(kind, "category"))
-    for r in reports:
-        match r["type"]:
-            case "kpi":
-                mention(r["measure"], shown(r, r["measure"]) or "number")
-            case "line":
-                mention(r["time"], "date")
-                for m in r["measures"]:
-                    mention(m, "number")
-            case "bar":
-                mention(r["dimension"], "category")
-                for m in r["measures"]:
-                    mention(m, "number")
-            case "donut":
-                mention(r["dimension"], "category")
-                mention(r["measure"], "number")
-            case "table":
-                for c in r["columns"]:
-                    low = c.lower()
-                    by_name = "id" if low == "id" or low.endswith(("_id", "_code", "_sku")) else "date" if "date" in low or "time" in low else "text"
-                    mention(c, shown(r, c) or by_name)
-            case "pivot":
-                for c in [*r["rows"], *r.get("columns", [])]:
-                    mention(c, "category")
-                for key, _ in r["measures"]:
-                    mention(key, "currency" if shown(r, key) == "currency" else "number")
     return list(found.items())
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Limits of a single upload.
 MAX_BYTES, MAX_ROWS, MAX_COLUMNS, MAX_SHEETS = 10 * 1024 * 1024, 200_000, 200, 20
 PROBE_BYTES = 4096
+# What Spark can hold in one binary value.
+MAX_CONTENT = 2**31 - 1024
 # First bytes of zip (two kinds), legacy office, and known binary files; byte-order marks; macro types.
 ZIP_STARTS = ["504B0304", "504B0506"]
 OLE_START = "D0CF11E0A1B11AE1"
@@ -20,14 +22,17 @@ MACRO_EXTENSIONS = ["xlsm", "xlsb", "xltm", "xlam", "xlm", "xla"]
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files with their bytes: ``path, content``.
+    """Files with their size and bytes: ``path, length, content``. Bytes beyond ``MAX_CONTENT`` are not read but null.
 
     Spark's scans skip empty files, so those are added from the listing that every read makes.
     """
     scanned = spark.read.format("binaryFile").load(paths)
+    # The size is a pushed filter, so the scan of large files opens none of them.
+    held = scanned.where(F.col("length") <= MAX_CONTENT).select("path", "length", "content")
+    large = scanned.where(F.col("length") > MAX_CONTENT).select("path", "length", F.lit(None).cast("binary").alias("content"))
     listed = [re.sub("^file:/+", "file:/", unquote(p)) for p in scanned.inputFiles()]
     empty = spark.createDataFrame([(p,) for p in listed], "path string").join(scanned.select("path"), "path", "left_anti")
-    return scanned.select("path", "content").unionByName(empty.select("path", F.lit(b"").alias("content")))
+    return held.unionByName(large).unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
 
 
 def _starts(head: Column, *marks: str) -> Column:
@@ -53,9 +58,9 @@ def content_hash(files: DataFrame) -> DataFrame:
 
 
 def audit_files(files: DataFrame) -> DataFrame:
-    """One row per file ``(path, content)``: size, extension, type by content, delimiter kind and a status."""
+    """One row per file ``(path, length, content)``: size, extension, type by content, delimiter kind and a status."""
     head = F.hex(F.substring("content", 1, 8))
-    size = F.length("content")
+    size = F.col("length") if "length" in files.columns else F.length("content")
     last = F.element_at(F.split("path", r"\."), -1)
     staged = files.select("path", "content", size.alias("n_bytes"), F.lower(F.trim(last)).alias("extension"), head.alias("head"))
     ext, head = F.col("extension"), F.col("head")

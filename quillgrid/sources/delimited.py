@@ -25,8 +25,6 @@ DELIMITERS = [",", "\t", ";"]
 # Bytes looked at to choose a delimiter, and the name of a text file's only sheet.
 HEAD_BYTES = 4096
 SHEET = "Sheet1"
-# Splits up to this number are broadcast as one row each (about 100 bytes); beyond it lines and splits are joined sorted.
-BROADCAST_SPLITS = 500_000
 
 # A private-use character that takes the place of carriage returns while a record is cut.
 _SHIELD = "\ue000"
@@ -213,16 +211,13 @@ def cells_of(fields: Column) -> Column:
 def read_grid(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All records of the files as grid rows."""
     lines = _lines(spark, paths)
-    # The summaries are read by the count below and by the join; writing them keeps the first pass to one run.
+    # Writing the summaries keeps the first pass to one run and tells the planner their size.
     folder = shared_folder(spark)
     lines.mapInPandas(_summarise, _SUMMARY).write.parquet(folder)
     splits = _placed_splits(spark.read.schema(_SUMMARY).parquet(folder))
     keys = ["file_id", "block_start"]
-    n_splits = spark.read.parquet(folder).count() // len(DELIMITERS)
-    if n_splits <= BROADCAST_SPLITS:
-        placed = lines.join(F.broadcast(splits), keys)
-    else:
-        placed = lines.join(splits.hint("merge"), keys).sortWithinPartitions(*keys, "line_no")
+    # Spark picks the join by size; lines are put back in order in either case.
+    placed = lines.join(splits, keys).sortWithinPartitions(*keys, "line_no")
     columns = ["file_id", "block_start", "value", "delimiter", "quoted", "first_row"]
     pieces = placed.select(*columns).mapInPandas(_cut, _PIECES)
     whole = pieces.where(F.col("fields").isNotNull()).select("file_id", "row_idx", "fields")
@@ -246,10 +241,15 @@ def _cut_crossing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def grid_from_cells(cells: DataFrame) -> DataFrame:
-    """Grid rows from a cell table ``(file_id, sheet, row_idx, col_idx, raw, kind)``; gaps become empty cells."""
-    by_column = F.map_from_entries(F.collect_list(F.struct("col_idx", F.struct("raw", "kind"))))
+    """Grid rows from a cell table ``(file_id, sheet, row_idx, col_idx, raw, kind)``; gaps become empty cells.
+
+    Of several cells at one place the last by ``(raw, kind)`` stays.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("col_idx", F.struct("raw", "kind").alias("cell"))))
     empty = F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("kind"))
-    rows = cells.groupBy("file_id", "sheet", "row_idx").agg(by_column.alias("found"), F.max("col_idx").alias("last"))
+    rows = cells.groupBy("file_id", "sheet", "row_idx").agg(entries.alias("entries"), F.max("col_idx").alias("last"))
+    last_here = F.filter("entries", lambda e, i: F.coalesce(F.get("entries", i + 1)["col_idx"] != e["col_idx"], F.lit(True)))
+    rows = rows.withColumn("found", F.map_from_entries(last_here))
     filled = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("found", i), empty))
     return rows.select("file_id", "sheet", "row_idx", filled.alias("cells"))
 

@@ -119,12 +119,14 @@ def admit_events(
 def admit_stream(
     events: DataFrame, keys: list[str], time: str, limit: int, window_ms: int = WINDOW_MS, lateness: str = "1 minute", tie: str | None = None
 ) -> DataFrame:
-    """The sliding log on a stream. State per key is its admitted times; it is dropped once they have all aged out.
+    """The sliding log on a stream: every event with its decision, as ``admit_events`` gives it.
 
+    State per key is its admitted times; it is dropped once they have all aged out.
     Events are decided in time order inside a micro-batch; an event older than the watermark is dropped.
     """
     events = events.withColumn(time, F.col(time).cast("timestamp"))
-    kept = [time, *([tie] if tie and tie not in keys else [])]
+    kept = [c for c in events.columns if c not in keys]
+    order = ["_ms", *([tie] if tie and tie not in keys else [])]
     fields = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in [*keys, *kept])
     names = [*keys, *kept, "admitted", "remaining", "retry_after_seconds"]
 
@@ -134,16 +136,16 @@ def admit_stream(
             return
         log = list(state.get[0]) if state.exists else []
         # One key's events of one micro-batch, whose size the source bounds.
-        pdf = pd.concat(list(batches)).sort_values(["_ms", *kept[1:]], kind="stable")
+        pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
         decisions = [_admit(log, now, limit, window_ms) for now in pdf["_ms"].tolist()]
         state.update((log,))
         # Spark asks for a timeout after the present watermark.
-        state.setTimeoutTimestamp(max(log[-1] + window_ms, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((log[-1] if log else 0) + window_ms, state.getCurrentWatermarkMs() + 1))
         out = pd.DataFrame(decisions, columns=names[-3:], index=pdf.index)
         yield pd.concat([pdf[[*keys, *kept]], out], axis=1)[names]
 
     return (
-        events.select(*keys, *kept, F.unix_millis(time).alias("_ms"))
+        events.withColumn("_ms", F.unix_millis(time))
         .withWatermark(time, lateness)
         .groupBy(*keys)
         .applyInPandasWithState(decide, f"{fields}, {_DECISION}", "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -65,6 +65,14 @@ def test_stream_decides_like_the_batch(spark, tmp_path):
     assert got == plain_loop(rows, 3, 60_000)
 
 
+def test_stream_keeps_columns_and_a_limit_of_none_admitted(spark, tmp_path):
+    source = str(tmp_path / "in")
+    df = events(spark, [(i, "a", 1000 + i * 1000) for i in range(3)]).selectExpr("*", "id * 2 as other")
+    df.coalesce(1).write.parquet(source)
+    out = run_stream(spark, lambda s: admit_stream(s, ["key"], "ts", 0, 60_000), source, tmp_path)
+    assert {(r["id"], r["other"], r["admitted"], r["retry_after_seconds"]) for r in out.collect()} == {(i, 2 * i, False, 60) for i in range(3)}
+
+
 def test_minute_quota(spark, tmp_path):
     rows = [(i, "u1", i * 1000) for i in range(40)] + [(100 + i, "u2", 70_000 + i) for i in range(5)]
     df = events(spark, rows).selectExpr("key as actor", "'query-ask' as action", "ts")

@@ -8,7 +8,7 @@ import pytest
 
 from quillgrid.sources.audit import audit_files, content_hash, read_files
 from quillgrid.sources.catalog import active_table, empty_table, ingest_files, is_safe_name, register, table_name
-from quillgrid.sources.delimited import detect_delimiter, ends_quoted, read_grid, split_fields
+from quillgrid.sources.delimited import detect_delimiter, ends_quoted, grid_from_cells, read_grid, split_fields
 from quillgrid.sources.export import csv_lines, json_lines, write_csv, write_json, write_tsv
 
 
@@ -58,6 +58,11 @@ def test_blank_and_ragged_rows_stay(spark, tmp_path):
     assert [c["kind"] for c in grid.where("row_idx = 3").first()["cells"]] == ["number", "boolean"]
 
 
+def test_cells_given_twice(spark):
+    cells = spark.createDataFrame([("f", "s", 0, 2, "x", "string"), ("f", "s", 0, 2, "y", "string"), ("f", "s", 0, 0, None, None)], "file_id string, sheet string, row_idx bigint, col_idx int, raw string, kind string")
+    assert [c["raw"] for c in grid_from_cells(cells).first()["cells"]] == [None, None, "y"]
+
+
 def test_delimiters(spark, tmp_path):
     for name, text in {"a.tsv": "a,b,c\n", "b.csv": "a\tb\tc;d\n", "c.txt": "a\tb\tc,d\n", "d.txt": "a,b\tc,d\n", "e.txt": "a;b;c\n"}.items():
         (tmp_path / name).write_text(text)
@@ -108,6 +113,9 @@ def test_written_files(spark, exported, tmp_path):
     write_csv(exported, str(tmp_path / "c"))
     text = next((tmp_path / "c").glob("part-*")).read_bytes().decode()
     assert text.startswith("a,n,b,t\r\n'=1+1,") and text.endswith("plain,1,,a@b\r\n") and '"two\nlines"' in text
+    write_csv(exported.repartition(3), str(tmp_path / "many"))
+    parts = [p.read_bytes().decode() for p in (tmp_path / "many").glob("part-*") if p.stat().st_size]
+    assert all(p.count("a,n,b,t\r\n") == 1 and p.startswith("a,n,b,t\r\n") for p in parts)
     write_tsv(exported, str(tmp_path / "t"), header=False)
     assert next((tmp_path / "t").glob("part-*")).read_bytes().decode().startswith("'=1+1\t'-5\t")
     write_json(exported, str(tmp_path / "j"))

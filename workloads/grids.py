@@ -97,17 +97,17 @@ def line_flags(spark, sf):
 @query(
     "lines_noise",
     f"""
-    with flagged as (select *, t = '' as is_blank, (t <> '' and {_SUBTOTAL}) as is_subtotal, (t <> '' and {_NOTE}) as is_note from {_LINES} where row_idx > 0),
+    with flagged as (select *, t = '' as is_blank, (t <> '' and {_SUBTOTAL}) as is_subtotal, (t <> '' and {_NOTE}) as is_note from {_LINES}),
          ends as (select doc_id, max(row_idx) as last_row from flagged where not is_blank and not is_note group by doc_id)
     select doc_id, count(*) as n_rows, sum(row_idx)::bigint as row_sum, sum(length(t))::bigint as n_chars
     from flagged join ends using (doc_id) where row_idx <= last_row and not is_blank and not is_subtotal group by doc_id
     """,
 )
 def lines_noise(spark, sf):
-    """Whole documents as one-column sheets under a given header row: what is left below it."""
+    """Whole documents as one-column sheets that have no header row of their own: what is left of all their lines."""
     grid = document_lines(spark, sf)
     headers = grid.select("file_id", "sheet").distinct().select(
-        "*", F.lit(0).cast("bigint").alias("header_row"), F.array(F.lit("line")).alias("keys"), F.array(F.lit(0)).alias("active_columns")
+        "*", F.lit(-1).cast("bigint").alias("header_row"), F.array(F.lit("line")).alias("keys"), F.array(F.lit(0)).alias("active_columns")
     )
     kept = G.to_table(G.records(grid, headers), ["line"])
     return kept.groupBy(F.col("file_id").cast("bigint").alias("doc_id")).agg(

@@ -9,7 +9,7 @@ from quillgrid.operators import drift as D
 from quillgrid.operators.profile import describe_columns
 from quillgrid.plans.reports import run_reports
 
-from .base import load, query, rounded
+from .base import ORACLE, load, query, rounded
 from .profiles import _values
 
 # How the next delivery of orders names its columns; o_orderpriority is gone, a note was added, the key became text.
@@ -92,9 +92,15 @@ def fingerprint(spark, sf):
     return D.fingerprint(describe_columns(load(spark, sf, "labels")))
 
 
-@query("expected_schema", _values(["place", "key", "type"], [(0, "o_orderdate", "date"), (1, "o_totalprice", "currency"), (2, "o_orderstatus", "category"), (3, "o_orderkey", "text"), (4, "o_custkey", "number")]))
+_EXPECTED = [("o_orderdate", "date"), ("o_totalprice", "currency"), ("o_orderstatus", "category"), ("o_orderkey", "text"), ("o_custkey", "number")]
+
+
+@query(
+    "expected_schema",
+    " union all ".join(f"select {i} as place, '{k}' as key, '{t}' as type, count({k}) as n_values, count(*) - count({k}) as n_missing from orders" for i, (k, t) in enumerate(_EXPECTED)),
+)
 def expected_schema(spark, sf):
-    """What reports over orders expect, for the columns the table has."""
+    """What reports over orders expect, with the values the table has for it."""
     reports = [
         {"type": "kpi", "measure": "o_totalprice", "formats": {"o_totalprice": {"currency": "USD"}}},
         {"type": "bar", "dimension": "o_orderstatus", "measures": ["o_totalprice"]},
@@ -102,8 +108,12 @@ def expected_schema(spark, sf):
         {"type": "pivot", "rows": ["o_orderstatus"], "measures": [("o_custkey", "sum")]},
     ]
     found = D.expected_columns(reports, [("date-range", "o_orderdate")])
-    have = load(spark, sf, "orders").columns
-    return spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(found) if k in have], "place int, key string, type string")
+    orders = load(spark, sf, "orders")
+    rows = [
+        F.struct(F.lit(i).alias("place"), F.lit(k).alias("key"), F.lit(t).alias("type"), F.count(k).alias("n_values"), F.count_if(F.col(k).isNull()).alias("n_missing"))
+        for i, (k, t) in enumerate(found) if k in orders.columns
+    ]
+    return orders.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 @query("edit_distance", "select p_partkey, levenshtein(p_name, p_type) as distance from part")
@@ -125,6 +135,13 @@ def token_overlaps(spark, sf):
     return load(spark, sf, "part").select("p_partkey", token_overlap(F.col("p_name"), F.col("p_type")).alias("overlap"))
 
 
-@query("name_similarity")
+@query(
+    "name_similarity",
+    f"""
+    select p_partkey, case when x = y then 1.0 else least(1.0, printf('%.3f', 0.4 * (1 - levenshtein(x, y) / greatest(length(x), length(y))) + 0.5 * overlap
+             + case when (length(x) >= 3 and contains(y, x)) or (length(y) >= 3 and contains(x, y)) then 0.2 else 0.0 end)::double) end::double as similarity
+    from (select p_partkey, lower(p_name) as x, lower(p_type) as y from part) join ({ORACLE["token_overlap"]}) using (p_partkey)
+    """,
+)
 def name_similarities(spark, sf):
     return load(spark, sf, "part").select("p_partkey", name_similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))

@@ -28,21 +28,37 @@ def _run_to_end(spark, stream):
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query("admission_log")
+def _log_sql(keys, limit, window):
+    """Every key's events one after another, each with the admitted times still in the window."""
+    same = " and ".join(f"e.{k} = s.{k}" for k in keys)
+    return f"""
+    with recursive e as (
+      select event_id, user_id, event_type, epoch_us(ts) // 1000 as ms, row_number() over (partition by {", ".join(keys)} order by epoch_us(ts) // 1000, event_id) as place from events),
+    s as (
+      select *, []::bigint[] as recent from e where place = 1 union all
+      select e.*, list_filter(case when len(s.recent) < {limit} then list_append(s.recent, s.ms) else s.recent end, lambda x: e.ms - x < {window})
+      from s join e on {same} and e.place = s.place + 1)
+    select event_id, user_id, event_type, len(recent) < {limit} as admitted, greatest(0, {limit} - 1 - len(recent))::int as remaining,
+           case when len(recent) < {limit} then 0 else greatest(1, ceil(({window} - (ms - recent[1])) / 1000)) end::int as retry_after_seconds
+    from s
+    """
+
+
+@query("admission_log", _log_sql(["event_type"], _LIMIT, _WINDOW))
 def admission_log(spark, sf):
-    """Three events per ten minutes and event type. Tested against a plain loop."""
+    """Three events per ten minutes and event type."""
     return admit_events(_events(spark, sf), ["event_type"], "ts", _LIMIT, _WINDOW, "event_id").drop("ts")
 
 
-@query("admission_log_per_user")
+@query("admission_log_per_user", _log_sql(["user_id", "event_type"], 1, 3_600_000))
 def admission_log_per_user(spark, sf):
     return admit_events(_events(spark, sf), ["user_id", "event_type"], "ts", 1, 3_600_000, "event_id").drop("ts")
 
 
-@query("admission_stream")
+@query("admission_stream", _log_sql(["event_type"], _LIMIT, _WINDOW))
 def admission_stream(spark, sf):
     stream = admit_stream(_event_stream(spark, sf), ["event_type"], "ts", _LIMIT, _WINDOW, tie="event_id")
-    return _run_to_end(spark, stream).drop("ts")
+    return _run_to_end(spark, stream).select("event_id", "user_id", "event_type", "admitted", "remaining", "retry_after_seconds")
 
 
 _FINE = "(select date_trunc('minute', ts) as minute, user_id::varchar as actor, event_type as action, count(*) as n from events group by 1, 2, 3)"
