@@ -13,7 +13,9 @@ articles differ, paragraphs and headings never do. A page without such a mark lo
 Null pages and urls count as empty: no text; pages without a host are a host together. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by line ends. Broken markup is read as browsers do, roughly:
 paragraphs and items end where the next begins, a closing mark closes what is open inside it. Repeated rows count as pages
-of their own. An empty table gives no rows. Counts of a host are combined before the shuffle, so one host may hold most pages.
+of their own in the result; in the tree, pages of a host with the same blocks count once, so that copies of a page do
+not make its branches look like the site's. No page loses its last block to the tree. An empty table gives no rows. Counts
+of a host are combined before the shuffle, so one host may hold most pages.
 """
 
 from __future__ import annotations
@@ -161,7 +163,7 @@ def host_of(url: str) -> str:
 
 
 _SCHEMA = (
-    "row bigint, key {key}, url string, host string, marked boolean, blocks array<struct<branches: array<bigint>, text: string>>, "
+    "row bigint, key {key}, url string, host string, marked boolean, same bigint, blocks array<struct<branches: array<bigint>, text: string>>, "
     "nodes array<struct<node: bigint, presentation: bigint, content: bigint, root: boolean>>"
 )
 
@@ -170,12 +172,13 @@ def _read(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         for s in slices(batches, "html", 4 << 20):
-            rows = {"row": [], "host": [], "marked": [], "blocks": [], "nodes": []}
+            rows = {"row": [], "host": [], "marked": [], "same": [], "blocks": [], "nodes": []}
             for at, (address, source) in enumerate(zip(s.column("url").to_pylist(), s.column("html").to_pylist())):
                 blocks, nodes = read_page(source or "")
                 rows["row"].append((part << 33) + number + at)
                 rows["host"].append(host_of(address or ""))
                 rows["marked"].append(any(root for *_, root in nodes))
+                rows["same"].append(_number("\n".join(t for _, t in blocks)))
                 rows["blocks"].append([{"branches": b, "text": t} for b, t in blocks])
                 rows["nodes"].append([{"node": n, "presentation": p, "content": c, "root": r} for n, p, c, r in nodes])
             number += s.num_rows
@@ -185,6 +188,7 @@ def _read(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 "url": s.column("url"),
                 "host": pa.array(rows["host"], pa.string()),
                 "marked": pa.array(rows["marked"], pa.bool_()),
+                "same": pa.array(rows["same"], pa.int64()),
                 "blocks": pa.array(rows["blocks"], pa.list_(pa.struct([("branches", pa.list_(pa.int64())), ("text", pa.string())]))),
                 "nodes": pa.array(rows["nodes"], pa.list_(pa.struct([("node", pa.int64()), ("presentation", pa.int64()), ("content", pa.int64()), ("root", pa.bool_())]))),
             }
@@ -195,6 +199,13 @@ def _read(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return stored(plain.mapInArrow(run, _SCHEMA.format(key=plain.schema["key"].dataType.simpleString())))
 
 
+def _distinct(read: DataFrame) -> DataFrame:
+    """One page of each group of copies on a host; only groups of several pages are joined."""
+    groups = read.groupBy("host", "same").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    copies = stored(groups.where("n > 1").select("host", "same", "first"))
+    return read.join(copies, ["host", "same"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("row")))
+
+
 def _tree(read: DataFrame) -> DataFrame:
     nodes = read.select("host", F.inline("nodes")).groupBy("host", "node", "presentation", "content", "root").agg(F.count("*").alias("n"))
 
@@ -209,14 +220,14 @@ def _tree(read: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """The merged tree: a row per host and node with its pages and importance."""
+    """The merged tree of all pages, copies too: a row per host and node with its pages and importance."""
     return _tree(_read(pages, key, url, html))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: key, url, text (blocks joined by line ends) and n_chars."""
     read = _read(pages, key, url, html)
-    tree = stored(_tree(read))
+    tree = stored(_tree(_distinct(read)))
     low = tree.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW)).select("host", "node")
     varied = tree.where("root").groupBy("host").agg(F.max("importance").alias("varied"))
     # Most pages have no branch that could go besides those the reader leaves out; only the others wait for the tree.
@@ -226,7 +237,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     gone = branches.join(low, ["host", "node"]).join(varied, "host", "left").where(~F.col("marked") | (F.col("varied") >= DIFFERENT))
     gone = gone.groupBy("row").agg(F.collect_set("node").alias("gone"))
     cut = waiting.select("row", "key", "url", "blocks").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
-    cut = cut.select("key", "url", F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], F.col("gone"))).alias("blocks"))
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], F.col("gone")))
+    cut = cut.select("key", "url", F.when(F.size(left) > 0, left).otherwise(F.col("blocks")).alias("blocks"))
     whole = read.where(~unsure).select("key", "url", "blocks").unionByName(cut)
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     return whole.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

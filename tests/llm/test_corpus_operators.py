@@ -234,6 +234,18 @@ def test_site_branches(spark):
     assert text[24] == "Read us daily\nx"
 
 
+def test_copies_keep_their_text(spark):
+    """Copies count once: a path that only copies use stays, on hosts with and without marked articles."""
+    other = [("http://site/%d" % i, PAGE % f"<article><h1>T{i}</h1><p>{prose(20, i)}</p></article>") for i in range(12)]
+    story = [("http://site/s/%d" % i, PAGE % f"<article><h1>Story</h1><div class=story-17><p>{prose(30, 99)}</p></div></article>") for i in range(5)]
+    same = [(u % i, f"<body><div class=text><p>{prose(20, 7)}</p></div></body>") for u in ("http://same/%d", "%d") for i in range(9)]
+    few = [("http://same/few/%d" % i, f"<body><div class=text><p>{prose(20, 40 + i)}</p></div></body>") for i in range(3)]
+    text = {r.page_id: r.text for r in style_tree.extract(pages_of(spark, *other, *story, *same, *few)).collect()}
+    assert [text[i] for i in range(12, 17)] == ["Story\n" + prose(30, 99)] * 5
+    assert [text[i] for i in range(17, 35)] == [prose(20, 7)] * 18
+    assert [text[35 + i] for i in range(3)] == [prose(20, 40 + i) for i in range(3)]
+
+
 def test_importance_is_entropy(spark):
     rows = [("http://h/%d" % i, f"<body><div class=a>{'x' if i < 6 else 'y' if i < 8 else i}</div></body>") for i in range(10)]
     tree = style_tree.style_tree(pages_of(spark, *rows)).where("pages = 10").collect()
