@@ -5,10 +5,13 @@ presentation (sequence of child elements) and each content (texts below) occurs
 is the larger entropy of the two by the logarithm of its pages: 0 for a branch that is the same everywhere, 1 for one that
 always differs, 1 if it stands on a single page.
 
-A page's branches go by importance, with HTML's own meaning as the prior: elements that never hold main text (menus,
-forms, scripts, notices, adverts, comments and so on, by element, role, class or id) have none. Where a page marks an
-article, text outside it has none either; inside, a container loses its text if it is of low importance on a host whose
-articles differ, paragraphs and headings never do. A page without such a mark loses every branch of low importance.
+A page's branches go by importance, weighted by their meaning in HTML. Elements that never hold main text (menus, scripts,
+footers and so on) have none and are no part of the tree. Every other block goes if one of the branches it stands in is of
+low importance: under ``LOW`` for a container, under half of that for paragraphs and other elements of text. Headings and
+labels belong to what they name and go only with the branch around them. Doubtful is a branch whose role, class or id names
+it a notice, advert, comment and so on, and, where a page marks an article, a branch outside it: it goes unless its
+importance times its share of the page's text is at least ``HALF``; a branch doubtful both ways always goes. An article in a
+doubtful branch is the page's article if the page has no other.
 
 Null pages and urls count as empty: no text; pages without a host are a host together. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by line ends. Broken markup is read as browsers do, roughly:
@@ -34,7 +37,7 @@ from quillgrid.llm.textbatch import slices
 from quillgrid.session import stored
 
 LOW = 0.2
-DIFFERENT = 0.8
+HALF = 0.5
 MIN_PAGES = 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,8 +51,9 @@ NO_TEXT_WORDS = frozenset(
     "navigation newsletter notice notices popup promo promoted promotion related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN = frozenset(("article", "main"))
-#: Inside an article these hold its text and stay, however often a site repeats it.
-TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tr td th dl dt dd figure figcaption article main body html".split())
+#: Elements of text weigh twice as much as containers; labels go only with what is around them.
+TEXT_ELEMENTS = frozenset("p blockquote pre table tbody tr td dl dd figure article main body html".split())
+LABELS = frozenset("h1 h2 h3 h4 h5 h6 thead th dt caption figcaption".split())
 #: What ends an open element of the same kind.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _SCOPES = frozenset("article main section div body html ul ol dl table blockquote td th aside nav footer header form".split())
@@ -64,17 +68,17 @@ def _number(text: str) -> int:
 class Page(HTMLParser):
     """Blocks and nodes of a page, without the branches that never hold main text.
 
-    ``blocks``: (path, text, in the article, containers the text stands in). ``nodes``: by path the presentation and the content.
+    ``blocks``: (paths of the branches the text stands in, text, in an article). ``children`` and ``contents``: by path
+    the presentation and the texts.
     """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool, bool]] = []  # element, path, without text, in the article
+        self.open: list[tuple[str, str, bool, bool]] = []  # element, path, without text, in an article
         self.blocks: list[tuple[list[str], str, bool]] = []
         self.children: dict[str, list[str]] = {}
         self.contents: dict[str, list[str]] = {}
         self.buffer: list[str] = []
-        self.article = False
         self.feed(html)
         self.close()
         self.flush()
@@ -82,13 +86,13 @@ class Page(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         self.buffer = []
-        if not text:
+        _, _, silent, inside = self.open[-1] if self.open else ("", "", False, False)
+        if not text or silent:
             return
-        paths = [path for _, path, _, _ in self.open]
+        paths = list(dict.fromkeys(path for _, path, *_ in self.open if path))
         for path in paths:
             self.contents.setdefault(path, []).append(text)
-        if not (self.open and self.open[-1][2]):
-            self.blocks.append((paths, text, bool(self.open and self.open[-1][3])))
+        self.blocks.append((paths, text, inside))
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -109,7 +113,7 @@ class Page(HTMLParser):
         said = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().replace("/", " ")
         _, above, silent, inside = self.open[-1] if self.open else ("", "", False, False)
         if tag in MAIN:
-            inside = self.article = True
+            inside = True
         # A header of the article may hold its title; any other is the site's.
         silent = silent or tag in NO_TEXT or (tag == "header" and not inside) or not NO_TEXT_WORDS.isdisjoint(_WORD.findall(said)) and tag not in MAIN and tag != "body"
         name = f"{tag}.{said}" if said else tag
@@ -138,21 +142,36 @@ def _kind(path: str) -> str:
     return path.rpartition("/")[2].partition(".")[0]
 
 
-def read_page(html: str) -> tuple[list[tuple[list[int], str]], list[tuple[int, int, int, bool]]]:
-    """Blocks (numbers of the branches that may be removed with it, text) and nodes (number, presentation, content, the
-    article's root or not) of a page."""
+def _limit(path: str) -> float:
+    """The importance under which a branch goes."""
+    kind = _kind(path)
+    return 0.0 if kind in LABELS else LOW / 2 if kind in TEXT_ELEMENTS else LOW
+
+
+def read_page(html: str) -> tuple[list[tuple[list[int], str]], dict[int, float], list[tuple[int, int, int]]]:
+    """Blocks (numbers of the branches that may go with it, text), the importance under which each branch goes, and nodes
+    (number, presentation, content) of a page. Blocks that go whatever the importance is are left out."""
     page = Page(html)
-    blocks = []
-    for paths, text, inside in page.blocks:
-        if page.article and not inside:
+    marked = any(inside for *_, inside in page.blocks)
+    # Branches that hold an article are not outside it.
+    around = {path for paths, _, inside in page.blocks if inside for path in paths}
+    doubts = [next((p for p in paths if p not in around), "") if marked and not inside else None for paths, _, inside in page.blocks]
+    total, share = 0, {}
+    for (_, text, _), doubt in zip(page.blocks, doubts):
+        total += len(text)
+        share[doubt] = share.get(doubt, 0) + len(text)
+    blocks, limits = [], {}
+    for (paths, text, _), doubt in zip(page.blocks, doubts):
+        # Importance is 1 at most, so a doubtful branch with less than half of the text goes in any case.
+        if doubt is not None and share[doubt] <= HALF * total:
             continue
-        distinct = list(dict.fromkeys(paths))
-        if page.article:
-            after = [p for p in distinct if not MAIN.isdisjoint(_kind("/" + x) for x in p.split("/")[:-1])]
-            distinct = [p for p in after if _kind(p) not in TEXT_ELEMENTS]
-        blocks.append(([_number(p) for p in distinct], text))
-    nodes = [(_number(path), _number("\t".join(page.children.get(path, []))), _number("\n".join(texts)), _kind(path) in MAIN) for path, texts in page.contents.items()]
-    return blocks, nodes
+        under = {_number(p): _limit(p) for p in paths if _kind(p) not in LABELS}
+        if doubt:
+            under[_number(doubt)] = HALF * total / share[doubt]
+        limits |= under
+        blocks.append((list(under), text))
+    nodes = [(_number(path), _number("\t".join(page.children.get(path, []))), _number("\n".join(texts))) for path, texts in page.contents.items()]
+    return blocks, limits, nodes
 
 
 def host_of(url: str) -> str:
@@ -163,8 +182,8 @@ def host_of(url: str) -> str:
 
 
 _SCHEMA = (
-    "row bigint, key {key}, url string, host string, marked boolean, same bigint, blocks array<struct<branches: array<bigint>, text: string>>, "
-    "nodes array<struct<node: bigint, presentation: bigint, content: bigint, root: boolean>>"
+    "row bigint, key {key}, url string, host string, same bigint, blocks array<struct<branches: array<bigint>, text: string>>, "
+    "limits array<struct<node: bigint, under: double>>, nodes array<struct<node: bigint, presentation: bigint, content: bigint>>"
 )
 
 
@@ -172,25 +191,25 @@ def _read(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         for s in slices(batches, "html", 4 << 20):
-            rows = {"row": [], "host": [], "marked": [], "same": [], "blocks": [], "nodes": []}
+            rows = {"row": [], "host": [], "same": [], "blocks": [], "limits": [], "nodes": []}
             for at, (address, source) in enumerate(zip(s.column("url").to_pylist(), s.column("html").to_pylist())):
-                blocks, nodes = read_page(source or "")
+                blocks, limits, nodes = read_page(source or "")
                 rows["row"].append((part << 33) + number + at)
                 rows["host"].append(host_of(address or ""))
-                rows["marked"].append(any(root for *_, root in nodes))
                 rows["same"].append(_number("\n".join(t for _, t in blocks)))
                 rows["blocks"].append([{"branches": b, "text": t} for b, t in blocks])
-                rows["nodes"].append([{"node": n, "presentation": p, "content": c, "root": r} for n, p, c, r in nodes])
+                rows["limits"].append([{"node": n, "under": u} for n, u in limits.items()])
+                rows["nodes"].append([{"node": n, "presentation": p, "content": c} for n, p, c in nodes])
             number += s.num_rows
             whole = {
                 "row": pa.array(rows["row"], pa.int64()),
                 "key": s.column("key"),
                 "url": s.column("url"),
                 "host": pa.array(rows["host"], pa.string()),
-                "marked": pa.array(rows["marked"], pa.bool_()),
                 "same": pa.array(rows["same"], pa.int64()),
                 "blocks": pa.array(rows["blocks"], pa.list_(pa.struct([("branches", pa.list_(pa.int64())), ("text", pa.string())]))),
-                "nodes": pa.array(rows["nodes"], pa.list_(pa.struct([("node", pa.int64()), ("presentation", pa.int64()), ("content", pa.int64()), ("root", pa.bool_())]))),
+                "limits": pa.array(rows["limits"], pa.list_(pa.struct([("node", pa.int64()), ("under", pa.float64())]))),
+                "nodes": pa.array(rows["nodes"], pa.list_(pa.struct([("node", pa.int64()), ("presentation", pa.int64()), ("content", pa.int64())]))),
             }
             yield pa.RecordBatch.from_arrays(list(whole.values()), list(whole))
 
@@ -207,15 +226,13 @@ def _distinct(read: DataFrame) -> DataFrame:
 
 
 def _tree(read: DataFrame) -> DataFrame:
-    nodes = read.select("host", F.inline("nodes")).groupBy("host", "node", "presentation", "content", "root").agg(F.count("*").alias("n"))
-
-    def entropy(of: str) -> DataFrame:
-        each = nodes.groupBy("host", "node", of).agg(F.sum("n").alias("n"), F.max("root").alias("root"))
-        found = each.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("weighted"), F.max("root").alias("root"))
-        share = (F.log("pages") - F.col("weighted") / F.col("pages")) / F.log("pages")
-        return found.select("host", "node", "pages", "root", F.when(F.col("pages") > 1, share).otherwise(1.0).alias(of))
-
-    both = entropy("presentation").join(entropy("content").select("host", "node", "content"), ["host", "node"])
+    nodes = read.select("host", F.inline("nodes"))
+    kinds = F.array(F.struct(F.lit(True).alias("shown"), F.col("presentation").alias("value")), F.struct(F.lit(False).alias("shown"), F.col("content").alias("value")))
+    each = nodes.select("host", "node", F.inline(kinds)).groupBy("host", "node", "shown", "value").agg(F.count("*").alias("n"))
+    of = lambda shown: F.sum(F.when(F.col("shown") == shown, F.col("n") * F.log("n")).otherwise(0.0))
+    found = each.groupBy("host", "node").agg(F.sum(F.when(F.col("shown"), F.col("n"))).alias("pages"), of(True).alias("presentation"), of(False).alias("content"))
+    entropy = lambda c: F.when(F.col("pages") > 1, (F.log("pages") - F.col(c) / F.col("pages")) / F.log("pages")).otherwise(1.0).alias(c)
+    both = found.select("host", "node", "pages", entropy("presentation"), entropy("content"))
     return both.withColumn("importance", F.greatest("presentation", "content"))
 
 
@@ -227,18 +244,11 @@ def style_tree(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: key, url, text (blocks joined by line ends) and n_chars."""
     read = _read(pages, key, url, html)
-    tree = stored(_tree(_distinct(read)))
-    low = tree.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW)).select("host", "node")
-    varied = tree.where("root").groupBy("host").agg(F.max("importance").alias("varied"))
-    # Most pages have no branch that could go besides those the reader leaves out; only the others wait for the tree.
-    unsure = F.exists("blocks", lambda b: F.size(b["branches"]) > 0)
-    waiting = read.where(unsure)
-    branches = waiting.select("row", "host", "marked", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["branches"])))).alias("node"))
-    gone = branches.join(low, ["host", "node"]).join(varied, "host", "left").where(~F.col("marked") | (F.col("varied") >= DIFFERENT))
-    gone = gone.groupBy("row").agg(F.collect_set("node").alias("gone"))
-    cut = waiting.select("row", "key", "url", "blocks").join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], F.col("gone")))
-    cut = cut.select("key", "url", F.when(F.size(left) > 0, left).otherwise(F.col("blocks")).alias("blocks"))
-    whole = read.where(~unsure).select("key", "url", "blocks").unionByName(cut)
-    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
-    return whole.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    # Stored, so that joins see how small they are: a site has few branches that many pages share.
+    tree = stored(_tree(_distinct(read)).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < 1)).select("host", "node", "importance"))
+    branches = read.select("row", "host", F.inline("limits"))
+    gone = branches.join(tree, ["host", "node"]).where(F.col("importance") < F.col("under")).groupBy("row").agg(F.collect_set("node").alias("gone"))
+    cut = read.select("row", "key", "url", "blocks").join(stored(gone), "row", "left")
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], F.coalesce("gone", F.array().cast("array<bigint>"))))
+    text = F.array_join(F.transform(F.when(F.size(left) > 0, left).otherwise(F.col("blocks")), lambda b: b["text"]), "\n")
+    return cut.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -246,6 +246,18 @@ def test_copies_keep_their_text(spark):
     assert [text[35 + i] for i in range(3)] == [prose(20, 40 + i) for i in range(3)]
 
 
+def test_tree_decides_every_block(spark):
+    """Paragraphs and text outside an article go or stay by importance, headings with what is around them."""
+    rows = [(f"http://site/{i}", PAGE % f"<article><h2>Parts</h2><p class=lead>Read us daily</p><p>{prose(20, i)}</p></article>") for i in range(12)]
+    rows += [(f"http://out/{i}", PAGE % f"<article><p>Card {i}</p></article><div class=body><p>{prose(30, i)}</p></div><div class=x>{prose(3, i)}</div>") for i in range(12)]
+    rows += [(f"http://same/{i}", PAGE % f"<article><p>Card {i}</p></article><div class=body><p>{prose(30, 1)}</p></div>") for i in range(12)]
+    text = {r.page_id: r.text for r in style_tree.extract(pages_of(spark, *rows)).collect()}
+    for i in range(12):
+        assert text[i] == f"Parts\n{prose(20, i)}"
+        assert text[12 + i] == f"Card {i}\n{prose(30, i)}"
+        assert text[24 + i] == f"Card {i}"
+
+
 def test_importance_is_entropy(spark):
     rows = [("http://h/%d" % i, f"<body><div class=a>{'x' if i < 6 else 'y' if i < 8 else i}</div></body>") for i in range(10)]
     tree = style_tree.style_tree(pages_of(spark, *rows)).where("pages = 10").collect()
