@@ -44,20 +44,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements without main text, and the words of roles, classes and ids that mark such branches.
-NO_TEXT = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select option textarea dialog menu audio video map".split())
+#: Elements without main text, and the words of roles, classes and ids that make a branch doubtful.
+NO_TEXT = frozenset("head nav footer aside script style noscript template iframe object svg canvas button select option textarea dialog menu audio video map".split())
 NO_TEXT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer login menu modal nav navbar "
     "navigation newsletter notice notices popup promo promoted promotion related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN = frozenset(("article", "main"))
+#: What a page as a whole stands in is not doubtful by its name.
+WHOLE = MAIN | {"html", "body"}
 #: Elements of text weigh twice as much as containers; labels go only with what is around them.
 TEXT_ELEMENTS = frozenset("p blockquote pre table tbody tr td dl dd figure article main body html".split())
 LABELS = frozenset("h1 h2 h3 h4 h5 h6 thead th dt caption figcaption".split())
 #: What ends an open element of the same kind.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _SCOPES = frozenset("article main section div body html ul ol dl table blockquote td th aside nav footer header form".split())
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def _number(text: str) -> int:
@@ -68,14 +70,14 @@ def _number(text: str) -> int:
 class Page(HTMLParser):
     """Blocks and nodes of a page, without the branches that never hold main text.
 
-    ``blocks``: (paths of the branches the text stands in, text, in an article). ``children`` and ``contents``: by path
-    the presentation and the texts.
+    ``blocks``: (paths of the branches the text stands in, text, in an article, the outermost branch that its name makes
+    doubtful, the doubtful branch around its article). ``children`` and ``contents``: by path the presentation and the texts.
     """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool, bool]] = []  # element, path, without text, in an article
-        self.blocks: list[tuple[list[str], str, bool]] = []
+        self.open: list[tuple[str, str, bool, bool, str, str]] = []  # element, path, without text, in an article, doubtful branch, that around the article
+        self.blocks: list[tuple[list[str], str, bool, str, str]] = []
         self.children: dict[str, list[str]] = {}
         self.contents: dict[str, list[str]] = {}
         self.buffer: list[str] = []
@@ -86,13 +88,13 @@ class Page(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         self.buffer = []
-        _, _, silent, inside = self.open[-1] if self.open else ("", "", False, False)
+        _, _, silent, inside, doubt, around = self.open[-1] if self.open else ("", "", False, False, "", "")
         if not text or silent:
             return
         paths = list(dict.fromkeys(path for _, path, *_ in self.open if path))
         for path in paths:
             self.contents.setdefault(path, []).append(text)
-        self.blocks.append((paths, text, inside))
+        self.blocks.append((paths, text, inside, doubt, around))
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -111,18 +113,21 @@ class Page(HTMLParser):
                 if name in _SCOPES:
                     break
         said = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().replace("/", " ")
-        _, above, silent, inside = self.open[-1] if self.open else ("", "", False, False)
-        if tag in MAIN:
-            inside = True
+        _, above, silent, inside, doubt, around = self.open[-1] if self.open else ("", "", False, False, "", "")
+        if tag in MAIN and not inside:
+            inside, doubt, around = True, "", doubt
+        silent = silent or tag in NO_TEXT
         # A header of the article may hold its title; any other is the site's.
-        silent = silent or tag in NO_TEXT or (tag == "header" and not inside) or not NO_TEXT_WORDS.isdisjoint(_WORD.findall(said)) and tag not in MAIN and tag != "body"
+        doubtful = tag == "form" or (tag == "header" and not inside) or tag not in WHOLE and _doubtful(said)
         name = f"{tag}.{said}" if said else tag
         if tag not in INLINE:
             row = self.children.setdefault(above, [])
             if not row or row[-1] != name:
                 row.append(name)
             above = f"{above}/{name}"
-        self.open.append((tag, above, silent, inside))
+            if doubtful and not doubt:
+                doubt = above
+        self.open.append((tag, above, silent, inside, doubt, around))
 
     def handle_endtag(self, tag):
         for at in range(len(self.open) - 1, -1, -1):
@@ -138,6 +143,11 @@ class Page(HTMLParser):
         self.buffer.append(data)
 
 
+def _doubtful(said: str) -> bool:
+    """Whether a class, id or role is one of the words, or made of nothing but them."""
+    return any(words and NO_TEXT_WORDS.issuperset(words) for words in map(_WORD.findall, said.split()))
+
+
 def _kind(path: str) -> str:
     return path.rpartition("/")[2].partition(".")[0]
 
@@ -152,22 +162,32 @@ def read_page(html: str) -> tuple[list[tuple[list[int], str]], dict[int, float],
     """Blocks (numbers of the branches that may go with it, text), the importance under which each branch goes, and nodes
     (number, presentation, content) of a page. Blocks that go whatever the importance is are left out."""
     page = Page(html)
-    marked = any(inside for *_, inside in page.blocks)
+    # An article in a doubtful branch is the page's if there is no other.
+    plain = any(inside and not doubt and not around for *_, inside, doubt, around in page.blocks)
+    inner = [inside and not (plain and around) for *_, inside, _, around in page.blocks]
     # Branches that hold an article are not outside it.
-    around = {path for paths, _, inside in page.blocks if inside for path in paths}
-    doubts = [next((p for p in paths if p not in around), "") if marked and not inside else None for paths, _, inside in page.blocks]
-    total, share = 0, {}
-    for (_, text, _), doubt in zip(page.blocks, doubts):
+    above = {path for (paths, *_), within in zip(page.blocks, inner) if within for path in paths}
+    doubts, total, share = [], 0, {}
+    for (paths, text, _, named, around), within in zip(page.blocks, inner):
+        outside = any(inner) and not within
+        # Of a block that is doubtful both ways no branch can save it.
+        named = named or (around if outside else "")
+        branch = named or next((p for p in paths if p not in above), "")
+        doubts.append((outside + bool(named), branch))
         total += len(text)
-        share[doubt] = share.get(doubt, 0) + len(text)
+        if outside or named:
+            share[branch] = share.get(branch, 0) + len(text)
     blocks, limits = [], {}
-    for (paths, text, _), doubt in zip(page.blocks, doubts):
+    for (paths, text, *_, around), (n, branch) in zip(page.blocks, doubts):
         # Importance is 1 at most, so a doubtful branch with less than half of the text goes in any case.
-        if doubt is not None and share[doubt] <= HALF * total:
+        if n == 2 or n and share[branch] <= HALF * total:
             continue
         under = {_number(p): _limit(p) for p in paths if _kind(p) not in LABELS}
-        if doubt:
-            under[_number(doubt)] = HALF * total / share[doubt]
+        if n and branch:
+            under[_number(branch)] = HALF * total / share[branch]
+        elif not n and around:
+            # The doubt ended where the page's article began.
+            under.pop(_number(around), None)
         limits |= under
         blocks.append((list(under), text))
     nodes = [(_number(path), _number("\t".join(page.children.get(path, []))), _number("\n".join(texts))) for path, texts in page.contents.items()]

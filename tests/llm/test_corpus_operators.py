@@ -258,6 +258,25 @@ def test_tree_decides_every_block(spark):
         assert text[24 + i] == f"Card {i}"
 
 
+def test_names_do_not_wipe_articles(spark):
+    """Whole words of a class, an article in a doubtful branch, and importance of a doubtful branch that holds most text."""
+    p = "<p>%s</p>" % prose(30, 3)
+    held = [
+        f"<div class='layout has-sidebar no-comments'><article>{p}</article></div>",
+        f"<form id=aspnetForm><main>{p}</main><div class=share>tell</div></form>",
+        f"<div class=widget><article>{p}</article></div>",
+        f"<article><div class='elementor-widget-container'>{p}</div><div class='cookie-notice'>ok</div></article>",
+        f"<article><div class='related'>{p}</div><p>end</p></article>",
+        f"<body class='search-open'><form><div>{p}</div></form></body>",
+    ]
+    rows = [(f"http://h{i}/", h) for i, h in enumerate(held)]
+    rows += [("http://cards/", f"<body>loose<article>{p}</article><div class=related><article>card</article></div>")]
+    rows += [(f"http://low/{i}", f"<article><div class=notice><p>{prose(30, 1)}</p></div><p>{i}</p></article>") for i in range(9)]
+    text = {r.page_id: r.text for r in style_tree.extract(pages_of(spark, *rows)).collect()}
+    assert [text[i] for i in range(7)] == [prose(30, 3) + ("\nend" if i == 4 else "") for i in range(7)]
+    assert [text[7 + i] for i in range(9)] == [str(i) for i in range(9)]
+
+
 def test_importance_is_entropy(spark):
     rows = [("http://h/%d" % i, f"<body><div class=a>{'x' if i < 6 else 'y' if i < 8 else i}</div></body>") for i in range(10)]
     tree = style_tree.style_tree(pages_of(spark, *rows)).where("pages = 10").collect()
