@@ -1,11 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word pairs find places that may hold an item, Smith-Waterman alignment scores them all.
 
-Words are runs of digits, letters and characters beyond ASCII, ASCII letters lower-cased. Map tasks look up every word
-k-gram of every text in a bitmap of the items' k-grams, whose size is fixed, and emit the passages around what they
-find. Spark joins the passages' k-grams with the items' exactly. A seed is a shared k-gram that is rare for its item:
-found in at most ``RARE`` times as many passages as the middle one of the item's found k-grams. Passages and items that
-share ``MIN_SEEDS`` seeds (one, if the item has a single k-gram) are aligned word by word; the score is the best local
-alignment (match 2, mismatch and gap -1) over that of the whole item with itself, so edits lower it and do not hide it.
+Words are runs of digits, letters and characters beyond ASCII, ASCII letters lower-cased. The score of a text and an item
+is the best local alignment of their words (match 2, mismatch and gap -1) over that of the whole item with itself, so
+edits lower it and do not hide it.
+
+How many neighbouring pairs of words an item of n words must share with a stretch of text follows from the score s alone:
+an alignment of m matches has at most 2m - 2sn edits and spans at most (3 - 2s)n words, so it holds at least
+(2s - 1)n - 1 pairs. Every stretch of that span with so many pairs is aligned, however frequent the pairs or the stretch
+are. Items of 4 and 5 words may share none if a word stands between any two of theirs; neighbours of such an item are also
+looked up one word apart. (Below a ``min_score`` of 0.6 longer items may share none either and are missed if they do not.)
+
+Map tasks hold the items in blocks of ``BLOCK_BYTES``, with one pass over the texts for each block, so no more than a
+block is ever in memory, and nothing of the texts is shuffled but what matches.
 
 Result: a row per key and item with a score of at least ``MIN_SCORE``. Null and empty texts hold nothing. Items of
 fewer than k words are too short to prove anything and never match. Repeated rows give one row; equal items match
@@ -14,136 +20,214 @@ each for themselves. Empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.textbatch import ALNUM_LOWER, Words, bitmap_of, in_bitmap, slices, text_of
+from quillgrid.llm.textbatch import _STEP, ALNUM_LOWER, Words, mix, slices, text_of
 from quillgrid.session import stored
 
 K = 4
-MIN_SEEDS = 2
-RARE = 8
 MIN_SCORE = 0.6
-#: Words that an alignment may drift beyond an item's length.
-DRIFT = 16
-BITMAP_BITS = 26
-_MEMO = 20_000
+BLOCK_BYTES = 16 << 20
+#: Cells of a row of alignments that are computed together, and shared pairs that are held at a time.
+_CELLS, _HITS = 1 << 16, 1 << 21
+_FILTER_BITS = 22
 
 
-def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
-    """Best local alignment of two word sequences; one row of the matrix at a time."""
-    place = np.arange(len(b) + 1)
-    row, best = np.zeros(len(b) + 1, np.int64), 0
-    for word in a:
+def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best local alignment of each row of ``a`` with the same row of ``b``; rows are padded with words that match nothing."""
+    place = np.arange(b.shape[1] + 1, dtype=np.int32)
+    row, best = np.zeros((len(b), b.shape[1] + 1), np.int32), np.zeros(len(b), np.int32)
+    for word in a.T:
         new = np.zeros_like(row)
-        new[1:] = np.maximum(row[:-1] + np.where(b == word, 2, -1), row[1:] - 1)
+        new[:, 1:] = np.maximum(row[:, :-1] + np.where(b == word[:, None], np.int32(2), np.int32(-1)), row[:, 1:] - 1)
         np.maximum(new, 0, out=new)
         # A gap along b costs one a word: the best earlier cell, less the distance.
-        row = np.maximum.accumulate(new + place) - place
-        best = max(best, int(row.max()))
+        row = np.maximum.accumulate(new + place, axis=1) - place
+        np.maximum(best, row.max(axis=1), out=best)
     return best
 
 
+def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
+    """Best local alignment of two word sequences."""
+    return int(align(np.asarray(a)[None], np.asarray(b)[None])[0])
+
+
+def pairs_of(w: Words, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of every two words of a row that stand ``apart``."""
+    at = np.flatnonzero(w.row[apart:] == w.row[: max(0, len(w.row) - apart)])
+    return mix(w.hash[at] * _STEP[0] + w.hash[at + apart] * _STEP[1] + np.uint64(apart)), at
+
+
+def must_share(n: np.ndarray, min_score: float) -> np.ndarray:
+    """Neighbouring pairs that an alignment of an item of n words holds at least, by its score; may be 0 or less."""
+    return n - 1 - np.floor(2 * n * (1 - min_score) + 1e-9).astype(np.int64)
+
+
 def _items(benchmark: DataFrame, key: str, text: str, k: int) -> DataFrame:
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         for s in slices(batches, "text"):
             w = Words(*text_of(s.column("text")), ALNUM_LOWER, lower=True)
-            h, at = w.grams(k)
             cut = np.searchsorted(w.row, np.arange(s.num_rows + 1))
-            gram_cut = np.searchsorted(w.row[at], np.arange(s.num_rows + 1))
-            hashes = w.hash.view(np.int64)
-            grams = [np.unique(h[x:y].view(np.int64)) for x, y in zip(gram_cut, gram_cut[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((np.int64(part) << 33) + number + np.arange(s.num_rows)),
                     s.column("key"),
-                    pa.array([hashes[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()),
-                    pa.array(grams, pa.list_(pa.int64())),
+                    pa.array([w.hash[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()),
                 ],
-                ["item", "item_key", "item_words", "grams"],
+                ["item", "item_key", "item_words"],
             )
             number += s.num_rows
 
     plain = benchmark.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = plain.schema["key"].dataType.simpleString()
-    return stored(plain.mapInArrow(run, f"item bigint, item_key {kind}, item_words binary, grams array<bigint>").where(F.size("grams") > 0))
-
-
-def _passages(docs: DataFrame, key: str, text: str, k: int, bitmap: np.ndarray, reach: int) -> DataFrame:
-    """Passages around k-grams that may be an item's: number, key, first word, words and those k-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    return stored(plain.mapInArrow(run, f"item bigint, item_key {kind}, item_words binary").where(F.length("item_words") >= 8 * max(k, 1)))
+
+
+@dataclass
+class Block:
+    """Items with the pairs they hold: ``pair`` sorted, the items of pair i are ``holder[first[i]:first[i + 1]]``, and
+    ``held`` is i times the number of items, plus the holder."""
+
+    item: np.ndarray
+    words: list[np.ndarray]
+    shares: np.ndarray
+    span: np.ndarray
+    pair: np.ndarray
+    first: np.ndarray
+    holder: np.ndarray
+    held: np.ndarray
+    filter: np.ndarray
+    apart: tuple[int, ...]
+
+
+def _block(item: np.ndarray, words: list[np.ndarray], min_score: float) -> Block:
+    n = np.array([len(x) for x in words], np.int64)
+    shares = must_share(n, min_score)
+    # Without a pair for sure, an alignment has at most one other word between two matches.
+    apart = (1, 2) if (shares < 1).any() else (1,)
+    every, row = np.concatenate(words), np.repeat(np.arange(len(n)), n)
+    pairs, holders = [], []
+    for far in apart:
+        at = np.flatnonzero((row[1:] == row[:-1]) & ((far == 1) | (shares[row[1:]] < 1)))
+        # Neighbours of the item that stand so far apart in a text.
+        pairs.append(mix(every[at] * _STEP[0] + every[at + 1] * _STEP[1] + np.uint64(far)))
+        holders.append(row[at])
+    pair, holder = np.concatenate(pairs), np.concatenate(holders)
+    order = np.lexsort((holder, pair))
+    pair, holder = pair[order], holder[order]
+    once = np.ones(len(pair), bool)
+    once[1:] = (pair[1:] != pair[:-1]) | (holder[1:] != holder[:-1])
+    holder = holder[once]
+    pair, first, which = np.unique(pair[once], return_index=True, return_inverse=True)
+    some = np.zeros(1 << _FILTER_BITS, bool)
+    some[(pair >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+    span = np.ceil(n * (3 - 2 * min_score)).astype(np.int64)
+    return Block(item, words, np.maximum(shares, 1), span, pair, np.append(first, len(holder)), holder, which * len(n) + holder, some, apart)
+
+
+def _places(w: Words, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Items and stretches of words (first, end) that share as many pairs as a match needs; overlapping ones are one.
+
+    Where very many items hold a pair, a range of items at a time.
+    """
+    found = [pairs_of(w, far) for far in block.apart]
+    h, at = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+    may = np.flatnonzero(block.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+    h, at = h[may], at[may]
+    where = np.minimum(np.searchsorted(block.pair, h), len(block.pair) - 1)
+    hit = block.pair[where] == h
+    where, at = where[hit], at[hit]
+    begin, n = np.searchsorted(w.row, np.arange(w.rows + 1)), len(block.words)
+    # An item holds a pair once, so a range of items has at most its number times the places.
+    many = int((block.first[where + 1] - block.first[where]).sum()) > _HITS
+    size = max(1, _HITS // len(at)) if many else n
+    for low in range(0, n, size):
+        first = np.searchsorted(block.held, where * n + low)
+        count = np.searchsorted(block.held, where * n + min(low + size, n)) - first
+        place = np.repeat(at, count)
+        step = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+        found = _stretches(w, block, begin, block.holder[np.repeat(first, count) + step], place)
+        if len(found[0]):
+            yield found
+
+
+def _stretches(w: Words, block: Block, begin: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((place, item))
+    item, place = item[order], place[order]
+    last = np.arange(len(item)) + block.shares[item] - 1
+    inside = np.minimum(last, max(len(item) - 1, 0))
+    near = (last < len(item)) & (item[inside] == item) & (w.row[place[inside]] == w.row[place]) & (place[inside] - place <= block.span[item])
+    item, place = item[near], place[near]
+    low = np.maximum(place - block.span[item], begin[w.row[place]])
+    high = np.minimum(place + block.span[item] + 2, begin[w.row[place] + 1])
+    opens = np.ones(len(item), bool)
+    opens[1:] = (item[1:] != item[:-1]) | (low[1:] > high[:-1]) | (w.row[place[1:]] != w.row[place[:-1]])
+    first = np.flatnonzero(opens)
+    return item[first], low[first], high[np.append(first[1:], len(item)) - 1] if len(first) else high
+
+
+def _scores(w: Words, block: Block, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The score of each item and stretch of words, computed together where lengths are alike."""
+    scores = np.zeros(len(item))
+    n, wide = np.array([len(block.words[i]) for i in item], np.int64), high - low
+    order, at = np.lexsort((n, wide)), 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * wide[order[end]] <= _CELLS:
+            end += 1
+        some = order[at:end]
+        # Item and text are padded with different words.
+        a, b = np.zeros((len(some), n[some].max()), np.uint64), np.ones((len(some), wide[some].max()), np.uint64)
+        for k, i in enumerate(some):
+            a[k, : n[i]] = block.words[item[i]]
+            b[k, : wide[i]] = w.hash[low[i] : high[i]]
+        scores[some] = align(a, b) / (2 * n[some])
+        at = end
+    return scores
+
+
+def _pass(docs: DataFrame, block: Block, key: str, text: str, min_score: float) -> DataFrame:
+    """Key, item, score and first word of the stretches of texts that match an item of the block."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
-        bits, part, number = shared.value, TaskContext.get().partitionId(), 0
+        block = shared.value
         for s in slices(batches, "text"):
             w = Words(*text_of(s.column("text")), ALNUM_LOWER, lower=True)
-            h, at = w.grams(k)
-            hit = np.flatnonzero(in_bitmap(bits, h))
-            if not len(hit):
-                continue
-            place, gram = at[hit], h[hit].view(np.int64)
-            begin = np.searchsorted(w.row, w.row[place])
-            end = np.searchsorted(w.row, w.row[place], "right")
-            low, high = np.maximum(place - reach, begin), np.minimum(place + k + reach, end)
-            opens = np.ones(len(hit), bool)
-            opens[1:] = (low[1:] > high[:-1]) | (begin[1:] != begin[:-1])
-            first = np.flatnonzero(opens)
-            last = np.append(first[1:], len(hit))
-            hashes, keys = w.hash.view(np.int64), s.column("key").take(pa.array(w.row[place[first]]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((np.int64(part) << 33) + number + np.arange(len(first))),
-                    keys,
-                    pa.array(low[first] - begin[first]),
-                    pa.array([hashes[low[x] : high[y - 1]].tobytes() for x, y in zip(first, last)], pa.binary()),
-                    pa.array([np.unique(gram[x:y]) for x, y in zip(first, last)], pa.list_(pa.int64())),
-                ],
-                ["passage", "key", "first_word", "words", "grams"],
-            )
-            number += len(first)
+            for item, low, high in _places(w, block):
+                scores = _scores(w, block, item, low, high)
+                hold = scores >= min_score
+                item, low, row = item[hold], low[hold], w.row[low[hold]]
+                first = low - np.searchsorted(w.row, row)
+                yield pa.RecordBatch.from_arrays([s.column("key").take(pa.array(row)), pa.array(block.item[item]), pa.array(scores[hold]), pa.array(first)], ["key", "item", "score", "first_word"])
 
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = plain.schema["key"].dataType.simpleString()
-    return stored(plain.mapInArrow(run, f"passage bigint, key {kind}, first_word bigint, words binary, grams array<bigint>"))
-
-
-def _align(pairs: DataFrame) -> DataFrame:
-    fields = [f for f in pairs.schema.fields if f.name in ("key", "item_key", "first_word")]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-
-    def run(batches):
-        memo: dict[tuple[bytes, bytes], float] = {}
-        for batch in batches:
-            scores = []
-            for item, passage in zip(batch.column("item_words").to_pylist(), batch.column("words").to_pylist()):
-                if (item, passage) not in memo:
-                    if len(memo) >= _MEMO:
-                        memo.clear()
-                    a, b = np.frombuffer(item, np.int64), np.frombuffer(passage, np.int64)
-                    memo[item, passage] = smith_waterman(a, b) / (2 * len(a))
-                scores.append(memo[item, passage])
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(scores, pa.float64())], [*[f.name for f in fields], "score"])
-
-    return pairs.mapInArrow(run, f"{kinds}, score double")
+    return plain.mapInArrow(run, f"key {kind}, item bigint, score double, first_word bigint")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", k: int = K, min_score: float = MIN_SCORE) -> DataFrame:
     """Key and item key of texts that hold an item or an edited copy of it, the best score and the passage's first word."""
     items = _items(benchmark, item_key, text, k)
-    grams = items.select("item", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
-    longest = items.agg(F.max(F.length("item_words"))).first()[0] or 0
-    passages = _passages(docs, key, text, k, bitmap_of(grams, "gram", BITMAP_BITS), longest // 8 + DRIFT)
-    shared = stored(passages.select("passage", F.explode("grams").alias("gram")).join(grams, "gram"))
-    spread = shared.groupBy("item", "gram").agg(F.count("*").alias("spread"))
-    middle = spread.groupBy("item").agg(F.expr("percentile(spread, 0.5)").alias("middle"))
-    seeds = spread.join(middle, "item").where(F.col("spread") <= RARE * F.col("middle")).select("item", "gram")
-    pairs = shared.join(seeds, ["item", "gram"]).groupBy("passage", "item").agg(F.count("*").alias("seeds"), F.first("n_grams").alias("n_grams"))
-    pairs = pairs.where(F.col("seeds") >= F.least(F.lit(MIN_SEEDS), "n_grams")).select("passage", "item")
-    whole = pairs.join(passages.drop("grams"), "passage").join(items.drop("grams"), "item")
-    best = _align(whole.select("key", "first_word", "item_key", "words", "item_words")).where(F.col("score") >= min_score)
-    found = best.groupBy("key", "item_key").agg(F.max("score").alias("score"), F.max_by("first_word", F.struct("score", -F.col("first_word"))).alias("first_word"))
-    return found.select(F.col("key").alias(key), F.col("item_key").alias(item_key), "score", "first_word")
+    blocks = -(-(items.agg(F.sum(F.length("item_words"))).first()[0] or 0) // BLOCK_BYTES)
+    found = []
+    for b in range(max(blocks, 1)):
+        held = items.where(F.pmod(F.xxhash64("item"), F.lit(max(blocks, 1))) == b).select("item", "item_words").toArrow()
+        if held.num_rows:
+            block = _block(held["item"].to_numpy(), [np.frombuffer(x, np.uint64) for x in held["item_words"].to_pylist()], min_score)
+            found.append(stored(_pass(docs, block, key, text, min_score)))
+    if not found:
+        nothing = docs.select(F.col(key).alias(key)).where("false")
+        return nothing.crossJoin(items.select(F.col("item_key").alias(item_key)).where("false")).select("*", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("first_word"))
+    whole = reduce(DataFrame.unionByName, found).join(items.select("item", "item_key"), "item")
+    best = whole.groupBy("key", "item_key").agg(F.max("score").alias("score"), F.max_by("first_word", F.struct("score", -F.col("first_word"))).alias("first_word"))
+    return best.select(F.col("key").alias(key), F.col("item_key").alias(item_key), "score", "first_word")

@@ -196,3 +196,23 @@ def test_leaks(spark, odd_docs, no_docs, make_docs):
     assert decontaminate.find_leaks(odd_docs, benchmark.where("false")).count() == 0
     many = make_docs(*[prose(20, i) + " " + items[0] + " " + prose(9, i) for i in range(30)], "a b " + items[1])
     assert decontaminate.find_leaks(many, benchmark).select("doc_id").distinct().count() == 31
+
+
+def test_leaks_however_frequent(spark, make_docs):
+    """An edited copy in very many texts is found, beside the item itself in one."""
+    item = prose(20, 3).split()
+    benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    edited = [f"x{i}" if i in (6, 10, 14, 18) else t for i, t in enumerate(item)]
+    found = decontaminate.find_leaks(make_docs(" ".join(item), *[f"doc{i} " + " ".join(edited) + f" end{i}" for i in range(300)]), benchmark).collect()
+    assert len(found) == 301 and sorted({r.score for r in found}) == [pytest.approx(0.7), 1.0]
+
+
+def test_very_common_pairs(monkeypatch):
+    """Items looked up a range at a time give the same stretches."""
+    w, _ = words_of(["a b " * 50 + prose(30, 1), prose(40, 2) + " a b"], ALNUM_LOWER, True)
+    v, _ = words_of([f"a b {prose(12, i)} a b" for i in range(30)] + [prose(20, 1)], ALNUM_LOWER, True)
+    block = decontaminate._block(np.arange(31), [v.hash[v.row == i] for i in range(31)], 0.6)
+    whole = [x.tolist() for x in next(decontaminate._places(w, block))]
+    monkeypatch.setattr(decontaminate, "_HITS", 250)
+    ranges = list(decontaminate._places(w, block))
+    assert len(ranges) > 1 and [np.concatenate(x).tolist() for x in zip(*ranges)] == whole
