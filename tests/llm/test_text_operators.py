@@ -207,6 +207,32 @@ def test_leaks_however_frequent(spark, make_docs):
     assert len(found) == 301 and sorted({r.score for r in found}) == [pytest.approx(0.7), 1.0]
 
 
+def test_leaks_equal_alignment_of_everything(spark, monkeypatch):
+    """Copies with a tenth to a third of their words edited, against every item aligned with every text."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500, raising=False)
+    rng = random.Random(6)
+    items = [prose(n, 20 + n) for n in (4, 5, 6, 9, 15, 20, 40, 59)]
+    texts = ["q".join(f" {t} " for t in items[0].split()), " q ".join(items[1].split())]
+    for words in (t.split() for t in items):
+        texts += [" ".join("new" if i % 4 == at else t for i, t in enumerate(words)) for at in range(4)]
+        for rate in (0.1, 0.2, 0.25, 0.3, 0.35):
+            for _ in range(4):
+                edit = lambda t: rng.choice([f"e{rng.randrange(99)}", "", f"{t} e{rng.randrange(99)}"]) if rng.random() < rate else t
+                texts.append(prose(rng.randrange(60), 7) + " " + " ".join(map(edit, words)) + " " + prose(rng.randrange(60), 8))
+    w, _ = words_of(texts, ALNUM_LOWER, True)
+    v, _ = words_of(items, ALNUM_LOWER, True)
+    want = {}
+    for i in range(len(items)):
+        a = v.hash[v.row == i]
+        for d in range(len(texts)):
+            score = smith_waterman(a.tolist(), w.hash[w.row == d].tolist()) / (2 * len(a))
+            if score >= decontaminate.MIN_SCORE:
+                want[d, i] = pytest.approx(score)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, benchmark).collect()} == want
+
+
 def test_very_common_pairs(monkeypatch):
     """Items looked up a range at a time give the same stretches."""
     w, _ = words_of(["a b " * 50 + prose(30, 1), prose(40, 2) + " a b"], ALNUM_LOWER, True)
