@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, jaccard, licenses, quality_rules, repair, style_tree
-from quillgrid.session import shared_folder
+from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, jaccard, licenses, packing, quality_rules, repair, style_tree
+from quillgrid.session import shared_folder, stored
 
 PREDICT_FROM = 0.7
 
@@ -124,3 +124,10 @@ def op9(spark, sf_dir):
 @query("op10_style_tree")
 def op10(spark, sf_dir):
     return style_tree.extract(load(spark, sf_dir, "pages"))
+
+
+@query("op11_bulk_best_fit")
+def op11(spark, sf_dir):
+    pieces = packing.encode(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 0)
+    # The digest of the ids goes with a piece, not the ids themselves.
+    return packing.pack(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))).drop("piece_id")
