@@ -121,7 +121,7 @@ class WordEncoder(_Encoder):
 
     def __call__(self, text: str) -> bytes:
         get = self.pieces.__getitem__
-        return b"".join(b"".join(map(get, part.replace("\n", " ").split(" "))) for part in _windows(text, _BLANK))
+        return b"".join(b"".join(map(get, part.replace("\n", " ").split(" "))) for part in windows(text, _BLANK))
 
 
 class _Odd(Exception):
@@ -161,7 +161,7 @@ class ByteLevelEncoder(_Encoder):
         if not text:
             return b""
         out = []
-        for part in _windows(text, _SPACE):
+        for part in windows(text, _SPACE):
             spaced = bool(out)
             try:
                 out.append(self.line_break.join(self._lines(part, spaced)))
@@ -173,7 +173,7 @@ class ByteLevelEncoder(_Encoder):
 _BLANK, _SPACE = re.compile("[ \n]"), re.compile(r" (?=\S)")
 
 
-def _windows(text: str, cut: re.Pattern) -> Iterator[str]:
+def windows(text: str, cut: re.Pattern) -> Iterator[str]:
     """The text between some of its cuts, each one character that no part holds."""
     at = 0
     while len(text) - at > WINDOW and (found := cut.search(text, at + WINDOW)):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, jaccard, licenses, packing, quality_rules, repair, style_tree
+from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, jaccard, licenses, packing, quality_rules, repair, spelling, style_tree
 from quillgrid.session import shared_folder, stored
 
 PREDICT_FROM = 0.7
@@ -131,3 +131,8 @@ def op11(spark, sf_dir):
     pieces = packing.encode(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 0)
     # The digest of the ids goes with a piece, not the ids themselves.
     return packing.pack(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))).drop("piece_id")
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.forms(stored(spelling.count_words(load(spark, sf_dir, "documents"), min_length=6, min_count=5, damage=199)))
