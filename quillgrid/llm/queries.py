@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, jaccard, licenses, packing, quality_rules, repair, spelling, style_tree
+from quillgrid.llm import bpe, chat, compression, decontaminate, factorization, jaccard, licenses, negatives, packing, quality_rules, repair, spelling, style_tree
 from quillgrid.session import shared_folder, stored
 
 PREDICT_FROM = 0.7
@@ -133,6 +133,14 @@ def op11(spark, sf_dir):
     return packing.pack(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))).drop("piece_id")
 
 
+@query("op12_hard_negatives")
+def op12(spark, sf_dir):
+    rows = negatives.usable(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: F.floor(256 * x).cast("double")))
+    rows = rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 @query("op13_spelling_variants")
 def op13(spark, sf_dir):
     return spelling.forms(stored(spelling.count_words(load(spark, sf_dir, "documents"), min_length=6, min_count=5, damage=199)))
