@@ -4,19 +4,18 @@
 ``place`` finds a sequence and an offset for every piece. A piece as long as a sequence is one. The others, and the
 gaps of opened sequences, go through supersteps until none is left:
 
-1. *Range sort.* Unplaced pieces and gaps are dealt to tasks by size, largest first, and sorted there; a gap stands
-   before pieces of its own size, so every gap that can take a piece stands before it. Ties are broken by a hash,
-   so a size that most rows share is spread over tasks.
-2. *Successor sweep.* Each task passes once over its range. A piece takes the smallest gap of the range that holds it; the
-   gap shrinks and serves again.
-3. *Conflicts by rank.* Pieces that found no gap in their range are numbered, largest first, and so are the places left in
-   gaps of earlier ranges, smallest on top. The numbers per range, one row a task, say which run of pieces takes which
-   run of places; both sides meet by number. Larger pieces choose first, and no place is given twice.
-4. *Update.* Gaps shrink by what they took. New sequences open for pieces longer than every gap, and as many as the tokens
-   left over need.
+1. *Open.* As many new sequences as sequential best fit would open for these sizes, by their counts alone.
+2. *Range sort.* Unplaced pieces and gaps are dealt to tasks by size, largest first, and sorted there. Ties are broken by a
+   hash, so a size that most rows share is spread over tasks.
+3. *Successor sweep.* Each task passes once over its range. A piece takes the smallest gap that holds it; the gap shrinks and
+   serves again. A gap is wanted by pieces of its own size first, and they stand next to it.
+4. *Conflicts by rank.* Pieces without a gap in their range and the gaps left are ranked, largest first, over all ranges. Rank
+   modulo the number of tasks says which task decides: each gets its share of all sizes on both sides, no gap stands in two, and
+   a second sweep places what fits, larger pieces first.
+5. *Update.* Gaps go on as they are then; pieces that found none wait for the next superstep.
 
 Sizes are whole numbers up to the capacity, so what a superstep tells the driver is at most a count for every size and
-one row a task. Every superstep writes its results to the shared folder; a lost executor costs one superstep.
+one row a task. Every sweep writes its results to the shared folder; a lost executor costs one sweep.
 
 Null texts count as empty: a piece of the end id alone. Rows with the same or no key are separate documents. An empty table
 gives no pieces. Other columns of the input are not looked at, whatever their names.
@@ -41,7 +40,7 @@ CAPACITY = 2048
 #: Rows that a task of a superstep sorts, where there are more tasks than the session's shuffle partitions.
 TASK_ROWS = 1 << 18
 #: Rows below which a further task is not worth its start.
-_LEAST_ROWS = 1 << 13
+_LEAST_ROWS = 1 << 14
 
 
 def encode(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", encoder=WordEncoder) -> DataFrame:
@@ -80,13 +79,11 @@ def encode(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = C
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-#: Rows of supersteps. ``kind`` is placed (a piece in a sequence), gap (a gap as it is now), waiting (a piece that found no
-#: gap in its range, number ``at``) or free (a gap with places ``at`` to ``at + places - 1`` of a block of its range).
-_STEP = "part int, block int, kind string, piece_id bigint, sequence_id bigint, size bigint, offset bigint, at bigint, places bigint"
+#: Rows of a sweep. ``kind`` is placed (a piece in a sequence), gap (as it is now), waiting (a piece that found no gap) or
+#: count (one a task: waiting pieces in ``at``, gaps in ``size``). ``at`` numbers a task's waiting pieces, and its gaps.
+_STEP = "part int, kind string, piece_id bigint, sequence_id bigint, size bigint, offset bigint, at bigint"
 _NAMES = [c.split()[0] for c in _STEP.split(", ")]
 _TYPES = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[c.split()[1]] for c in _STEP.split(", ")]
-#: Places of a block: what the task that fills a block has to do is bounded by it.
-_BLOCK = 1 << 16
 _ROWS = 1 << 14
 
 
@@ -110,77 +107,34 @@ def _values(batches, *names):
         yield from zip(*(batch.column(n).to_pylist() for n in names))
 
 
-def _swept(rows, part: int, capacity: int, longest: int):
+def _swept(rows, part: int, capacity: int):
     """One task's successor sweep over (size, piece_id, sequence_id) in descending order of size, gaps before pieces."""
-    # Gaps of this range by room, and a bit for every room that has one: the successor is the lowest bit from a size on.
+    # Gaps by room, and a bit for every room that has one: the successor is the lowest bit from a size on.
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
-    has, waiting, bound = 0, 0, longest
+    has, waiting = 0, 0
     for size, piece, sequence in rows:
-        bound = min(bound, size)
         if piece is None:
             rooms[size].append(sequence)
             has |= 1 << size
             continue
         above = has >> size
         if not above:
-            yield part, None, "waiting", piece, None, size, None, waiting, None
+            yield part, "waiting", piece, None, size, None, waiting
             waiting += 1
             continue
         room = size + (above & -above).bit_length() - 1
         sequence = rooms[room].pop()
         if not rooms[room]:
             has ^= 1 << room
-        yield part, None, "placed", piece, sequence, size, capacity - room, None, None
+        yield part, "placed", piece, sequence, size, capacity - room, None
         rooms[room - size].append(sequence)
         has |= 1 << room - size
-    # Pieces of later ranges are no longer than the bound, so that as many fit for certain. Small rooms come last, on top.
-    block, at = 0, 0
+    gaps = 0
     for room in range(capacity, 0, -1):
-        places = room // bound
         for sequence in rooms[room]:
-            if not places:
-                yield part, None, "gap", None, sequence, room, None, None, None
-                continue
-            if at + places > _BLOCK:
-                block, at = block + 1, 0
-            yield part, block, "free", None, sequence, room, None, at, places
-            at += places
-
-
-def _settled(rows, capacity: int):
-    """Pieces put into the places they were given: (piece_id, sequence_id, size) by block and place, each gap before its pieces."""
-    sequence, room = None, 0
-    for piece, found, size in rows:
-        if piece is None:
-            if sequence is not None and room:
-                yield None, None, "gap", None, sequence, room, None, None, None
-            sequence, room = found, size
-        else:
-            yield None, None, "placed", piece, sequence, size, capacity - room, None, None
-            room -= size
-    if sequence is not None and room:
-        yield None, None, "gap", None, sequence, room, None, None, None
-
-
-def _matched(counts: list) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs of waiting pieces and of places: part, first and end number there, and part, block and place of the first one.
-
-    ``counts`` has one row (part, block, waiting, places) a task and block. A range's waiting pieces take the places left by
-    the ranges before it, the latest first and each block from its end.
-    """
-    runs, left = [], []
-    for part, block, waiting, places in sorted(counts, key=lambda c: (c[0], -1 if c[1] is None else c[1])):
-        number = 0
-        while number < waiting and left:
-            of, there, free = left.pop()
-            n = min(free, waiting - number)
-            runs.append((part, number, number + n, of, there, free - 1))
-            if free > n:
-                left.append((of, there, free - n))
-            number += n
-        if places:
-            left.append((part, block, places))
-    return runs
+            yield part, "gap", None, sequence, room, None, gaps
+            gaps += 1
+    yield part, "count", None, None, gaps, None, waiting
 
 
 def _tasks(rows: int, spark) -> int:
@@ -196,7 +150,12 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     whole = pieces.where(F.col("length") == capacity).select("piece_id", (-1 - F.col("piece_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     waiting = pieces.where(F.col("length") < capacity).select("piece_id", F.col("length").alias("size"))
     gaps = spark.createDataFrame([], "sequence_id bigint, size bigint")
-    placed, opened = [whole], 0
+    placed, opened, before = [whole], 0, None
+    order = [F.col("size").desc(), F.col("piece_id").isNotNull(), F.xxhash64("piece_id", "sequence_id")]
+
+    def sweep(batches):
+        return _in_batches(_swept(_values(batches, "size", "piece_id", "sequence_id"), TaskContext.get().partitionId(), capacity))
+
     while True:
         sizes = waiting.select("size", F.lit(True).alias("piece")).unionByName(gaps.select("size", F.lit(False).alias("piece")))
         counts = sizes.groupBy("piece", "size").count().collect()
@@ -204,48 +163,61 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         room = {r["size"]: r["count"] for r in counts if not r["piece"]}
         if not long:
             return reduce(DataFrame.unionByName, placed)
-        widest = max(room, default=0)
-        no_gap = sum(s * n for s, n in long.items() if s > widest)
-        beyond = sum(s * n for s, n in long.items()) - sum(s * n for s, n in room.items())
-        new = -(-max(no_gap, beyond, 0) // capacity)
+        # Where a superstep placed nothing, gaps that would do stood in other tasks: pieces get new ones.
+        new, before = _lacking(long, {} if long == before else room, capacity), long
+        # Gaps smaller than every piece are full for good.
+        gaps = gaps.where(F.col("size") >= min(long))
         gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("size")))
         opened += new
 
-        pool = waiting.select("size", "piece_id", F.lit(None).cast("long").alias("sequence_id"))
-        pool = pool.unionByName(gaps.select("size", F.lit(None).cast("long").alias("piece_id"), "sequence_id"))
-        order = [F.col("size").desc(), F.col("piece_id").isNotNull(), F.xxhash64("piece_id", "sequence_id")]
-        tasks, longest = _tasks(sum(long.values()) + sum(room.values()) + new, spark), max(long)
-
-        def sweep(batches, longest=longest):
-            part = TaskContext.get().partitionId()
-            return _in_batches(_swept(_values(batches, "size", "piece_id", "sequence_id"), part, capacity, longest))
-
-        swept = stored(pool.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(sweep, _STEP))
-        summary = swept.where("kind in ('waiting', 'free')").groupBy("part", "block")
-        found = summary.agg(F.count_if(F.col("kind") == "waiting"), F.coalesce(F.sum("places"), F.lit(0))).collect()
-        runs = _matched([tuple(r) for r in found])
-
-        late = swept.where("kind = 'waiting'").select("part", "piece_id", "size", "at")
-        gaps = swept.where("kind = 'gap'").select("sequence_id", "size")
-        placed.append(swept.where("kind = 'placed'").select("piece_id", "sequence_id", "offset"))
-        if runs:
-            given = spark.createDataFrame(runs, "part int, first bigint, upto bigint, of int, there int, place bigint")
-            taken = late.join(given, "part").where("at >= first and at < upto")
-            wanted = taken.select(F.col("of").alias("part"), F.col("there").alias("block"), (F.col("place") - F.col("at") + F.col("first")).alias("at"), "piece_id", F.lit(None).cast("long").alias("sequence_id"), "size")
-            free = swept.where("kind = 'free'").select("part", "block", "at", "piece_id", "sequence_id", "size")
-            sides = free.unionByName(wanted).repartition(tasks, "part", "block").sortWithinPartitions("part", "block", "at", F.col("piece_id").isNotNull())
-
-            def settle(batches):
-                return _in_batches(_settled(_values(batches, "piece_id", "sequence_id", "size"), capacity))
-
-            settled = stored(sides.mapInArrow(settle, _STEP))
-            placed.append(settled.where("kind = 'placed'").select("piece_id", "sequence_id", "offset"))
-            gaps = gaps.unionByName(settled.where("kind = 'gap'").select("sequence_id", "size"))
-            served = spark.createDataFrame(list({r[0]: (r[0], r[2]) for r in runs}.values()), "part int, served bigint")
-            late = late.join(served, "part", "left").where("at >= coalesce(served, 0)")
-        else:
-            gaps = gaps.unionByName(swept.where("kind = 'free'").select("sequence_id", "size"))
-        waiting = late.select("piece_id", "size")
+        nothing = F.lit(None).cast("long")
+        pool = waiting.select("size", "piece_id", nothing.alias("sequence_id")).unionByName(gaps.select("size", nothing.alias("piece_id"), "sequence_id"))
+        tasks = _tasks(sum(long.values()) + sum(n for size, n in room.items() if size >= min(long)) + new, spark)
+        dealt = pool.repartitionByRange(tasks, *order) if tasks > 1 else pool.repartition(1)
+        near = stored(dealt.sortWithinPartitions(*order).mapInArrow(sweep, _STEP))
+        placed.append(near.where("kind = 'placed'").select("piece_id", "sequence_id", "offset"))
+        found = near.where("kind = 'count'").select("part", "at", "size").collect()
+        rest = sum(r["at"] for r in found)
+        if not rest:
+            return reduce(DataFrame.unionByName, placed)
+
+        ranked = near.where("kind in ('waiting', 'gap')").join(spark.createDataFrame(_starts(found), "part int, pieces bigint, gaps bigint"), "part")
+        rank = F.col("at") + F.when(F.col("kind") == "gap", F.col("gaps")).otherwise(F.col("pieces"))
+        tasks = _tasks(rest, spark)
+        dealt = ranked.repartition(tasks, F.pmod(rank, F.lit(tasks))) if tasks > 1 else ranked.repartition(1)
+        far = stored(dealt.sortWithinPartitions(*order).mapInArrow(sweep, _STEP))
+        placed.append(far.where("kind = 'placed'").select("piece_id", "sequence_id", "offset"))
+        waiting = far.where("kind = 'waiting'").select("piece_id", "size")
+        gaps = far.where("kind = 'gap'").select("sequence_id", "size")
+
+
+def _lacking(pieces: dict[int, int], gaps: dict[int, int], capacity: int) -> int:
+    """How many sequences sequential best fit would open; pieces and gaps are counts by size."""
+    rooms, opened = [0] * (capacity + 1), 0
+    for room, n in gaps.items():
+        rooms[room] += n
+    for size, n in sorted(pieces.items(), reverse=True):
+        room = size
+        while n:
+            while room <= capacity and not rooms[room]:
+                room += 1
+            if room > capacity:
+                rooms[capacity] = more = -(-n // (capacity // size))
+                opened, room = opened + more, capacity
+            fit = min(n, rooms[room])
+            rooms[room] -= fit
+            rooms[room - size] += fit
+            n, room = n - fit, size if room >= 2 * size else room
+    return opened
+
+
+def _starts(counts: list) -> list[tuple[int, int, int]]:
+    """The rank of each task's first waiting piece and first gap; ``counts`` has (part, waiting pieces, gaps) of each."""
+    out, pieces, gaps = [], 0, 0
+    for part, waiting, free in sorted(counts):
+        out.append((part, pieces, gaps))
+        pieces, gaps = pieces + waiting, gaps + free
+    return out
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
