@@ -6,13 +6,15 @@ events leave no trace. Minute quota: events per minute for all, per actor, and p
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Window of the sliding log and limits of the minute quota.
 WINDOW_MS = 60_000
@@ -116,40 +118,107 @@ def admit_events(
     )
 
 
+#: The state store that event buffers need: on disk, with one column family for each kind of state.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _InTimeOrder(StatefulProcessor):
+    """Holds a key's events until the watermark has passed them, then decides them in time order.
+
+    State per key: the waiting events, the admitted times still in the window, and when the key is due next.
+    """
+
+    def __init__(self, columns: list[str], limit: int, window: int):
+        self.columns, self.limit, self.window = columns, limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms bigint, tie binary, event binary")
+        self.log = handle.getValueState("log", "times array<bigint>")
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed, first = timerValues.getCurrentWatermarkInMs(), None
+        for pdf in rows:
+            ms = pdf["ms"]
+            # Before the first batch is through there is no watermark yet.
+            late = ms.isna() | ((ms < passed) & (passed > 0))
+            held = pdf[~late]
+            for now, tie, event in zip(held["ms"], held["tie"], held[self.columns].itertuples(index=False, name=None)):
+                self.waiting.appendValue((int(now), pickle.dumps(tie), pickle.dumps(event)))
+                first = int(now) if first is None else min(first, int(now))
+            yield self._out([(*event, None, None, None, True) for event in pdf.loc[late, self.columns].itertuples(index=False, name=None)])
+        if first is not None:
+            self._wake(first + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        self.due.clear()
+        events = [(ms, pickle.loads(tie), pickle.loads(event)) for ms, tie, event in self.waiting.get()]
+        ready = sorted((e for e in events if e[0] < passed), key=lambda e: (e[0], e[1] is None, e[1] if e[1] is not None else 0))
+        rest = [e for e in events if e[0] >= passed]
+        log = [int(t) for t in self.log.get()[0]] if self.log.exists() else []
+        yield self._out([(*event, *_admit(log, ms, self.limit, self.window), False) for ms, _, event in ready])
+        if ready:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put([(ms, pickle.dumps(tie), pickle.dumps(event)) for ms, tie, event in rest])
+        if rest:
+            self._wake(min(e[0] for e in rest) + 1)
+        elif log and log[-1] + self.window >= passed:
+            self._wake(log[-1] + self.window + 1)
+        else:
+            # The key is silent and remembers nothing.
+            self.log.clear()
+            return
+        self.log.update((log,))
+
+    def _wake(self, ms: int) -> None:
+        """One timer a key, at the earliest time asked for."""
+        if self.due.exists():
+            (before,) = self.due.get()
+            if before <= ms:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[*self.columns, "admitted", "remaining", "retry_after_seconds", "late"])
+        return out.astype({"admitted": "object", "remaining": "Int32", "retry_after_seconds": "Int32"})
+
+    def close(self) -> None:
+        pass
+
+
 def admit_stream(
     events: DataFrame, keys: list[str], time: str, limit: int, window_ms: int = WINDOW_MS, lateness: str = "1 minute", tie: str | None = None
 ) -> DataFrame:
-    """The sliding log on a stream: every event with its decision, as ``admit_events`` gives it.
+    """The sliding log on a stream: every event with its decision as ``admit_events`` gives it, and ``late``.
 
-    State per key is its admitted times; it is dropped once they have all aged out.
-    Events are decided in time order inside a micro-batch; an event older than the watermark is dropped.
+    An event waits in the state store until the watermark has passed it; then all that wait are decided in time order, in whatever
+    order and micro-batches they came. An event that is older than the watermark when it comes, or has no time, comes out
+    at once with ``late`` and no decision. Events newer than the watermark wait when a stream ends, and are
+    decided when it goes on. A key holds the events of one lateness and the log of one window, in RocksDB on disk; this
+    function selects that store for the session. A key that is silent for a window is forgotten.
     """
-    events = events.withColumn(time, F.col(time).cast("timestamp"))
-    kept = [c for c in events.columns if c not in keys]
-    order = ["_ms", *([tie] if tie and tie not in keys else [])]
-    fields = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in [*keys, *kept])
-    names = [*keys, *kept, "admitted", "remaining", "retry_after_seconds"]
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = list(state.get[0]) if state.exists else []
-        # One key's events of one micro-batch, whose size the source bounds.
-        pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
-        decisions = [_admit(log, now, limit, window_ms) for now in pdf["_ms"].tolist()]
-        state.update((log,))
-        # Spark asks for a timeout after the present watermark.
-        state.setTimeoutTimestamp(max((log[-1] if log else 0) + window_ms, state.getCurrentWatermarkMs() + 1))
-        out = pd.DataFrame(decisions, columns=names[-3:], index=pdf.index)
-        yield pd.concat([pdf[[*keys, *kept]], out], axis=1)[names]
-
-    return (
-        events.withColumn("_ms", F.unix_millis(time))
-        .withWatermark(time, lateness)
-        .groupBy(*keys)
-        .applyInPandasWithState(decide, f"{fields}, {_DECISION}", "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    fields = [*events.schema.fields]
+    # Rows travel as named tuples, which know no names with a leading underscore and none twice.
+    inside = [f"c{n}" for n in range(len(fields))]
+    times = events.withColumn("__time", F.col(f"`{time}`").cast("timestamp")).withWatermark("__time", lateness)
+    given = times.select(
+        *[F.col(f"`{f.name}`").alias(c) for f, c in zip(fields, inside)],
+        F.unix_millis("__time").alias("ms"),
+        (F.col(f"`{tie}`") if tie else F.lit(None).cast("int")).alias("tie"),
+        *[F.col(f"`{k}`").alias(f"k{n}") for n, k in enumerate(keys)],
     )
+    out = T.StructType([T.StructField(c, f.dataType) for f, c in zip(fields, inside)])
+    for name, kind in (("admitted", T.BooleanType()), ("remaining", T.IntegerType()), ("retry_after_seconds", T.IntegerType()), ("late", T.BooleanType())):
+        out = out.add(name, kind)
+    decided = given.groupBy(*[f"k{n}" for n in range(len(keys))]).transformWithStateInPandas(_InTimeOrder(inside, limit, window_ms), out, "append", "eventtime")
+    return decided.toDF(*[f.name for f in fields], "admitted", "remaining", "retry_after_seconds", "late")
 
 
 def _limit_of(actions: dict[str, int]) -> Column:

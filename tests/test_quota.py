@@ -1,9 +1,11 @@
+import math
 import random
 
 import pandas as pd
 import pytest
 
 from quillgrid.streaming.quota import admit_events, admit_stream, minute_counts, minute_quota
+from quillgrid.streaming.windows import event_windows, joint_quota
 
 
 def plain_loop(rows, limit, window):
@@ -54,23 +56,95 @@ def run_stream(spark, make, source, tmp_path):
     return spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
 
 
-def test_stream_decides_like_the_batch(spark, tmp_path):
+def test_stream_decides_in_time_order(spark, tmp_path):
+    """Events come in any order within the lateness, over many micro-batches; those that come later are marked."""
     rng = random.Random(7)
-    rows = sorted(((i, rng.choice("ab"), rng.randint(0, 400_000)) for i in range(400)), key=lambda r: r[2])
+    rows = [(i, rng.choice("ab"), rng.randint(1, 400_000)) for i in range(400)]
+    arrival = sorted(rows, key=lambda r: r[2] + rng.randint(0, 50_000))
     source = str(tmp_path / "in")
-    # Three files, each later than the one before, as three micro-batches.
-    for part in range(3):
-        events(spark, rows[part * 134 : (part + 1) * 134]).coalesce(1).write.mode("append").parquet(source)
-    got = decisions(run_stream(spark, lambda s: admit_stream(s, ["key"], "ts", 3, 60_000, tie="id"), source, tmp_path))
-    assert got == plain_loop(rows, 3, 60_000)
+    for part in range(6):
+        events(spark, arrival[part * 67 : (part + 1) * 67]).coalesce(1).write.mode("append").parquet(source)
+    late = [(1000, "a", 5), (1001, "c", 10)]
+    events(spark, late).coalesce(1).write.mode("append").parquet(source)
+    out = run_stream(spark, lambda s: admit_stream(s, ["key"], "ts", 3, 60_000, "60 seconds", tie="id"), source, tmp_path)
+    assert {r["id"] for r in out.where("late").collect()} == {1000, 1001} and out.where("late and admitted is null").count() == 2
+    passed = max(r[2] for r in rows) - 60_000
+    want = {i: d for i, d in plain_loop(rows, 3, 60_000).items() if dict((r[0], r[2]) for r in rows)[i] < passed}
+    assert decisions(out.where("not late")) == want and len(want) > 300
+    # What waits is decided when the stream goes on.
+    events(spark, [(2000, "z", 10_000_000)]).coalesce(1).write.mode("append").parquet(source)
+    more = run_stream(spark, lambda s: admit_stream(s, ["key"], "ts", 3, 60_000, "60 seconds", tie="id"), source, tmp_path)
+    assert decisions(more.where("not late")) == plain_loop(rows, 3, 60_000)
 
 
 def test_stream_keeps_columns_and_a_limit_of_none_admitted(spark, tmp_path):
     source = str(tmp_path / "in")
-    df = events(spark, [(i, "a", 1000 + i * 1000) for i in range(3)]).selectExpr("*", "id * 2 as other")
+    df = events(spark, [(i, None if i == 1 else "a", 1000 + i * 1000) for i in range(3)] + [(9, "a", 900_000)])
+    df = df.selectExpr("*", "id * 2 as _other", "cast(id as decimal(10,2)) as ms", "array(id, null) as tie", "if(id = 2, null, ts) as at").drop("ts")
     df.coalesce(1).write.parquet(source)
-    out = run_stream(spark, lambda s: admit_stream(s, ["key"], "ts", 0, 60_000), source, tmp_path)
-    assert {(r["id"], r["other"], r["admitted"], r["retry_after_seconds"]) for r in out.collect()} == {(i, 2 * i, False, 60) for i in range(3)}
+    out = run_stream(spark, lambda s: admit_stream(s, ["key"], "at", 0, 60_000), source, tmp_path)
+    found = {r["id"]: (r["key"], r["_other"], r["ms"], r["tie"], r["admitted"], r["retry_after_seconds"], r["late"]) for r in out.collect()}
+    assert found == {0: ("a", 0, 0, [0, None], False, 60, False), 1: (None, 2, 1, [1, None], False, 60, False), 2: ("a", 4, 2, [2, None], None, None, True)}
+
+
+def plain_windows(rows, window):
+    counts, start = {}, {}
+    for _, key, ms in sorted(rows, key=lambda r: r[2]):
+        if key not in start or ms - start[key] >= window:
+            start[key] = ms
+        counts[key, start[key]] = counts.get((key, start[key]), 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_windows_from_first_events(spark, seed):
+    """Dense and sparse keys, several events a moment, gaps of many windows."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a", "b", None]), int(rng.choice([1e6, 3e6, 2e7]) * rng.random()) // rng.choice([1, 7000]) * 7) for i in range(1200)]
+    found = event_windows(events(spark, rows).repartition(3), ["key"], "ts", 60_000).collect()
+    assert {(r["key"], r["window_start"]): r["n"] for r in found} == plain_windows(rows, 60_000) and len(found) > 50
+    whole = event_windows(events(spark, rows), [], "ts", 60_000).collect()
+    assert {(None, r["window_start"]): r["n"] for r in whole} == plain_windows([(i, None, ms) for i, _, ms in rows], 60_000)
+    assert event_windows(events(spark, rows).where("1 = 0"), ["key"], "ts").collect() == []
+
+
+def plain_joint(rows, window, all_limit, actor_limit, actions):
+    """One pass over all events; a refused event is charged to nothing."""
+    held, out = {}, {}
+    for ms, i, actor, action in sorted((ms, i, actor, action) for i, actor, action, ms in rows):
+        if action not in actions:
+            out[i] = (False, "invalid", None)
+            continue
+        held = {k: w for k, w in held.items() if w[0] > ms - window}
+        keys = [("global", (), all_limit), ("actor", (actor,), actor_limit), ("actor_action", (actor, action), actions[action])]
+        full = next(((scope, key) for scope, key, limit in keys if key in held and held[key][1] >= limit), None)
+        if full:
+            out[i] = (False, full[0], max(1, math.ceil((held[full[1]][0] + window - ms) / 1000)))
+            continue
+        for _, key, _ in keys:
+            held.setdefault(key, [ms, 0])[1] += 1
+        out[i] = (True, None, 0)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "span", "slabs"), [(1, 400_000, 1), (2, 3_000_000, 3), (3, 20_000_000, 60)])
+def test_joint_quota(spark, seed, span, slabs):
+    """Busy and quiet times; short slabs depend on each other, so they are decided over several rounds."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("uvwx"), rng.choice(["ask", "ask", "test", "other"]), int(span * rng.random() ** 2)) for i in range(900)]
+    actions = {"ask": 4, "test": 2}
+    df = spark.createDataFrame(pd.DataFrame([(i, a, b, pd.Timestamp(ms, unit="ms"), 0.5) for i, a, b, ms in rows], columns=["id", "who", "what", "ts", "state"]))
+    found = joint_quota(df.repartition(4), "who", "what", "ts", "id", 60_000, 8, 5, actions, slabs).collect()
+    assert {r["id"]: (r["allowed"], r["scope"], r["retry_after_seconds"]) for r in found} == plain_joint(rows, 60_000, 8, 5, actions)
+    assert len(found) == len(rows) and found[0]["state"] == 0.5
+    assert {r["scope"] for r in found} >= {"global", "invalid", None}
+
+
+def test_joint_quota_of_odd_events(spark):
+    rows = [(1, None, "query-ask", None), (2, "a", None, None), (3, "a", "query-ask", None)]
+    found = joint_quota(spark.createDataFrame(rows, "id int, actor string, action string, ts timestamp"), "actor", "action", "ts").collect()
+    assert {(r["allowed"], r["scope"]) for r in found} == {(False, "invalid")} and len(found) == 3
+    assert joint_quota(spark.createDataFrame([], "id int, actor string, action string, ts timestamp"), "actor", "action", "ts").collect() == []
 
 
 def test_minute_quota(spark, tmp_path):
