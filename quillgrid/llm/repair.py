@@ -3,7 +3,7 @@
 Documents are sorted by key over range partitions; a partition's ids are cut into shards of about ``SHARD`` ids at
 document ends. Re-Pair then replaces frequent pairs of neighbouring symbols by nonterminals: every round counts all
 pairs of the shard, takes those at or above the round's share of the shard, lets the more frequent of two overlapping
-occurrences win, and names each pair once as a rule. Rules never cross a document's end, so a document is a slice of
+occurrences win, and names each pair once as a rule; rounds end when no pair occurs ``MIN_COUNT`` times. Rules never cross a document's end, so a document is a slice of
 the compressed sequence and can be decoded alone.
 
 A shard is one row of a Parquet table, written by Spark's committer: ``part`` and ``shard`` (their order is the
@@ -18,10 +18,7 @@ text. An empty table gives no shards and no rows.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgrid.llm.encoding import ByteLevelEncoder
 from quillgrid.llm.textbatch import slices
 
 SHARD = 1 << 19
 MIN_COUNT = 12
-#: A round takes pairs that make up at least this share of the symbols (and MIN_COUNT occurrences).
-ROUNDS = (2**-9, 2**-11, 2**-13, 2**-15, 2**-17, 2**-18)
+#: The first rounds take only pairs that make up at least this share of the symbols; then all of MIN_COUNT occurrences, until none is left.
+ROUNDS = (2**-9, 2**-11, 2**-13, 2**-15, 2**-17)
 _COUNTER_BITS = 19
 
 SHARD_SCHEMA = (
@@ -51,25 +49,34 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndar
     last = np.zeros(len(s), bool)
     last[ends] = True
     lefts, rights, size = [], [], np.ones(terminals, np.uint32)
-    for share in ROUNDS:
-        if len(s) < 2:
-            break
+    shares = [0.0, *ROUNDS[::-1]]
+    while shares and len(s) > 1:
+        share = shares[-1]
         key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
         slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _COUNTER_BITS)).astype(np.int32)
         inner = ~last[:-1]
         count = np.bincount(slot[inner], minlength=1 << _COUNTER_BITS).astype(np.int32)[slot]
         count[~inner] = 0
         count[count < max(MIN_COUNT, int(len(s) * share))] = 0
+        if not share:
+            # Pairs that shared a slot are told apart before rounds may end.
+            often = np.flatnonzero(count)
+            _, which, times = np.unique(key[often], return_inverse=True, return_counts=True)
+            count[often] = np.where(times >= MIN_COUNT, times, 0)[which]
         # Of two overlapping occurrences the more frequent pair wins, of equal ones the one at the odd place.
         rank = 2 * count + (np.arange(len(count)) & 1)
         take = count > 0
         take[1:] &= rank[1:] > rank[:-1]
         take[:-1] &= rank[:-1] > rank[1:]
         where = np.flatnonzero(take)
-        if not len(where):
-            continue
+        if share:
+            shares.pop()
+        elif not len(where):
+            break
         pairs, rule, uses = np.unique(key[where], return_inverse=True, return_counts=True)
         worth = uses > 2
+        if not worth.any():
+            continue
         where, rule = where[worth[rule]], (np.cumsum(worth) - 1)[rule[worth[rule]]]
         pairs = pairs[worth]
         left, right = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
@@ -115,130 +122,36 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, expanded: n
     return _gather(flat, place[symbols], size[symbols])
 
 
-#: Stretches of text that end where the tokenizer's own pattern ends a word too, whatever follows: a run of Latin letters
-#: before other ASCII, a run of ASCII marks before a space or letter, a line break before text, and else everything up to
-#: a space that begins a word. So their ids, one after another, are the ids of the whole text.
-STRETCH = re.compile(
-    r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\x00-&(-@\[-`{-\x7f]|\Z)| ?[!-&(-/:-@\[-`{-~]++(?=[\t-\r A-Za-z]|\Z)|\n(?=\S)|.[^ ]*+(?: (?!\S)[^ ]*+)*+", re.DOTALL
-)
-#: Stretches that the pattern leaves whole.
-ONE_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[!-&(-/:-@\[-`{-~]+|\n")
-#: Stretches a worker remembers (some 150 bytes each); beyond it forgets all and learns again.
-REMEMBERED = 5 << 18
-_LEARN = 4096
-
-
-class _Numbers(dict):
-    """Stretches numbered as they come; ``new`` holds those not encoded yet."""
-
-    def __init__(self):
-        self.new = []
-
-    def __missing__(self, stretch: str) -> int:
-        self[stretch] = number = len(self)
-        self.new.append(stretch)
-        return number
+def write_shards(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD, plain: bool = False) -> None:
+    """Encode every text, append the end id, and write the shards in ascending order of the key below a shared folder.
 
-
-class Ids:
-    """Ids of texts by the tokenizers library; a Python worker keeps one for its next task.
-
-    The library encodes every distinct stretch of words once; a text is put together from its stretches.
+    Strings of added tokens inside texts become their ids, as in the library; ``plain`` reads them as ordinary text.
     """
-
-    made: dict[str, Ids] = {}
-
-    @classmethod
-    def kept(cls, path: str, vocabulary) -> Ids:
-        if path not in cls.made:
-            cls.made[path] = cls(vocabulary.value)
-        return cls.made[path]
-
-    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
-        # A worker is one of many on its machine; threads of its own would only add memory.
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.terminals = self.tokenizer.get_vocab_size()
-        # How the pre-tokenizer spells the characters of such stretches.
-        spelt = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.spelling = {c: "".join(x for x, _ in spelt(chr(c))) for c in [10, *range(32, 127), *range(0xC0, 0x250)]}
-        self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.learnt = 0
-
-    def _coded(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all stretches in sequence, and the number of ids of each.
-
-        A stretch that is one word to the tokenizer's pattern goes to its merges at once, any other through all its steps.
-        """
-        merges, spelt = self.tokenizer.model.tokenize, self.spelling
-        coded = [[t.id for t in merges(x.translate(spelt))] if ONE_WORD.fullmatch(x) else None for x in stretches]
-        others = [i for i, c in enumerate(coded) if c is None]
-        for i, e in zip(others, self.tokenizer.encode_batch_fast([stretches[i] for i in others], add_special_tokens=False)):
-            coded[i] = e.ids
-        return np.fromiter(chain.from_iterable(coded), np.uint32), np.array([len(c) for c in coded], np.int64)
-
-    def _learn(self) -> None:
-        new, self.numbers.new = self.numbers.new, []
-        for at in range(0, len(new), _LEARN):
-            ids, size = self._coded(new[at : at + _LEARN])
-            ends = (int(self.ends[self.learnt - 1]) if self.learnt else 0) + np.cumsum(size)
-            start, upto = int(ends[-1]) - len(ids), self.learnt + len(size)
-            if ends[-1] > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            if upto > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(size)), np.int64)])
-            self.flat[start : start + len(ids)] = ids
-            self.ends[self.learnt : upto] = ends
-            self.learnt = upto
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in sequence, and the number of ids of each text."""
-        if len(self.numbers) > self.remembered:
-            self._forget()
-        parts = [STRETCH.findall(t) for t in texts]
-        used = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(parts)), np.int64)
-        self._learn()
-        place = np.where(used > 0, self.ends[used - 1], 0)
-        size = self.ends[used] - place
-        upto = np.concatenate([[0], np.cumsum(size)])
-        bounds = upto[np.cumsum([0, *map(len, parts)])]
-        return _gather(self.flat, place, size), np.diff(bounds)
-
-
-def write_shards(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD) -> None:
-    """Encode every text, append the end id, and write the shards in ascending order of the key below a shared folder."""
     with open(vocabulary_path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        coder, part = Ids.kept(vocabulary_path, shared), TaskContext.get().partitionId()
-        waiting, held, shard, start = [], 0, 0, 0
+        coder, part = ByteLevelEncoder.kept(vocabulary_path, shared, plain), TaskContext.get().partitionId()
+        waiting, held, shard, start, end = [], 0, 0, 0, np.array([end_id], "<u4").tobytes()
+        terminals = max(coder.size, end_id + 1)
 
         def row():
             ids = np.concatenate([x for x, _, _ in waiting])
             lengths = np.concatenate([x for _, x, _ in waiting])
             keys = [k for _, _, found in waiting for k in found]
-            s, at, left, right, expanded = compress(ids, np.cumsum(lengths) - 1, max(coder.terminals, end_id + 1))
+            s, at, left, right, expanded = compress(ids, np.cumsum(lengths) - 1, terminals)
             arrays = [
                 np.array([k or 0 for k in keys], "<i8"), np.array([k is None for k in keys], np.uint8), lengths.astype("<u4"),
                 at.astype("<u4"), s.astype("<u4"), left.astype("<u4"), right.astype("<u4"), expanded.astype("<u4"),
             ]
-            numbers = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([max(coder.terminals, end_id + 1)], pa.int64())]
+            numbers = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([terminals], pa.int64())]
             return pa.RecordBatch.from_arrays([*numbers, *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], [f.split()[0] for f in SHARD_SCHEMA.split(", ")])
 
         for slice_ in slices(batches, "text"):
-            ids, lengths = coder.of(slice_.column("text").to_pylist())
-            whole = np.insert(ids, np.cumsum(lengths), end_id) if len(lengths) else ids
-            waiting.append((whole, lengths + 1, slice_.column("key").to_pylist()))
+            found = [coder(t) + end for t in slice_.column("text").to_pylist()]
+            whole = np.frombuffer(b"".join(found), "<u4")
+            waiting.append((whole, np.array([len(x) // 4 for x in found], np.int64), slice_.column("key").to_pylist()))
             held += len(whole)
             if held >= shard_ids:
                 yield row()
