@@ -3,7 +3,8 @@
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is a vocabulary entry resolves to its id with
 one probe and one comparison, for all new pre-tokens of a slice at once. Tier two takes the misses: their bytes form a
 linked list, a heap yields the adjacent pair of lowest rank (leftmost first), and each merge pushes the two pairs it
-makes. Results are remembered per worker in two memos, each emptied when it reaches ``MEMO`` entries.
+makes. Results are remembered per worker in two memos, each emptied when it reaches ``MEMO`` entries; what is longer than
+``SHORT`` characters is not remembered, so that text without spaces takes no memory.
 
 Texts are cut at single spaces between two characters that no definition takes for white space; there a pre-token always
 begins, so whole stretches such as `` word,`` are remembered. Ids equal those of encoding each pattern match on its own.
@@ -19,6 +20,7 @@ import base64
 import hashlib
 import heapq
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillgrid.llm.encoding import SHORT, worker_memory
 from quillgrid.llm.textbatch import Words, add_columns, mix
 
 MEMO = 600_000
@@ -149,17 +152,25 @@ def stretches(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
+def _remember(memo: dict[str, bytes], learnt: dict[str, bytes]) -> Callable[[str], bytes]:
+    """Adds what is short to a memo; looks up what is there or was learnt just now."""
+    long = {k: v for k, v in learnt.items() if len(k) > SHORT}
+    memo.update(learnt if not long else {k: v for k, v in learnt.items() if len(k) <= SHORT})
+    if not long:
+        return memo.__getitem__
+    return lambda k: long[k] if len(k) > SHORT else memo[k]
+
+
 class Encoder:
     """Encodes texts with a vocabulary; a Python worker makes it once and keeps it with its memos for its next task."""
 
-    made: dict[tuple[str, str], Encoder] = {}
-
     @classmethod
     def kept(cls, key: tuple[str, str], shared) -> Encoder:
         """This worker's encoder for a vocabulary and a pattern."""
-        if key not in cls.made:
-            cls.made[key] = cls(*shared.value, key[1])
-        return cls.made[key]
+        made = worker_memory()
+        if key not in made:
+            made[key] = cls(*shared.value, key[1])
+        return made[key]
 
     def __init__(self, tokens: list[bytes], perfect: PerfectHash, pattern: str):
         self.tokens, self.perfect = tokens, perfect
@@ -168,18 +179,18 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> None:
-        """Add the ids of new stretches to the memo: the perfect hash first, the heap for what it does not hold."""
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of new stretches: the perfect hash first, the heap for what it does not hold."""
         found = list(map(self.find, new))
         if len(self.known) > MEMO:
             self.known = {}
-        parts = list({p for each in found for p in each}.difference(self.known))
+        parts, learnt = list({p for each in found for p in each}.difference(self.known)), {}
         if parts:
             coded = [p.encode() for p in parts]
             for part, word, i in zip(parts, coded, self.perfect.probe(hash_tokens(coded)).tolist()):
-                self.known[part] = i.to_bytes(4, "little") if self.tokens[i] == word else b"".join([x.to_bytes(4, "little") for x in merge_bytes(word, self.rank)])
-        get = self.known.__getitem__
-        self.memo.update(zip(new, [b"".join(map(get, each)) for each in found]))
+                learnt[part] = i.to_bytes(4, "little") if self.tokens[i] == word else b"".join([x.to_bytes(4, "little") for x in merge_bytes(word, self.rank)])
+        get = _remember(self.known, learnt)
+        return dict(zip(new, [b"".join(map(get, each)) for each in found]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -187,9 +198,7 @@ class Encoder:
         if len(self.memo) > MEMO:
             self.memo = {}
         new = {s for found in cut for s in found}.difference(self.memo)
-        if new:
-            self.learn(list(new))
-        get = self.memo.__getitem__
+        get = _remember(self.memo, self.learn(list(new)) if new else {})
         return [b"".join(map(get, found)) for found in cut]
 
     def decode(self, ids: bytes) -> bytes:

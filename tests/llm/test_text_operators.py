@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillgrid.llm import bpe, decontaminate, licenses, quality_rules, repair
+from quillgrid.llm.encoding import SHORT
 from quillgrid.llm.textbatch import ALNUM_LOWER, NOT_SPACE, Words
 from tests.llm.conftest import prose
 
@@ -91,23 +92,40 @@ def test_repair_compresses_and_expands():
     assert all(x < 100 + i for i, x in enumerate(np.maximum(left, right).tolist()))
 
 
-def test_stretches_give_the_ids_of_whole_texts():
-    with open(VOCABULARY, encoding="utf-8") as file:
-        coder = repair.Ids(file.read(), remembered=500)
-    marks = [*" \n\t\r'.,#sdltm019²½ⅧabXcé×αβ中_-|<>", "\xa0", "\u3000", "\x1c", "\x85", "\u0301", "\u200b", "  ", "'ll", "<|endoftext|>", " \n", "😀"]
-    draw = random.Random(3)
-    for _ in range(3000):
-        texts = ["".join(draw.choices(marks, k=draw.randint(0, 14))) for _ in range(3)]
-        ids, lengths = coder.of(texts)
-        whole = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == whole, texts
-    ids, lengths = coder.of([])
-    assert len(ids) == len(lengths) == 0
+def test_repair_ends_when_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.integers(0, 20, 3000), np.tile(rng.integers(20, 40, 7), 40), [41] * 200, rng.zipf(1.5, 2000) % 50]).astype(np.uint32)
+    ends = np.array([100, 101, 3500, len(ids) - 1])
+    symbols, at, left, right, expanded = repair.compress(ids, ends, 100)
+    assert (repair.expand(symbols, left, right, expanded, 100) == ids).all()
+    uses = Counter(pair for part in np.split(symbols, at[1:]) for pair in zip(part.tolist(), part[1:].tolist()))
+    assert max(uses.values()) < repair.MIN_COUNT
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_repair_ids_are_the_library(spark, tmp_path, plain):
+    """Strings of added tokens are their ids, or ordinary text on request."""
+    t = Tokenizer.from_file(VOCABULARY)
+    t.encode_special_tokens = plain
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n\n y", "<|endoftext", "plain"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    repair.write_shards(frame, VOCABULARY, str(tmp_path / "shards"), 2, plain=plain)
+    got = {r.key: np.frombuffer(r.ids, "<u4").tolist() for r in repair.read_shards(spark, str(tmp_path / "shards")).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    assert plain or got[0] == [64, 220, 50256, 275, 2]
+
+
+def test_spaceless_text_is_not_remembered():
+    tokens = bpe.read_ranks(RANKS)
+    encoder = bpe.Encoder(tokens, bpe.PerfectHash.build(bpe.hash_tokens(tokens)), public_tokenizers.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    texts = ["漢字仮名" * 300 + str(i) + " short" for i in range(20)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [own.encode_ordinary(t) for t in texts]
+    assert max(map(len, [*encoder.memo, *encoder.known])) <= SHORT
 
 
 def test_repair_files(spark, odd_docs, no_docs, tmp_path):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     folder = str(tmp_path / "shards")
     repair.write_shards(odd_docs.repartition(4), VOCABULARY, folder, 2, shard_ids=500)
     rows = sorted(odd_docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
