@@ -1,10 +1,10 @@
-"""Quality classifier by compression: zstandard dictionaries of good and of bad text, and calibrated size differences.
+"""Quality classifier by compression: zstandard dictionaries of good and of bad text, and a calibrated size difference.
 
-A dictionary is built from a bounded sample of the labelled rows of each class. A text is cut into pieces of
-``PIECE`` bytes and each piece is compressed with both dictionaries, so that the effect of a dictionary does not fade in
-long texts. The inputs of the score are the difference of the two summed sizes, divided by the length, and the
-logarithm of the better size by the length; a logistic curve, fitted on labelled rows that built no dictionary,
-turns them into a probability.
+Both dictionaries are trained on whole texts of a bounded sample of the labelled rows (``fit``): of the class with
+more text as many whole texts, in a fixed random order, as reach the size of the other. A text is cut into pieces of ``PIECE``
+bytes and every piece is compressed with both dictionaries, so that their effect does not fade in long texts. The score
+has one input: the difference of the two summed sizes divided by the text's length. A logistic curve with a slope and a shift,
+fitted on the labelled rows that built no dictionary, turns it into a probability.
 
 Null texts count as empty. Empty texts, and all texts while there are no labels of both classes, get the smoothed share
 of label 1 (0.5 without labels). Repeated rows score alike.
@@ -24,12 +24,12 @@ from pyspark.sql import types as T
 from quillgrid.llm.factorization import sigmoid
 from quillgrid.llm.textbatch import add_columns, bounded_sample
 
-PIECE = 4096
-LEVEL = 1
+PIECE = 1024
+LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 MAX_ROWS = 4_000
-#: Of a text that helps to build a dictionary; rows used for calibration count whole.
-SAMPLE_BYTES = 2048
+#: One labelled row in so many calibrates; the others build dictionaries.
+CALIBRATES = 5
 
 
 @dataclass
@@ -41,29 +41,27 @@ class Model:
 
 
 def compressors(model: Model):
-    """A compressor for each dictionary; raw content, so no header is repeated in every piece."""
+    """A compressor for each dictionary; pieces carry no header beyond the least."""
     made = []
     for content in (model.good, model.bad):
-        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = zstandard.ZstdCompressionDict(content)
         data.precompute_compress(level=LEVEL)
         made.append(zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
     return made
 
 
-def sizes(text: bytes, pair) -> tuple[int, int]:
-    pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
-    return tuple(sum(len(c.compress(p)) for p in pieces) for c in pair)
+def pieces(text: bytes) -> list[bytes]:
+    return [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
 
 
-def inputs(texts: list[bytes], model: Model, pair) -> np.ndarray:
-    """A row of inputs per text: a constant, the normalised difference, the better ratio's logarithm, their squares."""
-    measured = np.array([(*sizes(t, pair), len(t)) for t in texts], float).reshape(-1, 3)
-    good, bad, length = measured.T
-    length = np.maximum(length, 1)
-    short = 1 / np.sqrt(length)
-    difference = (bad - good) / length
-    ratio = np.log(np.maximum(np.minimum(good, bad), 1) / length)
-    return np.stack([np.ones(len(texts)), 10 * difference, ratio, ratio**2, 100 * difference**2, short, 10 * difference * ratio], 1)
+def differences(texts: list[bytes], pair) -> np.ndarray:
+    """By how much a text gets larger with the bad dictionary than with the good one, per byte."""
+    good, bad = pair
+    return np.array([sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces(t)) / max(len(t), 1) for t in texts], float)
+
+
+def probability(difference: np.ndarray, theta: list[float]) -> np.ndarray:
+    return sigmoid(theta[0] + theta[1] * 10 * difference)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -78,24 +76,34 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return theta
 
 
-def _content(texts: list[bytes]) -> bytes:
-    """Sample text of one class, the same share from every text, cut to the size of a dictionary."""
-    share = max(64, min(SAMPLE_BYTES, DICTIONARY_BYTES // max(1, len(texts))))
-    return b"\n".join(t[len(t) // 3 : len(t) // 3 + share] for t in texts)[:DICTIONARY_BYTES] or b"\n"
+def _dictionary(texts: list[bytes]) -> bytes:
+    """Trained on the pieces of whole texts; where they are too few to train on, they are the dictionary."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [p for t in texts for p in pieces(t)]).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(texts) or b"\n"
+
+
+def _upto(texts: list[bytes], size: int) -> list[bytes]:
+    """The first whole texts that reach a size together."""
+    return texts[: int(np.searchsorted(np.cumsum([len(t) for t in texts]), size)) + 1]
 
 
 def train(texts: list[bytes], y: np.ndarray) -> Model:
+    """From texts in random order and their labels."""
     prior = float((y.sum() + 0.5) / (len(y) + 1))
     if int(y.sum()) in (0, len(y)):
         return Model(b"", b"", [], prior)
-    builds = np.arange(len(y)) % 2 == 0
+    builds = np.arange(len(y)) % CALIBRATES > 0
     if len(set(y[builds])) < 2 or len(set(y[~builds])) < 2:
         builds = np.ones(len(y), bool)
-    build = lambda c: _content([t for t, k, b in zip(texts, y, builds) if b and k == c and t])
-    model = Model(build(1), build(0), [], prior)
+    good, bad = ([t for t, k, b in zip(texts, y, builds) if b and k == c and t] for c in (1, 0))
+    size = min(sum(map(len, good)), sum(map(len, bad)))
+    model = Model(_dictionary(_upto(good, size)), _dictionary(_upto(bad, size)), [], prior)
     rest = [i for i in range(len(y)) if (not builds[i] or builds.all()) and texts[i]]
     if rest:
-        model.theta = logistic(inputs([texts[i] for i in rest], model, compressors(model)), y[rest]).tolist()
+        found = differences([texts[i] for i in rest], compressors(model))
+        model.theta = logistic(np.stack([np.ones(len(rest)), 10 * found], 1), y[rest]).tolist()
     return model
 
 
@@ -130,7 +138,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         low = int(off[0])
         whole = data[low : int(off[-1])].tobytes()
         texts = [whole[a - low : b - low] for a, b in zip(off, off[1:])]
-        p = sigmoid(inputs(texts, m, made["pair"]) @ np.array(m.theta))
+        p = probability(differences(texts, made["pair"]), m.theta)
         return [np.where(np.diff(off) == 0, m.prior, p)]
 
     return add_columns(docs, text, [T.StructField(name, T.DoubleType())], compute)

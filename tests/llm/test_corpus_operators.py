@@ -8,6 +8,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -90,6 +91,42 @@ def test_compression(spark, odd_docs, no_docs):
     assert {r.score for r in compression.score(odd_docs, untaught).collect()} == {0.5}
 
 
+def test_compression_from_sizes_to_score(spark):
+    """The score is the logistic curve over the difference of sizes, each piece compressed by itself."""
+    bad = lambda i: " ".join(w.upper() + "!!" for w in prose(60 + i, i).split())
+    rows = [(prose(60 + i, i) if i % 3 else bad(i), int(i % 3 > 0)) for i in range(150)]
+    model = compression.fit(labelled(spark, rows))
+    assert len(model.theta) == 2 and model.theta[1] > 0
+    for r in compression.score(labelled(spark, [*rows[:20], ("é" * 5000, 1), ("x", 0)]), model).collect():
+        raw, size = r.text.encode(), {}
+        for name in ("good", "bad"):
+            own = zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(getattr(model, name)), write_content_size=False, write_dict_id=False)
+            size[name] = sum(len(own.compress(raw[a : a + compression.PIECE])) for a in range(0, len(raw), compression.PIECE))
+        z = model.theta[0] + model.theta[1] * 10 * (size["bad"] - size["good"]) / len(raw)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=0.02)
+
+
+def test_dictionaries_are_of_whole_balanced_texts(monkeypatch):
+    """Every text of the smaller class counts whole, and of the larger class as many whole texts as reach its size."""
+    seen = []
+    monkeypatch.setattr(compression, "_dictionary", lambda texts: seen.append(list(texts)) or b"\n".join(texts))
+    texts = [prose(400 if i % 4 else 700, i).encode() for i in range(200)]
+    y = np.array([int(i % 4 > 0) for i in range(200)])
+    compression.train(texts, y)
+    builds = [i for i in range(200) if i % compression.CALIBRATES]
+    good, bad = seen
+    assert bad == [texts[i] for i in builds if not y[i]]
+    assert good == [texts[i] for i in builds if y[i]][: len(good)] and 0 <= sum(map(len, good)) - sum(map(len, bad)) < 5000
+
+
+@needs_data
+def test_compression_on_held_out_rows(spark):
+    scored = QUERIES["op9_compression_classifier"](spark, SF.replace("0.001", "0.01")).where("held_out")
+    truth = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet").where("quality is not null")
+    found = scored.join(truth, "doc_id").selectExpr("avg(cast(predicted = quality as int)) as right", "count(*) as n").first()
+    assert found["n"] > 50 and found["right"] > 0.9
+
+
 def test_fold_is_crc32_of_the_text(spark):
     import zlib
 
