@@ -7,6 +7,9 @@ Files are read in splits. Whether a split begins inside a quoted field is known
 pass works out, per split, where it would end from either start; chaining these short summaries gives every split its
 true start and its first row number. The second pass then cuts records independently. Only records that cross a split
 are brought together, one group per record.
+
+Files are probed first, a few bytes each. If all are UTF-8 whose lines end in line feeds, Spark's own text reader reads
+them; else the ranges of ``lines`` do, which know UTF-16 with a mark and lone carriage returns.
 """
 
 from __future__ import annotations
@@ -19,17 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import NUMBER_TEXT
-from ..session import shared_folder
+from ..session import shared_folder, stored
+from .lines import probe, read_lines
 
 DELIMITERS = [",", "\t", ";"]
-# Bytes looked at to choose a delimiter, and the name of a text file's only sheet.
-HEAD_BYTES = 4096
+# Fixed value: the name of a text file's only sheet.
 SHEET = "Sheet1"
 
 # A private-use character that takes the place of carriage returns while a record is cut.
 _SHIELD = "\ue000"
 
-_SUMMARY = "file_id string, block_start bigint, delimiter string, end_out boolean, rows_out bigint, end_in boolean, rows_in bigint, commas bigint, tabs bigint, semicolons bigint"
+_SUMMARY = "file_id string, block_start bigint, delimiter string, end_out boolean, rows_out bigint, end_in boolean, rows_in bigint"
 _PIECES = "file_id string, row_idx bigint, block_start bigint, record string, fields array<string>"
 
 
@@ -74,13 +77,12 @@ def _split_runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, in
 
 
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, state, head = None, {}, ""
+    current, state = None, {}
 
     def rows() -> pd.DataFrame:
-        counts = [head.count(d) for d in (",", "\t", ";")]
         return pd.DataFrame(
-            [(*current, d, state[d, False][0], state[d, False][1], state[d, True][0], state[d, True][1], *counts) for d in DELIMITERS],
-            columns=["file_id", "block_start", "delimiter", "end_out", "rows_out", "end_in", "rows_in", "commas", "tabs", "semicolons"],
+            [(*current, d, state[d, False][0], state[d, False][1], state[d, True][0], state[d, True][1]) for d in DELIMITERS],
+            columns=["file_id", "block_start", "delimiter", "end_out", "rows_out", "end_in", "rows_in"],
         )
 
     for split, run in _split_runs(batches):
@@ -88,11 +90,9 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if current is not None:
                 yield rows()
             # Open quote and records begun, for each delimiter and each possible start.
-            current, head = split, ""
+            current = split
             state = {(d, start): (start, 0) for d in DELIMITERS for start in (False, True)}
         lines = run["value"]
-        if split[1] == 0 and len(head) < HEAD_BYTES:
-            head = (head + "\n".join(lines.iloc[:HEAD_BYTES]) + "\n").encode()[:HEAD_BYTES].decode(errors="ignore")
         quoted_at = lines.str.contains('"', regex=False).to_numpy().nonzero()[0]
         for key, (quoted, begun) in state.items():
             done = 0
@@ -106,7 +106,9 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows()
 
 
-def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def _lines(spark: SparkSession, paths: str | list[str], probed: DataFrame) -> DataFrame:
+    if not probed.where("lone_cr or encoding <> 'utf-8'").isEmpty():
+        return read_lines(probed)
     text = spark.read.option("lineSep", "\n").text(paths)
     first = F.col("block_start") == 0
     return text.select(
@@ -114,6 +116,7 @@ def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_no"),
         "value",
+        F.lit("\n").alias("line_end"),
     ).withColumn("value", F.when(first, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
 
 
@@ -128,19 +131,16 @@ def detect_delimiter(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Semicolons replace commas when they are the commoner of the two.
     """
-    heads = _lines(spark, paths).select("file_id", "block_start", "value").where("block_start = 0")
-    found = heads.mapInPandas(_summarise, _SUMMARY).where(F.col("delimiter") == ",")
-    return found.select("file_id", _chosen_delimiter().alias("delimiter"))
+    return probe(spark, paths).where("length > 0").select("file_id", _chosen_delimiter().alias("delimiter"))
 
 
-def _placed_splits(summary: DataFrame) -> DataFrame:
+def _placed_splits(summary: DataFrame, heads: DataFrame) -> DataFrame:
     """Per split: the file's delimiter, whether it begins quoted, and the number of records begun before it.
 
     A split maps its start to its end, so the state after several is the composition of their maps. Two starts lead to
     one end as soon as a split ends alike from both; a running count of flips since the last such split does the rest.
     """
-    head = summary.where("block_start = 0").select("file_id", _chosen_delimiter().alias("delimiter")).distinct()
-    own = summary.drop("commas", "tabs", "semicolons").join(head, ["file_id", "delimiter"])
+    own = summary.join(heads.select("file_id", _chosen_delimiter().alias("delimiter")), ["file_id", "delimiter"])
     earlier = Window.partitionBy("file_id").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     # A split either fixes the state (same end from both starts), keeps it, or flips it.
     fixes = F.col("end_out") == F.col("end_in")
@@ -163,7 +163,8 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     out: list[tuple] = []
 
     def flush(finished: bool) -> None:
-        text = "\n".join(parts)
+        # What ends a finished record's last line is no part of it; the part of an unfinished one keeps it.
+        text = "".join(parts[:-1] if finished else parts)
         whole = finished and begun_here
         out.append((current[0], row, current[1], None if whole else text, split_fields(text, delimiter) if whole else None))
 
@@ -177,10 +178,10 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             current, parts = split, []
             quoted, delimiter = bool(run["quoted"].iat[0]), run["delimiter"].iat[0]
             row, begun_here = int(run["first_row"].iat[0]) - 1, False
-        for line in run["value"]:
+        for line, ended in zip(run["value"], run["line_end"]):
             if not quoted:
                 row, begun_here = row + 1, True
-            parts.append(line)
+            parts += (line, ended)
             if '"' in line:
                 quoted = ends_quoted(line, quoted, delimiter)
             if not quoted:
@@ -210,15 +211,17 @@ def cells_of(fields: Column) -> Column:
 
 def read_grid(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All records of the files as grid rows."""
-    lines = _lines(spark, paths)
+    # One row a file.
+    probed = stored(probe(spark, paths))
+    lines = _lines(spark, paths, probed)
     # Writing the summaries keeps the first pass to one run and tells the planner their size.
     folder = shared_folder(spark)
     lines.mapInPandas(_summarise, _SUMMARY).write.parquet(folder)
-    splits = _placed_splits(spark.read.schema(_SUMMARY).parquet(folder))
+    splits = _placed_splits(spark.read.schema(_SUMMARY).parquet(folder), probed)
     keys = ["file_id", "block_start"]
     # Spark picks the join by size; lines are put back in order in either case.
     placed = lines.join(splits, keys).sortWithinPartitions(*keys, "line_no")
-    columns = ["file_id", "block_start", "value", "delimiter", "quoted", "first_row"]
+    columns = ["file_id", "block_start", "value", "line_end", "delimiter", "quoted", "first_row"]
     pieces = placed.select(*columns).mapInPandas(_cut, _PIECES)
     whole = pieces.where(F.col("fields").isNotNull()).select("file_id", "row_idx", "fields")
     # Records crossing splits: a part per split, joined in order and cut like the others.
@@ -226,7 +229,7 @@ def read_grid(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         pieces.where(F.col("fields").isNull())
         .groupBy("file_id", "row_idx")
         .agg(F.array_sort(F.collect_list(F.struct("block_start", "record"))).alias("parts"))
-        .select("file_id", "row_idx", F.array_join(F.transform("parts", lambda p: p["record"]), "\n").alias("record"))
+        .select("file_id", "row_idx", F.array_join(F.transform("parts", lambda p: p["record"]), "").alias("record"))
         .join(splits.select("file_id", "delimiter").distinct(), "file_id")
         .mapInPandas(_cut_crossing, "file_id string, row_idx bigint, fields array<string>")
     )

@@ -1,11 +1,15 @@
+import codecs
 import csv
+import gzip
 import hashlib
+import io
 import json
 import random
 import zipfile
 
 import pytest
 
+from quillgrid.sources import delimited, lines
 from quillgrid.sources.audit import audit_files, content_hash, read_files
 from quillgrid.sources.catalog import active_table, empty_table, ingest_files, is_safe_name, register, table_name
 from quillgrid.sources.delimited import detect_delimiter, ends_quoted, grid_from_cells, read_grid, split_fields
@@ -130,3 +134,47 @@ def test_catalog(spark):
     assert register(df, "nothing_yet") == "nothing_yet" and spark.table("nothing_yet").dtypes == [("a", "string"), ("b c", "string")]
     found = active_table({"x": spark.range(2).toDF("i"), "y": spark.range(3).toDF("i"), "z": spark.range(3).toDF("i")}).first()
     assert tuple(found) == ("y", 3)
+
+
+CELLS = ["a", "b,c", 'q"x', "line1\nline2", "", "12", "m\r\nn\n\no", "x\ry", '""', "x" * 70, "é ü", "ਊ਀", "\U0001f600", "਍"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("line_end", ["\r", "\n", "\r\n"])
+def test_encodings_and_line_ends(spark, monkeypatch, tmp_path, encoding, line_end):
+    """Ranges cut anywhere: inside characters whose bytes look like line ends, between the halves of a line end."""
+    monkeypatch.setattr(lines, "CHUNK_BYTES", 37)
+    rng = random.Random(f"{encoding}{line_end}")
+    rows = [[rng.choice(CELLS) for _ in range(rng.randint(2, 5))] for _ in range(60)]
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator=line_end).writerows(rows)
+    mark = {"utf-16-le": codecs.BOM_UTF16_LE, "utf-16-be": codecs.BOM_UTF16_BE}.get(encoding, b"")
+    (tmp_path / "x.csv").write_bytes(mark + out.getvalue().encode(encoding))
+    probed = lines.probe(spark, str(tmp_path)).first()
+    assert (probed["encoding"], probed["lone_cr"]) == (encoding.removesuffix("-sig"), True)
+    size, whole = probed["length"], None
+    for step in (2, 6, 22, 10_000):
+        args = (probed["file_id"], size, probed["encoding"], probed["skip"], True)
+        found = [line for start in range(0, size, step) for line in lines.range_lines(*args, start, start + step)]
+        assert "".join(value + ended for value, ended in found) == out.getvalue()
+        assert whole in (None, found)
+        whole = found
+    monkeypatch.setattr(lines, "RANGE_BYTES", 50)
+    monkeypatch.setattr(delimited, "read_lines", lambda p: lines.read_lines(p, 50))
+    assert raw_rows(read_grid(spark, str(tmp_path))) == {"x.csv": [[c or None for c in row] for row in rows]}
+
+
+def test_files_of_several_kinds(spark, tmp_path):
+    """Plain, marked, compressed and empty files together; a carriage return ends lines only where a file shows it so."""
+    text = 'a,"b\rc"\n1,2\n'
+    (tmp_path / "plain.csv").write_bytes(b"a;b\r\n1;x\ry")
+    (tmp_path / "mac.csv").write_bytes(text.replace("\n", "\r").encode())
+    (tmp_path / "wide.csv").write_bytes(text.encode("utf-16"))
+    (tmp_path / "packed.tsv.gz").write_bytes(gzip.compress(b"a\tb\n1\t2\n"))
+    (tmp_path / "none.csv").write_bytes(b"")
+    (tmp_path / "mark.csv").write_bytes(b"\xff\xfe")
+    (tmp_path / "one.csv").write_bytes(b"x\r")
+    assert raw_rows(read_grid(spark, str(tmp_path))) == {
+        "plain.csv": [["a", "b"], ["1", "x"], ["y"]], "mac.csv": [["a", "b\rc"], ["1", "2"]], "wide.csv": [["a", "b\rc"], ["1", "2"]],
+        "packed.tsv.gz": [["a", "b"], ["1", "2"]], "one.csv": [["x"]],
+    }
