@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import fnmatch
+import hashlib
 import re
-from urllib.parse import unquote
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .lines import CHUNK_BYTES, file_system
+
 # Limits of a single upload.
 MAX_BYTES, MAX_ROWS, MAX_COLUMNS, MAX_SHEETS = 10 * 1024 * 1024, 200_000, 200, 20
 PROBE_BYTES = 4096
-# What Spark can hold in one binary value.
-MAX_CONTENT = 2**31 - 1024
 # First bytes of zip (two kinds), legacy office, and known binary files; byte-order marks; macro types.
 ZIP_STARTS = ["504B0304", "504B0506"]
 OLE_START = "D0CF11E0A1B11AE1"
@@ -21,18 +26,67 @@ UTF8_MARK, UTF16_MARKS = "EFBBBF", ["FFFE", "FEFF"]
 MACRO_EXTENSIONS = ["xlsm", "xlsb", "xltm", "xlam", "xlm", "xla"]
 
 
+def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``path`` and ``length`` of all files below the paths, empty ones too; names that begin with a dot or underscore are hidden.
+
+    Folders are listed in tasks, one level after the other, so the driver never holds a listing. The last part of a path
+    may have wildcards.
+    """
+    asked = [paths] if isinstance(paths, str) else list(paths)
+    folders, found = spark.createDataFrame([(p, True) for p in asked], "path string, given boolean"), []
+    while True:
+        level = stored(folders.repartition("path").mapInArrow(_list, "path string, length bigint, folder boolean"))
+        found.append(level.where("not folder").select("path", "length"))
+        folders = level.where("folder").select("path", F.lit(False).alias("given"))
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for asked, given in zip(batch.column("path").to_pylist(), batch.column("given").to_pylist()):
+            system, path = file_system(asked)
+            scheme = asked[: asked.index(":")] if "://" in asked or asked.startswith("file:") else "file"
+            base, _, pattern = path.rstrip("/").rpartition("/")
+            if given and re.search(r"[*?\[]", pattern):
+                infos = [i for i in system.get_file_info(fs.FileSelector(base)) if fnmatch.fnmatchcase(i.base_name, pattern)]
+            else:
+                own = system.get_file_info(path)
+                if own.type == fs.FileType.NotFound:
+                    raise FileNotFoundError(asked)
+                infos = [own] if own.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path))
+            shown = [i for i in infos if not i.base_name.startswith((".", "_"))]
+            start = "file:" if scheme == "file" else f"{scheme}://"
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([start + i.path for i in shown], pa.string()), pa.array([i.size or 0 for i in shown], pa.int64()), pa.array([i.type == fs.FileType.Directory for i in shown], pa.bool_())],
+                ["path", "length", "folder"],
+            )
+
+
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files with their size and bytes: ``path, length, content``. Bytes beyond ``MAX_CONTENT`` are not read but null.
+    """Files with their size, first bytes and digest: ``path, length, head, sha256``.
 
-    Spark's scans skip empty files, so those are added from the listing that every read makes.
+    A file of any size streams through one task in chunks; no row holds more than its first ``PROBE_BYTES`` and a mark.
     """
-    scanned = spark.read.format("binaryFile").load(paths)
-    # The size is a pushed filter, so the scan of large files opens none of them.
-    held = scanned.where(F.col("length") <= MAX_CONTENT).select("path", "length", "content")
-    large = scanned.where(F.col("length") > MAX_CONTENT).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    listed = [re.sub("^file:/+", "file:/", unquote(p)) for p in scanned.inputFiles()]
-    empty = spark.createDataFrame([(p,) for p in listed], "path string").join(scanned.select("path"), "path", "left_anti")
-    return held.unionByName(large).unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, sums = [], []
+            for path in batch.column("path").to_pylist():
+                system, at = file_system(path)
+                head, total = b"", hashlib.sha256()
+                with system.open_input_file(at) as file:
+                    while chunk := file.read(CHUNK_BYTES):
+                        total.update(chunk)
+                        head = head or chunk[: PROBE_BYTES + 3]
+                heads.append(head)
+                sums.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(sums, pa.string())], ["path", "length", "head", "sha256"])
+
+    # Files of one folder were listed by one task.
+    return list_files(spark, paths).repartition("path").mapInArrow(digest, "path string, length bigint, head binary, sha256 string")
 
 
 def _starts(head: Column, *marks: str) -> Column:
@@ -54,13 +108,15 @@ def _looks_binary(content: Column, head: Column) -> Column:
 
 
 def content_hash(files: DataFrame) -> DataFrame:
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of files as ``read_files`` gives them, or of a column ``content``."""
+    return files.select("path", "sha256" if "sha256" in files.columns else F.sha2("content", 256).alias("sha256"))
 
 
 def audit_files(files: DataFrame) -> DataFrame:
-    """One row per file ``(path, length, content)``: size, extension, type by content, delimiter kind and a status."""
-    head = F.hex(F.substring("content", 1, 8))
+    """One row per file ``(path, length, head)`` or ``(path, content)``: size, extension, type by content, delimiter kind and a status."""
     size = F.col("length") if "length" in files.columns else F.length("content")
+    files = files.withColumn("content", F.col("head")) if "head" in files.columns else files
+    head = F.hex(F.substring("content", 1, 8))
     last = F.element_at(F.split("path", r"\."), -1)
     staged = files.select("path", "content", size.alias("n_bytes"), F.lower(F.trim(last)).alias("extension"), head.alias("head"))
     ext, head = F.col("extension"), F.col("head")

@@ -32,18 +32,28 @@ def csv_header(df: DataFrame, guard: bool = True, separator: str = ",") -> str:
     return separator.join(out)
 
 
-def write_csv(df: DataFrame, folder: str, header: bool = True, guard: bool = True, separator: str = ",", mode: str = "errorifexists") -> None:
-    """CRLF-ended CSV files. Every part file gets the header, as Spark's own CSV writer does.
+def write_csv(
+    df: DataFrame, folder: str, header: bool = True, guard: bool = True, separator: str = ",", mode: str = "errorifexists", line_end: str = "\r\n", utf16: bool = False
+) -> None:
+    """CSV files. Every part file gets the header, as Spark's own CSV writer does, and in UTF-16 (little-endian) a byte-order mark.
 
     Lines are built here because Spark's CSV writer with CRLF also rewrites line breaks inside quoted fields.
     """
     lines = csv_lines(df, guard, separator)
+    # The lower 33 bits of this id number the rows of a task.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
     if header:
         top = csv_header(df, guard, separator)
-        # The lower 33 bits of this id number the rows of a task.
-        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
-        lines = lines.select(first.alias("first"), "line").select(F.explode(F.when(F.col("first"), F.array(F.lit(top), "line")).otherwise(F.array("line"))).alias("line"))
-    lines.write.mode(mode).option("lineSep", "\r\n").text(folder)
+        lines = lines.select(first.alias("first"), "line").select("first", F.posexplode(F.when(F.col("first"), F.array(F.lit(top), "line")).otherwise(F.array("line"))).alias("n", "line"))
+        lines = lines.select((F.col("first") & (F.col("n") == 0)).alias("first"), "line")
+    elif utf16:
+        lines = lines.select(first.alias("first"), "line")
+    if utf16:
+        # The text writer writes a string's bytes as they are.
+        marked = F.concat(F.when(F.col("first"), F.lit("\ufeff")).otherwise(F.lit("")), "line")
+        lines = lines.select(F.encode(marked, "UTF-16LE").cast("string").alias("line"))
+        line_end = line_end.encode("utf-16-le").decode()
+    lines.select("line").write.mode(mode).option("lineSep", line_end).text(folder)
 
 
 def write_tsv(df: DataFrame, folder: str, header: bool = True, guard: bool = True, mode: str = "errorifexists") -> None:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ HEAD_BYTES = 4096
 RANGE_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20
 _MARKS = [(codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")]
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 #: Names of compressed files, which are read as one stream.
 _PACKED = re.compile(r"\.(gz|bz2|zst|lz4)$", re.IGNORECASE)
 
@@ -33,18 +34,20 @@ _PROBED = f"{_FILES}, encoding string, skip int, lone_cr boolean, commas bigint,
 LINES = "file_id string, block_start bigint, line_no bigint, value string, line_end string"
 
 
-def _file_system(file_id: str):
+def file_system(uri: str, escaped: bool = False):
+    """The pyarrow file system of a path or URI, and the path in it; Spark's metadata column has escaped URIs."""
     from pyarrow import fs
 
-    parts = urlparse(file_id)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(parts.path)
-    return fs.FileSystem.from_uri(unquote(file_id))
+    plain = unquote(uri) if escaped else uri
+    scheme, _, rest = plain.partition(":") if _SCHEME.match(plain) else ("file", "", plain)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if rest.startswith("/") else rest
+    return fs.FileSystem.from_uri(plain)
 
 
 def _chunks(file_id: str, start: int) -> Iterator[bytes]:
     """The bytes of a file from a place on; compressed files are unpacked."""
-    system, path = _file_system(file_id)
+    system, path = file_system(file_id, escaped=True)
     if _PACKED.search(path):
         with system.open_input_stream(path, compression="detect") as stream:
             while chunk := stream.read(CHUNK_BYTES):

@@ -9,7 +9,7 @@ import zipfile
 
 import pytest
 
-from quillgrid.sources import delimited, lines
+from quillgrid.sources import audit, delimited, lines
 from quillgrid.sources.audit import audit_files, content_hash, read_files
 from quillgrid.sources.catalog import active_table, empty_table, ingest_files, is_safe_name, register, table_name
 from quillgrid.sources.delimited import detect_delimiter, ends_quoted, grid_from_cells, read_grid, split_fields
@@ -100,6 +100,27 @@ def test_audit(spark, tmp_path):
     assert content_hash(read_files(spark, str(tmp_path / "book.xlsx"))).first()["sha256"] == hashlib.sha256(data).hexdigest()
 
 
+def test_listing_and_digests(spark, monkeypatch, tmp_path):
+    """Nested and odd names, empty and large files, wildcards; digests do not depend on chunks."""
+    monkeypatch.setattr(audit, "CHUNK_BYTES", 1000)
+    files = {"a b.csv": b"", "x/y/deep%20.csv": b"1,2\n" * 5000, "x/é.tsv": b"a\tb", "x/_hidden": b"h", ".dot/z.csv": b"z", "x/y/e.csv": b""}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    shown = {k: v for k, v in files.items() if "_hidden" not in k and ".dot" not in k}
+    found = read_files(spark, str(tmp_path)).collect()
+    assert {r["path"].split(f"{tmp_path}/")[1]: (r["length"], r["sha256"]) for r in found} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in shown.items()}
+    assert all(len(r["head"]) <= audit.PROBE_BYTES + 3 for r in found)
+    assert read_files(spark, [f"file://{tmp_path}/x/*.tsv", str(tmp_path / "a b.csv"), str(tmp_path / "a b.csv")]).count() == 2
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        read_files(spark, str(tmp_path / "nowhere")).count()
+    many = tmp_path / "many"
+    many.mkdir()
+    for i in range(3000):
+        (many / f"{i}.csv").touch()
+    assert audit_files(read_files(spark, str(many))).where("status = 'empty'").count() == 3000
+
+
 ROWS = [("=1+1", -5, None, 'say "hi", ok'), ("-7", 3, True, "two\nlines"), ("\t=x", 0, False, "|pipe"), ("plain", 1, None, "a@b")]
 
 

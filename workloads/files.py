@@ -50,6 +50,15 @@ def csv_round_trip(spark, sf):
     return rows.select(*[F.get("cells", i)["raw"].alias(name) for i, name in enumerate(["doc_id", "lang", "text"])])
 
 
+@query("utf16_round_trip", "select doc_id::varchar as doc_id, lang, nullif(text, '') as text from documents")
+def utf16_round_trip(spark, sf):
+    """Whole documents as UTF-16 files whose lines end in carriage returns alone."""
+    folder = shared_folder(spark)
+    write_csv(load(spark, sf, "documents").select("doc_id", "lang", "text"), folder, guard=False, line_end="\r", utf16=True)
+    rows = read_grid(spark, folder).where("row_idx > 0")
+    return rows.select(*[F.get("cells", i)["raw"].alias(name) for i, name in enumerate(["doc_id", "lang", "text"])])
+
+
 @query("ingest_files", "select o_orderkey::varchar as o_orderkey, o_orderstatus, o_orderpriority from orders")
 def ingest(spark, sf):
     """Orders written as TSV files and taken in again as a table."""
@@ -107,8 +116,23 @@ def file_audit(spark, sf):
     return audit_files(files).select("path", "n_bytes", "extension", "status")
 
 
-@query("audit_written_files", "select 'csv' as file_type, 'ok' as status")
+@query(
+    "audit_written_files",
+    """
+    select upper(lang) || '/' || source as folder, count(*) as n_rows, 'csv' as file_type, 'ok' as status, true as hashed from documents group by 1
+    union all select 'none/none', 0, null, 'empty', true from (select count(*) as n from documents) where n > 0
+    """,
+)
 def audit_written(spark, sf):
+    """Documents written in folders by language and source, then listed, digested and audited; one file is empty."""
     folder = shared_folder(spark)
-    write_csv(load(spark, sf, "part"), folder)
-    return audit_files(read_files(spark, folder + "/part-*")).select("file_type", "status").distinct()
+    docs = load(spark, sf, "documents").select(F.upper("lang").alias("l"), F.col("source").alias("s"), F.concat(F.col("doc_id").cast("string"), F.lit(",x")).alias("value"))
+    docs.repartition("l", "s").write.partitionBy("l", "s").option("lineSep", "\n").text(folder)
+    docs.limit(0).coalesce(1).select("value").write.text(f"{folder}/l=none/s=none")
+    files = read_files(spark, folder)
+    place = F.concat_ws("/", F.regexp_extract("path", "/l=([^/]*)/", 1), F.regexp_extract("path", "/s=([^/]*)/", 1))
+    # Rows are counted by reading the files again by themselves.
+    rows = spark.read.text(folder).groupBy("l", "s").count().select(F.concat_ws("/", "l", "s").alias("folder"), "count")
+    audited = audit_files(files.withColumn("path", F.concat("path", F.lit(".csv")))).withColumn("path", F.regexp_replace("path", r"\.csv$", ""))
+    joined = audited.join(content_hash(files), "path").withColumn("folder", place).join(rows, "folder", "left")
+    return joined.select("folder", F.coalesce("count", F.lit(0)).alias("n_rows"), "file_type", "status", (F.length("sha256") == 64).alias("hashed"))
