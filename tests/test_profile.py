@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.operators import profile as P
-from quillgrid.operators.joinkeys import find_join_candidates, name_stem, names_compatible, types_compatible
+from quillgrid.operators.joinkeys import find_join_candidates, name_stem, names_compatible, profile_workbook, types_compatible
 from quillgrid.operators.median import lower_medians
 
 
@@ -137,3 +137,58 @@ def test_join_candidates_need_half_of_the_smaller_side(spark):
     types = {"a": {"code_id": "id"}, "b": {"code_id": "id"}}
     assert find_join_candidates({"a": a, "b": b}, types).count() == 0
     assert find_join_candidates({"a": a, "b": b.limit(9)}, types).count() == 1
+
+
+def plain_joins(tables, types):
+    """Every pair of columns compared by itself."""
+    sets = {(t, c): {str(r[c]).strip() for r in df.collect() if r[c] is not None and str(r[c]).strip()} for t, df in tables.items() for c in df.columns}
+    names, out = list(tables), set()
+    for i, ta in enumerate(names):
+        for tb in names[i + 1 :]:
+            for ca in tables[ta].columns:
+                for cb in tables[tb].columns:
+                    a, b = sets[ta, ca], sets[tb, cb]
+                    if not names_compatible(ca, cb) or not types_compatible(types[ta][ca], types[tb][cb]) or not a or not b:
+                        continue
+                    common = len(a & b)
+                    ratio = float(f"{common / min(len(a), len(b)):.4f}")
+                    if ratio > 0.5:
+                        ends = (ta, ca, tb, cb) if common / len(a) >= common / len(b) else (tb, cb, ta, ca)
+                        out.add((*ends, ratio, min(1.0, round(0.5 + 0.3 * ratio + (0.2 if ca == cb else 0.1), 2))))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_catalogue_against_every_pair(spark, seed):
+    """Many tables with names that go together in part, values common and rare, empty columns and tables."""
+    rng = random.Random(seed)
+    names = ["id", "order_id", "Order_ID", "id_order", "customer_code", "customer", "cust", "po_number", "ref", "x_id", "idx"]
+    tables, types = {}, {}
+    for n in range(9):
+        keys = list({k.lower(): k for k in rng.sample(names, rng.randint(1, 5))}.values())
+        low = rng.choice([0, 0, 20, 500])
+        pool = [str(v) for v in range(low, low + rng.choice([5, 30, 60]))] + ["", " 7 "]
+        rows = [tuple(None if rng.random() < 0.1 else rng.choice(pool) for _ in keys) for _ in range(rng.choice([0, 40, 80]))]
+        tables[f"t{n}"] = spark.createDataFrame(rows, ", ".join(f"{k} string" for k in keys))
+        types[f"t{n}"] = {k: rng.choice(["id", "text", "number"]) for k in keys}
+    found = find_join_candidates(tables, types).collect()
+    got = {(r["source_table"], r["source_column"], r["target_table"], r["target_column"], r["overlap_ratio"], r["confidence"]) for r in found}
+    assert got == plain_joins(tables, types) and len(got) == len(found) and got
+
+
+def test_catalogue_plan_does_not_grow_with_pairs(spark):
+    """Twice the columns are four times the pairs; the plan of the result stays the same."""
+
+    def plan(columns):
+        tables = {t: spark.range(20).selectExpr(*[f"cast(id as string) as customer_{n}_id" for n in range(columns)]) for t in "ab"}
+        types = {t: dict.fromkeys(df.columns, "id") for t, df in tables.items()}
+        return find_join_candidates(tables, types)._jdf.queryExecution().optimizedPlan().numberedTreeString().count("\n")
+
+    assert plan(3) == plan(6)
+
+
+def test_profiles_of_a_workbook(spark):
+    tables = {"customers": spark.createDataFrame([(f"C{i}", i) for i in range(6)], "customer_id string, n int"), "orders": spark.createDataFrame([(f"O{i}", f"C{i % 4}") for i in range(9)], "order_id string, customer_id string")}
+    profiles, joins = profile_workbook(tables)
+    assert {(r["table_name"], r["column_key"], r["distinct_count"]) for r in profiles.collect()} == {("customers", "customer_id", 6), ("customers", "n", 6), ("orders", "order_id", 9), ("orders", "customer_id", 4)}
+    assert [(r["source_table"], r["source_column"], r["target_table"]) for r in joins.collect()] == [("orders", "customer_id", "customers")]

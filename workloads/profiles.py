@@ -277,6 +277,33 @@ def join_candidates_stems(spark, sf):
     return find_join_candidates(tables, types).drop("sample_matches")
 
 
+_GIVEN_KEYS = {
+    "customer": {"customer_key": "c_custkey", "nation_key": "c_nationkey"}, "lineitem": {"order_key": "l_orderkey", "part_key": "l_partkey", "supplier_key": "l_suppkey"},
+    "nation": {"nation_key": "n_nationkey", "region_key": "n_regionkey"}, "orders": {"order_key": "o_orderkey", "customer_key": "o_custkey"},
+    "part": {"part_key": "p_partkey"}, "region": {"region_key": "r_regionkey"}, "supplier": {"supplier_key": "s_suppkey", "nation_key": "s_nationkey"},
+}
+
+
+def _catalogue_sql():
+    parts = [f"select {n} as no, '{t}' as t, '{k}' as k, {c}::varchar as v from \"{t}\"" for n, (t, keys) in enumerate(_GIVEN_KEYS.items()) for k, c in keys.items()]
+    return f"""
+    with v as (select distinct * from ({" union all ".join(parts)}) where v is not null), n as (select no, t, k, count(*) as n from v group by 1, 2, 3),
+    c as (select a.t as ta, b.t as tb, a.k, count(*) as common from v a join v b on a.no < b.no and a.k = b.k and a.v = b.v group by 1, 2, 3),
+    r as (select c.*, x.n as na, y.n as nb, printf('%.4f', common / least(x.n, y.n))::double as ratio from c join n x on x.t = ta and x.k = c.k join n y on y.t = tb and y.k = c.k)
+    select case when common / na >= common / nb then ta else tb end as source_table, k as source_column, case when common / na >= common / nb then tb else ta end as target_table,
+           k as target_column, least(1.0, printf('%.2f', 0.7 + 0.3 * ratio)::double) as confidence, ratio as overlap_ratio
+    from r where ratio > 0.5
+    """
+
+
+@query("join_catalogue", _catalogue_sql())
+def join_catalogue(spark, sf):
+    """All keys of all given tables against each other."""
+    tables = {t: load(spark, sf, t).select(*[F.col(c).alias(k) for k, c in keys.items()]) for t, keys in _GIVEN_KEYS.items()}
+    types = {t: dict.fromkeys(keys, "id") for t, keys in _GIVEN_KEYS.items()}
+    return find_join_candidates(tables, types).drop("sample_matches")
+
+
 @query(
     "join_candidate_matches",
     """
