@@ -49,8 +49,8 @@ def aggregate(df: DataFrame, dimensions: Iterable[str] = (), measures: Iterable[
     return df.groupBy(*dimensions).agg(*aggs) if dimensions else df.agg(*aggs)
 
 
-def order_by(df: DataFrame, keys: Iterable[tuple[str, str]], ties: Iterable[str] = (), locale: bool = True) -> DataFrame:
-    """Sort by ``(column, "asc" | "desc")`` pairs, nulls last both ways.
+def orders_of(df: DataFrame, keys: Iterable[tuple[str, str]], ties: Iterable[str] = (), locale: bool = True) -> list[Column]:
+    """Sort expressions of ``(column, "asc" | "desc")`` pairs, nulls last both ways.
 
     Text sorts numbers in text first and by value, then the rest in dictionary order (``locale=False`` for byte order).
     ``ties`` are extra ascending keys that make the order total.
@@ -62,7 +62,12 @@ def order_by(df: DataFrame, keys: Iterable[tuple[str, str]], ties: Iterable[str]
         if isinstance(dtype, T.StringType) and locale:
             parts = [cell_number(c, dtype), F.collate(c, "UNICODE")]
         orders += [p.desc_nulls_last() if direction == "desc" else p.asc_nulls_last() for p in parts]
-    return df.orderBy(*orders)
+    return orders
+
+
+def order_by(df: DataFrame, keys: Iterable[tuple[str, str]], ties: Iterable[str] = (), locale: bool = True) -> DataFrame:
+    """The frame sorted by ``orders_of``."""
+    return df.orderBy(*orders_of(df, keys, ties, locale))
 
 
 def page_of(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:

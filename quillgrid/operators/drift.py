@@ -13,10 +13,12 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.numbers import fixed
+from ..functions.dates import parse_date
+from ..functions.numbers import fixed, is_numeric, parse_numeric
 from ..functions.similarity import name_similarity
-from ..functions.text import FORBIDDEN_KEYS
+from ..functions.text import FORBIDDEN_KEYS, as_text, trimmed
 
 NUMERIC = ["number", "currency", "percent"]
 # Types that can stand in for an expected type, besides itself and the numeric ones for each other.
@@ -202,6 +204,59 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({new: old for old, new in _usable(mapping).items() if new in df.columns})
 
 
+#: What a boolean may look like in text, in lower case.
+_YES, _NO = ["true", "yes", "y", "1"], ["false", "no", "n", "0"]
+
+
+def _as_type(c: Column, dtype: T.DataType, expected: str) -> Column | None:
+    """A cell as its expected type, null where it does not convert; None where no cell of this type ever does."""
+    text = as_text(c, dtype)
+    if expected in NUMERIC:
+        return parse_numeric(c) if isinstance(dtype, T.StringType) else c.cast("double") if is_numeric(dtype) or isinstance(dtype, T.BooleanType) else None
+    if expected == "boolean":
+        low = F.lower(trimmed(text))
+        seen = F.when(low.isin(_YES), True).when(low.isin(_NO), False)
+        return c if isinstance(dtype, T.BooleanType) else F.when(c == 1, True).when(c == 0, False) if is_numeric(dtype) else seen
+    if expected == "date":
+        if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return c.cast("date")
+        return parse_date(c) if isinstance(dtype, T.StringType) else None
+    return text
+
+
+def remap_table(
+    df: DataFrame, mapping: Mapping[str, str], expected: Mapping[str, str], key: str | None = None, found: Mapping[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A new table under its expected names and types, and the cells that did not convert.
+
+    ``mapping`` goes from expected to found names, ``expected`` from expected names to types. ``found`` gives the inferred types of columns, by
+    expected name; a column whose type cannot serve for the expected one (``coercible``) stays as it is and all its cells are listed. Without it every
+    column is tried. Blank cells are null and no failures. The second table has ``column_key``, ``expected_type``, ``row_key``
+    (the text of the found column ``key``, else null) and ``value``; both come from one pass over the table each.
+    """
+    named = rename_columns(df, mapping)
+    new = {found_name: name for name, found_name in _usable(mapping).items()}
+    row_key = F.lit(None).cast("string") if key is None else as_text(F.col(f"`{new.get(key, key)}`"), named.schema[new.get(key, key)].dataType)
+    columns, failures = [], []
+    for f in named.schema.fields:
+        cell, kind = F.col(f"`{f.name}`"), expected.get(f.name)
+        serves = kind is None or found is None or f.name not in found or _serves(kind, found[f.name])
+        made = cell if kind is None else _as_type(cell, f.dataType, kind) if serves else None
+        columns.append((cell if made is None else made).alias(f.name))
+        if kind is None:
+            continue
+        text = as_text(cell, f.dataType)
+        failed = (trimmed(text) != "") & (F.lit(True) if made is None else made.isNull())
+        failures.append(F.when(failed, F.struct(F.lit(f.name).alias("column_key"), F.lit(kind).alias("expected_type"), row_key.alias("row_key"), text.alias("value"))))
+    listed = F.filter(F.array(*failures), lambda x: x.isNotNull()) if failures else F.array().cast("array<struct<column_key:string,expected_type:string,row_key:string,value:string>>")
+    return named.select(*columns), named.select(F.inline(listed))
+
+
+def _serves(expected: str, actual: str) -> bool:
+    """``coercible`` for two types by name."""
+    return expected == actual or expected == "text" or (expected in NUMERIC and actual in NUMERIC) or actual in STANDS_IN.get(expected, [])
+
+
 def remap_reports(reports: Iterable[Mapping[str, Any]], mapping: Mapping[str, str]) -> list[dict[str, Any]]:
     """Report definitions with column names replaced wherever they are used."""
     new = _usable(mapping)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import comparison
 from ..functions.numbers import fixed, is_numeric
-from ..operators.aggregates import Measure, aggregate, order_by, page_of, text_of
+from ..operators.aggregates import Measure, aggregate, order_by, page_of, text_of, aggregate_of
 from ..operators.filters import bound_filters, where_all
 
 # Default lengths of ranked reports.
@@ -95,17 +95,51 @@ def page_count(df: DataFrame, size: int = 10) -> DataFrame:
     return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("bigint").alias("total_pages"))
 
 
-def pivot_long(df: DataFrame, rows: Iterable[str], columns: Iterable[str], measures: Iterable[tuple[str, str]], sort: bool = True) -> DataFrame:
-    """One row per combination of row and column dimensions; a repeated measure is named ``measure_function``."""
-    rows, columns = list(rows), list(columns)
+def _named(measures: Iterable[tuple[str, str]]) -> list[Measure]:
+    """Measures with their names; a repeated one is named ``measure_function``."""
     named: list[Measure] = []
     for key, function in measures:
         taken = {alias for _, _, alias in named}
         named.append((key, function, f"{key}_{function}" if key in taken else key))
-    out = aggregate(df, [*rows, *columns], named)
+    return named
+
+
+def pivot_long(df: DataFrame, rows: Iterable[str], columns: Iterable[str], measures: Iterable[tuple[str, str]], sort: bool = True) -> DataFrame:
+    """One row per combination of row and column dimensions; a repeated measure is named ``measure_function``."""
+    rows, columns = list(rows), list(columns)
+    out = aggregate(df, [*rows, *columns], _named(measures))
     return order_by(out, [(r, "asc") for r in rows]) if sort else out
 
 
+def pivot_subtotals(df: DataFrame, rows: Iterable[str], columns: Iterable[str], measures: Iterable[tuple[str, str]]) -> DataFrame:
+    """A pivot of any number of row and column dimensions with a subtotal for every leading part of both.
+
+    ``row_level`` and ``column_level`` count the dimensions that a row keeps; the others are null there, as are missing values at levels
+    that keep them. Every measure comes twice: from the data of its level, and as ``<name>_cells``, the sum of the finest
+    cells, which is what a reader adds up on screen and differs for averages and distinct counts. All levels are aggregated in
+    one pass over the data, and combined before the shuffle.
+    """
+    rows, columns, named = list(rows), list(columns), _named(measures)
+    dims = [*rows, *columns]
+    levels = [[F.col(f"`{d}`") for d in [*rows[:i], *columns[:j]]] for i in range(len(rows) + 1) for j in range(len(columns) + 1)]
+
+    def kept(names: list[str]) -> Column:
+        return reduce(lambda a, b: a + b, [1 - F.grouping(f"`{d}`").cast("int") for d in names], F.lit(0))
+
+    def by_level(frame: DataFrame, aggs: list[Column]) -> DataFrame:
+        if not dims:
+            return frame.agg(*aggs).select(F.lit(0).alias("row_level"), F.lit(0).alias("column_level"), "*")
+        return frame.groupingSets(levels, *[F.col(f"`{d}`") for d in dims]).agg(kept(rows).alias("row_level"), kept(columns).alias("column_level"), *aggs)
+
+    data = by_level(df, [aggregate_of(df, key, function).alias(alias) for key, function, alias in named])
+    cells = aggregate(df, dims, named)
+    sums = by_level(cells, [F.sum(F.col(f"`{alias}`")).alias(f"{alias}_cells") for *_, alias in named])
+    keys = [*dims, "row_level", "column_level"]
+    same = reduce(lambda a, b: a & b, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys])
+    both = data.alias("a").join(sums.alias("b"), same)
+    return both.select(*[F.col(f"a.`{k}`") for k in keys], *[F.col(f"`{alias}{more}`") for *_, alias in named for more in ("", "_cells")])
+
+
 def pivot_cells(df: DataFrame, row: str, column: str | None, measure: tuple[str, str]) -> DataFrame:
     """Labelled cells ``(row_label, col_label, value)`` of the matrix; missing labels show a dash."""
     key, function = measure

@@ -71,3 +71,29 @@ def test_fingerprint_sorts_by_dictionary_order(spark):
     text = "a_b:number:true|a1:id:true|ab:text:false"
     assert tuple(D.fingerprint(df).first()) == (hashlib.sha256(text.encode()).hexdigest(), 3)
     assert D.fingerprint(df.orderBy(F.desc("column_key")).repartition(3)).first() == D.fingerprint(df).first()
+
+
+def test_remap_with_casts(spark):
+    """Cell by cell: what converts, what does not, and what cannot serve at all."""
+    rows = [("k1", "$1,200.50", "Yes", "2024-02-29", 3, "7"), ("k2", "(5)", "maybe", "31/12/2024", 0, "x"), ("k3", " ", None, "never", 1, ""), ("k4", "12%", "n", "", 2, "007"), (None, "abc", "1", "Jan 5, 2024", None, "8")]
+    df = spark.createDataFrame(rows, "key string, amt string, ok string, day string, flag int, code string")
+    mapping = {"amount": "amt", "paid": "ok", "due": "day", "urgent": "flag", "number": "code", "__proto__": "key"}
+    kinds = {"amount": "currency", "paid": "boolean", "due": "date", "urgent": "boolean", "number": "id"}
+    table, failed = D.remap_table(df, mapping, kinds, "key")
+    assert table.columns == ["key", "amount", "paid", "due", "urgent", "number"]
+    assert [(r["amount"], r["paid"], str(r["due"]), r["urgent"], r["number"]) for r in table.collect()] == [
+        (1200.5, True, "2024-02-29", None, "7"), (-5.0, None, "2024-12-31", False, "x"), (None, None, "None", True, ""), (12.0, False, "None", None, "007"), (None, True, "2024-01-05", None, "8"),
+    ]
+    assert {tuple(r) for r in failed.collect()} == {("urgent", "boolean", "k1", "3"), ("paid", "boolean", "k2", "maybe"), ("due", "date", "k3", "never"), ("urgent", "boolean", "k4", "2"), ("amount", "currency", None, "abc")}
+    table, failed = D.remap_table(df, mapping, {"due": "number", "urgent": "date", "amount": "text"}, found={"due": "date", "amount": "currency"})
+    assert dict(table.dtypes)["due"] == "string" and dict(table.dtypes)["urgent"] == "int" and failed.groupBy("column_key").count().count() == 2
+    assert failed.where("column_key = 'urgent'").count() == 4 and failed.where("column_key = 'due'").count() == 4
+    same, none = D.remap_table(df, {}, {})
+    assert same.collect() == df.collect() and none.collect() == []
+
+
+def test_serves_is_coercible(spark):
+    kinds = ["number", "currency", "percent", "text", "category", "id", "boolean", "date"]
+    pairs = spark.createDataFrame([(a, b) for a in kinds for b in kinds], "a string, b string")
+    for r in pairs.select("a", "b", D.coercible(F.col("a"), F.col("b")).alias("c")).collect():
+        assert D._serves(r["a"], r["b"]) == r["c"]

@@ -1,9 +1,13 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.operators.aggregates import aggregate, order_by, page_of
 from quillgrid.operators.filters import bound_filters, condition, control_filter, read_shorthand, where_all
 from quillgrid.plans import reports as R
+from quillgrid.plans.paging import index_pages
 
 SALES = [
     ("East", "Tech", 100.0, 20.0, 2), ("East", "Office", 200.0, 40.0, 5), ("West", "Tech", 300.0, -10.0, 3),
@@ -149,3 +153,49 @@ def test_all_rows_columns_and_digits(spark, sales):
     ids = spark.createDataFrame([(9007199254740993,), (9007199254740992,)], "id bigint")
     for op, value, n in (("eq", "9007199254740993", 1), ("in", ["9007199254740993"], 1), ("gt", "9007199254740992", 1)):
         assert where_all(ids, [("id", op, value)]).count() == n
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_pages_of_an_index(spark, ranges):
+    """Every page is that of the whole sorted table, nulls and ties included, and is read from few ranges."""
+    rng = random.Random(ranges)
+    rows = [(i, rng.choice([None, "b", "a", "10", "9", ""]), None if rng.random() < 0.2 else rng.randint(0, 5), rng.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, name string, n int, page_range double")
+    keys, ties = [("name", "desc"), ("n", "asc")], ["id"]
+    index = index_pages(df.repartition(4), keys, ties, -(-500 // ranges))
+    whole = [tuple(r) for r in order_by(df, keys, ties).collect()]
+    assert index.total == 500 and index.pages(33) == 16 and len(index.counts) == ranges
+    for number in (1, 2, 9, 16, 99):
+        at = 33 * (min(number, 16) - 1)
+        assert [tuple(r) for r in index.page(number, 33).collect()] == whole[at : at + 33]
+    assert index.rows_from(500, 10).collect() == [] and index.rows_from(499, 10).count() == 1
+    last = index.page(16, 5)._jdf.queryExecution().toString()
+    assert ranges == 1 or re.search(r"PartitionFilters: \[[^\]]*page_range_#\d+ = 1", last)
+    assert index_pages(df.limit(0), keys).page(3).collect() == []
+
+
+def test_a_hot_key_is_spread_over_ranges(spark):
+    df = spark.range(4000).selectExpr("id", "0 as k")
+    index = index_pages(df, [("k", "asc")], range_rows=500)
+    assert max(index.counts.values()) < 1000
+    seen = [r["id"] for n in range(1, 9) for r in index.page(n, 500).collect()]
+    assert sorted(seen) == list(range(4000))
+
+
+def test_subtotals_of_three_dimensions(spark):
+    rows = [(r, s, c, v) for r, s, c, v in [("x", "p", 1, 2), ("x", "p", 2, 4), ("x", None, 1, 4), ("y", "p", 1, 8), (None, "q", 2, 2), ("x", "p", 1, 6)]]
+    df = spark.createDataFrame(rows, "r string, s string, c int, v int").withColumn("row", F.lit(1))
+    out = R.pivot_subtotals(df, ["r", "s"], ["c"], [("v", "sum"), ("v", "avg"), ("v", "distinctCount")])
+    levels = {(2, 1): (0, 1, 2), (2, 0): (0, 1), (1, 1): (0, 2), (1, 0): (0,), (0, 1): (2,), (0, 0): ()}
+    want = set()
+    for (rl, cl), dims in levels.items():
+        for key in {tuple(x[d] if d in dims else None for d in range(3)) for x in rows}:
+            mine = [x for x in rows if all(x[d] == key[d] for d in dims)]
+            cells = {}
+            for x in mine:
+                cells.setdefault(x[:3], []).append(x[3])
+            v = [x[3] for x in mine]
+            want.add((*key, rl, cl, sum(v), sum(v), round(sum(v) / len(v), 6), round(sum(sum(c) / len(c) for c in cells.values()), 6), len(set(v)), sum(len(set(c)) for c in cells.values())))
+    got = {(x["r"], x["s"], x["c"], x["row_level"], x["column_level"], x["v"], x["v_cells"], round(x["v_avg"], 6), round(x["v_avg_cells"], 6), x["v_distinctCount"], x["v_distinctCount_cells"]) for x in out.collect()}
+    assert got == want and out.count() == len(want)
+    assert R.pivot_subtotals(df, [], [], [("v", "sum")]).first()["v_cells"] == 26

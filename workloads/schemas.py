@@ -79,6 +79,59 @@ def drift_remap_reports(spark, sf):
     return rounded(run_reports(_new_orders(spark, sf), D.remap_reports([report], _NEW_NAMES))["bar"], total_price=2)
 
 
+_MESSY = """
+  select o_orderkey as no, case when o_orderkey % 11 = 0 then 'n/a' when o_orderkey % 5 = 0 then '$' || o_totalprice::decimal(18,2) else o_totalprice::decimal(18,2)::varchar end as paid,
+         case when o_orderkey % 13 = 0 then 'soon' when o_orderkey % 17 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d') end as day, o_orderstatus as state, o_custkey % 4 as rush
+  from orders
+"""
+
+
+def _messy_orders(spark, sf):
+    """Orders as they come from a spreadsheet: text with signs, words among the amounts and dates, under new names."""
+    no, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    return load(spark, sf, "orders").select(
+        no.alias("no"),
+        F.when(no % 11 == 0, "n/a").when(no % 5 == 0, F.concat(F.lit("$"), price)).otherwise(price).alias("paid"),
+        F.when(no % 13 == 0, "soon").when(no % 17 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
+        F.col("o_orderstatus").alias("state"),
+        (F.col("o_custkey") % 4).alias("rush"),
+    )
+
+
+_REMAP = {"o_orderkey": "no", "o_totalprice": "paid", "o_orderdate": "day", "o_orderstatus": "state", "rush_order": "rush"}
+_KINDS = {"o_orderkey": "id", "o_totalprice": "currency", "o_orderdate": "date", "o_orderstatus": "number", "rush_order": "boolean"}
+
+
+@query(
+    "remap_with_casts",
+    f"""
+    select no::varchar as o_orderkey, try_cast(replace(paid, '$', '') as double) as o_totalprice, strftime(try_cast(nullif(day, '') as date), '%Y-%m-%d') as o_orderdate,
+           state as o_orderstatus, case rush when 0 then false when 1 then true end as rush_order
+    from ({_MESSY})
+    """,
+)
+def remap_with_casts(spark, sf):
+    """Status is text where a number is expected: it stays as it is."""
+    kinds = {"o_totalprice": "currency", "o_orderdate": "date", "o_orderstatus": "text", "rush_order": "number", "o_orderkey": "id"}
+    table, _ = D.remap_table(_messy_orders(spark, sf), _REMAP, _KINDS, "no", kinds)
+    return table.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+@query(
+    "remap_failures",
+    f"""
+    with m as ({_MESSY})
+    select 'o_totalprice' as column_key, 'currency' as expected_type, no::varchar as row_key, paid as value from m where paid = 'n/a' union all
+    select 'o_orderdate', 'date', no::varchar, day from m where day = 'soon' union all
+    select 'o_orderstatus', 'number', no::varchar, state from m where state <> '' union all
+    select 'rush_order', 'boolean', no::varchar, rush::varchar from m where rush not in (0, 1)
+    """,
+)
+def remap_failures(spark, sf):
+    _, failures = D.remap_table(_messy_orders(spark, sf), _REMAP, _KINDS, "no")
+    return failures
+
+
 @query(
     "fingerprint",
     """

@@ -8,6 +8,7 @@ from quillgrid.functions.display import display
 from quillgrid.operators.aggregates import aggregate, order_by, page_of
 from quillgrid.operators.filters import bound_filters, condition, control_filter, read_shorthand, where_all
 from quillgrid.plans import reports as R
+from quillgrid.plans.paging import index_pages
 
 from .base import LABELLED, labelled_documents, load, query, rounded
 
@@ -335,6 +336,46 @@ def table_last_page(spark, sf):
     return R.page(load(spark, sf, "nation").select("n_nationkey", "n_name"), 999, 10, [("n_nationkey", "asc")])
 
 
+_BY_PRICE = "order by l_extendedprice desc nulls last, l_orderkey, l_linenumber"
+
+
+@query(
+    "table_deep_page",
+    f"""
+    select l_orderkey, l_linenumber, l_extendedprice from lineitem {_BY_PRICE}
+    limit 50 offset 50 * (select greatest(1, ceil(count(*) / 50)) - 1 from lineitem)::bigint
+    """,
+)
+def table_deep_page(spark, sf):
+    """The last page of the line items by price, from the one range that holds it."""
+    df = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return index_pages(df, [("l_extendedprice", "desc")], ["l_orderkey", "l_linenumber"], range_rows=10_000).page(10**9, 50)
+
+
+@query(
+    "pivot_subtotals",
+    """
+    with d as (select o_orderpriority as p, o_orderstatus as s, year(o_orderdate) as y, round(o_totalprice * 100)::bigint as t, o_custkey as c from orders),
+    cells as (select p, s, y, sum(t) as total, count(distinct c) as customers from d group by 1, 2, 3)
+    select a.*, total_cells, customers_cells from (
+      select p as o_orderpriority, s as o_orderstatus, y as o_year, (1 - grouping(p)) + (1 - grouping(s)) as row_level, 1 - grouping(y) as column_level,
+             sum(t)::bigint as total, avg(t) as mean, count(distinct c) as customers
+      from d group by grouping sets ((p, s, y), (p, s), (p, y), (p), (y), ())) a
+    join (
+      select p, s, y, (1 - grouping(p)) + (1 - grouping(s)) as r, 1 - grouping(y) as k,
+             sum(total)::bigint as total_cells, sum(customers)::bigint as customers_cells
+      from cells group by grouping sets ((p, s, y), (p, s), (p, y), (p), (y), ())) b
+    on r = row_level and k = column_level and p is not distinct from o_orderpriority and s is not distinct from o_orderstatus and y is not distinct from o_year
+    """,
+)
+def pivot_subtotals(spark, sf):
+    """Priority and status by year with subtotals; averages and distinct customers do not add up."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    df = load(spark, sf, "orders").select("o_orderpriority", "o_orderstatus", F.year("o_orderdate").alias("o_year"), cents.alias("total"), cents.alias("mean"), F.col("o_custkey").alias("customers"))
+    # Sums of averages depend on their order in the last digits, so they are left to the tests.
+    return R.pivot_subtotals(df, ["o_orderpriority", "o_orderstatus"], ["o_year"], [("total", "sum"), ("mean", "avg"), ("customers", "distinctCount")]).drop("mean_cells")
+
+
 @query("table_page_count", "select greatest(1, ceil(count(*) / 25))::bigint as total_pages from orders")
 def table_page_count(spark, sf):
     return R.page_count(load(spark, sf, "orders"), 25)
