@@ -33,13 +33,19 @@ SHARD = 1 << 19
 MIN_COUNT = 12
 #: The first rounds take only pairs that make up at least this share of the symbols; then all of MIN_COUNT occurrences, until none is left.
 ROUNDS = (2**-9, 2**-11, 2**-13, 2**-15, 2**-17)
-_COUNTER_BITS = 19
+#: Slots of the pair counter; its tables fit a core's cache.
+_COUNTER_BITS = 17
 
 SHARD_SCHEMA = (
     "part int, shard int, start bigint, n_ids bigint, terminals bigint, keys binary, key_null binary, lengths binary, at binary, symbols binary, left binary, right binary, expanded binary"
 )
 
 
+def _keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Pairs at some places as single numbers."""
+    return s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, first symbol of each document, rule parts and expansion lengths.
 
@@ -52,28 +58,31 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndar
     shares = [0.0, *ROUNDS[::-1]]
     while shares and len(s) > 1:
         share = shares[-1]
-        key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
-        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _COUNTER_BITS)).astype(np.int32)
-        inner = ~last[:-1]
-        count = np.bincount(slot[inner], minlength=1 << _COUNTER_BITS).astype(np.int32)[slot]
-        count[~inner] = 0
-        count[count < max(MIN_COUNT, int(len(s) * share))] = 0
+        # Pairs are counted by a hash of 32-bit arithmetic; a slot of its own takes what crosses a document's end.
+        slot = (s[:-1] * np.uint32(0x9E3779B1) + s[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - _COUNTER_BITS)
+        slot[last[:-1]] = 1 << _COUNTER_BITS
+        counts = np.bincount(slot, minlength=(1 << _COUNTER_BITS) + 1).astype(np.int32)
+        counts[-1] = 0
+        counts[counts < max(MIN_COUNT, int(len(s) * share))] = 0
+        count = counts[slot]
         if not share:
             # Pairs that shared a slot are told apart before rounds may end.
             often = np.flatnonzero(count)
-            _, which, times = np.unique(key[often], return_inverse=True, return_counts=True)
+            _, which, times = np.unique(_keys(s, often), return_inverse=True, return_counts=True)
             count[often] = np.where(times >= MIN_COUNT, times, 0)[which]
         # Of two overlapping occurrences the more frequent pair wins, of equal ones the one at the odd place.
-        rank = 2 * count + (np.arange(len(count)) & 1)
+        rank = 2 * count
+        rank[1::2] += 1
+        rises = rank[1:] > rank[:-1]
         take = count > 0
-        take[1:] &= rank[1:] > rank[:-1]
-        take[:-1] &= rank[:-1] > rank[1:]
+        take[1:] &= rises
+        take[:-1] &= ~rises
         where = np.flatnonzero(take)
         if share:
             shares.pop()
         elif not len(where):
             break
-        pairs, rule, uses = np.unique(key[where], return_inverse=True, return_counts=True)
+        pairs, rule, uses = np.unique(_keys(s, where), return_inverse=True, return_counts=True)
         worth = uses > 2
         if not worth.any():
             continue
