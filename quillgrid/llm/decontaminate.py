@@ -1,17 +1,19 @@
-"""Benchmark decontamination: word pairs find places that may hold an item, Smith-Waterman alignment scores them all.
+"""Benchmark decontamination: joins on rare word pairs find passages that may hold an item, Smith-Waterman alignment scores them.
 
 Words are runs of digits, letters and characters beyond ASCII, ASCII letters lower-cased. The score of a text and an item
 is the best local alignment of their words (match 2, mismatch and gap -1) over that of the whole item with itself, so
 edits lower it and do not hide it.
 
-How many neighbouring pairs of words an item of n words must share with a stretch of text follows from the score s alone:
+How many neighbouring pairs of words an item of n words must share with a passage follows from the score s alone:
 an alignment of m matches has at most 2m - 2sn edits and spans at most (3 - 2s)n words, so it holds at least
-(2s - 1)n - 1 pairs. Every stretch of that span with so many pairs is aligned, however frequent the pairs or the stretch
-are. Items of 4 and 5 words may share none if a word stands between any two of theirs; neighbours of such an item are also
-looked up one word apart. (Below a ``min_score`` of 0.6 longer items may share none either and are missed if they do not.)
+t = (2s - 1)n - 1 pairs. Of an item's pairs the t/2 most frequent in the corpus may therefore be left aside: at least t/2 of the
+rarer ones are in the passage. Those are the seeds. Texts and items meet in a join on them, however many items there are, and a
+text goes on with the items of which it holds so many seeds within the span of an alignment. Items of 4 and 5 words may share no
+pair if a word stands between any two of theirs; neighbours of such an item are also looked up one word apart. (Below
+a ``min_score`` of 0.6 longer items may share none either and are missed if they do not.)
 
-Map tasks hold the items in blocks of ``BLOCK_BYTES``, with one pass over the texts for each block, so no more than a
-block is ever in memory, and nothing of the texts is shuffled but what matches.
+The corpus is read twice: for the places of all pairs that some item holds (a bitmap of fixed size sorts out most others), and for the
+texts that hold candidates. No frequency drops a pair that counts: where all pairs of an item are common, the rarest of them seed.
 
 Result: a row per key and item with a score of at least ``MIN_SCORE``. Null and empty texts hold nothing. Items of
 fewer than k words are too short to prove anything and never match. Repeated rows give one row; equal items match
@@ -20,25 +22,21 @@ each for themselves. Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.textbatch import _STEP, ALNUM_LOWER, Words, mix, slices, text_of
+from quillgrid.llm.textbatch import _STEP, ALNUM_LOWER, Words, bitmap_of, in_bitmap, mix, slices, text_of
 from quillgrid.session import stored
 
 K = 4
 MIN_SCORE = 0.6
-BLOCK_BYTES = 16 << 20
-#: Cells of a row of alignments that are computed together, and shared pairs that are held at a time.
-_CELLS, _HITS = 1 << 16, 1 << 21
-_FILTER_BITS = 22
+#: Cells of a row of alignments that are computed together.
+_CELLS = 1 << 16
+#: Bits of the bitmap of item pairs: for few items and for very many.
+_FEW_BITS, _MANY_BITS = 22, 26
 
 
 def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,10 +58,14 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
     return int(align(np.asarray(a)[None], np.asarray(b)[None])[0])
 
 
+def _paired(a: np.ndarray, b: np.ndarray, apart: int) -> np.ndarray:
+    return mix(a * _STEP[0] + b * _STEP[1] + np.uint64(apart))
+
+
 def pairs_of(w: Words, apart: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word of every two words of a row that stand ``apart``."""
     at = np.flatnonzero(w.row[apart:] == w.row[: max(0, len(w.row) - apart)])
-    return mix(w.hash[at] * _STEP[0] + w.hash[at + apart] * _STEP[1] + np.uint64(apart)), at
+    return _paired(w.hash[at], w.hash[at + apart], apart), at
 
 
 def must_share(n: np.ndarray, min_score: float) -> np.ndarray:
@@ -92,93 +94,75 @@ def _items(benchmark: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return stored(plain.mapInArrow(run, f"item bigint, item_key {kind}, item_words binary").where(F.length("item_words") >= 8 * max(k, 1)))
 
 
-@dataclass
-class Block:
-    """Items with the pairs they hold: ``pair`` sorted, the items of pair i are ``holder[first[i]:first[i + 1]]``, and
-    ``held`` is i times the number of items, plus the holder."""
-
-    item: np.ndarray
-    words: list[np.ndarray]
-    shares: np.ndarray
-    span: np.ndarray
-    pair: np.ndarray
-    first: np.ndarray
-    holder: np.ndarray
-    held: np.ndarray
-    filter: np.ndarray
-    apart: tuple[int, ...]
-
-
-def _block(item: np.ndarray, words: list[np.ndarray], min_score: float) -> Block:
-    n = np.array([len(x) for x in words], np.int64)
-    shares = must_share(n, min_score)
-    # Without a pair for sure, an alignment has at most one other word between two matches.
-    apart = (1, 2) if (shares < 1).any() else (1,)
-    every, row = np.concatenate(words), np.repeat(np.arange(len(n)), n)
-    pairs, holders = [], []
-    for far in apart:
-        at = np.flatnonzero((row[1:] == row[:-1]) & ((far == 1) | (shares[row[1:]] < 1)))
-        # Neighbours of the item that stand so far apart in a text.
-        pairs.append(mix(every[at] * _STEP[0] + every[at + 1] * _STEP[1] + np.uint64(far)))
-        holders.append(row[at])
-    pair, holder = np.concatenate(pairs), np.concatenate(holders)
-    order = np.lexsort((holder, pair))
-    pair, holder = pair[order], holder[order]
-    once = np.ones(len(pair), bool)
-    once[1:] = (pair[1:] != pair[:-1]) | (holder[1:] != holder[:-1])
-    holder = holder[once]
-    pair, first, which = np.unique(pair[once], return_index=True, return_inverse=True)
-    some = np.zeros(1 << _FILTER_BITS, bool)
-    some[(pair >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    span = np.ceil(n * (3 - 2 * min_score)).astype(np.int64)
-    return Block(item, words, np.maximum(shares, 1), span, pair, np.append(first, len(holder)), holder, which * len(n) + holder, some, apart)
-
-
-def _places(w: Words, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Items and stretches of words (first, end) that share as many pairs as a match needs; overlapping ones are one.
-
-    Where very many items hold a pair, a range of items at a time.
-    """
-    found = [pairs_of(w, far) for far in block.apart]
-    h, at = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-    may = np.flatnonzero(block.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-    h, at = h[may], at[may]
-    where = np.minimum(np.searchsorted(block.pair, h), len(block.pair) - 1)
-    hit = block.pair[where] == h
-    where, at = where[hit], at[hit]
-    begin, n = np.searchsorted(w.row, np.arange(w.rows + 1)), len(block.words)
-    # An item holds a pair once, so a range of items has at most its number times the places.
-    many = int((block.first[where + 1] - block.first[where]).sum()) > _HITS
-    size = max(1, _HITS // len(at)) if many else n
-    for low in range(0, n, size):
-        first = np.searchsorted(block.held, where * n + low)
-        count = np.searchsorted(block.held, where * n + min(low + size, n)) - first
-        place = np.repeat(at, count)
-        step = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
-        found = _stretches(w, block, begin, block.holder[np.repeat(first, count) + step], place)
-        if len(found[0]):
-            yield found
-
-
-def _stretches(w: Words, block: Block, begin: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((place, item))
-    item, place = item[order], place[order]
-    last = np.arange(len(item)) + block.shares[item] - 1
-    inside = np.minimum(last, max(len(item) - 1, 0))
-    near = (last < len(item)) & (item[inside] == item) & (w.row[place[inside]] == w.row[place]) & (place[inside] - place <= block.span[item])
-    item, place = item[near], place[near]
-    low = np.maximum(place - block.span[item], begin[w.row[place]])
-    high = np.minimum(place + block.span[item] + 2, begin[w.row[place] + 1])
-    opens = np.ones(len(item), bool)
-    opens[1:] = (item[1:] != item[:-1]) | (low[1:] > high[:-1]) | (w.row[place[1:]] != w.row[place[:-1]])
-    first = np.flatnonzero(opens)
-    return item[first], low[first], high[np.append(first[1:], len(item)) - 1] if len(first) else high
-
-
-def _scores(w: Words, block: Block, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The score of each item and stretch of words, computed together where lengths are alike."""
-    scores = np.zeros(len(item))
-    n, wide = np.array([len(block.words[i]) for i in item], np.int64), high - low
+def _item_pairs(items: DataFrame, min_score: float) -> DataFrame:
+    """The distinct pairs of every item: ``item, pair, times``, with what holds for the item: ``aside`` (pairs that may be left
+    aside), ``need`` (seeds a passage then holds at least), ``span`` (words they lie within) and ``short`` (looked up apart too)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, raw in zip(batch.column("item").to_pylist(), batch.column("item_words").to_pylist()):
+                words = np.frombuffer(raw, np.uint64)
+                n = np.array([len(words)])
+                share, short = int(must_share(n, min_score)[0]), bool(must_share(n, min_score)[0] < 1)
+                share = max(share, 1)
+                # Neighbours of the item, as they stand in a text side by side or with a word between them.
+                found = np.concatenate([_paired(words[:-1], words[1:], far) for far in ((1, 2) if short else (1,))])
+                pair, times = np.unique(found, return_counts=True)
+                span = int(np.ceil(len(words) * (3 - 2 * min_score)))
+                out.append((np.full(len(pair), item), pair.view(np.int64), times, *(np.full(len(pair), x) for x in (share // 2, share - share // 2, span, short))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["item", "pair", "times", "aside", "need", "span", "short"])
+
+    return items.select("item", "item_words").mapInArrow(run, "item bigint, pair bigint, times bigint, aside bigint, need bigint, span bigint, short boolean")
+
+
+def _seeds(pairs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The pairs of every item without its most frequent ones; an item's pairs are as few as its words."""
+    counts = hits.groupBy("pair").agg(F.count("*").alias("n_hits"))
+    common = Window.partitionBy("item").orderBy(F.desc("n_hits"), "pair").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = pairs.join(counts, "pair", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0))).withColumn("upto", F.sum("times").over(common))
+    return ranked.where("upto > aside").select("pair", "item", "need", "span")
+
+
+def _hits(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``key, uid, pair, place``: where texts hold a pair that some item holds, and a few others by chance."""
+    facts = pairs.agg(F.count("*").alias("n"), F.max("short").alias("short")).first()
+    bits = min(_MANY_BITS, max(_FEW_BITS, int(facts["n"]).bit_length() + 6))
+    shared = texts.sparkSession.sparkContext.broadcast((bitmap_of(pairs, "pair", bits), (1, 2) if facts["short"] else (1,)))
+
+    def run(batches):
+        bitmap, apart = shared.value
+        for s in slices(batches, "text"):
+            w = Words(*text_of(s.column("text")), ALNUM_LOWER, lower=True)
+            begin = np.searchsorted(w.row, np.arange(w.rows + 1))
+            for far in apart:
+                h, at = pairs_of(w, far)
+                held = in_bitmap(bitmap, h)
+                h, at = h[held], at[held]
+                row = w.row[at]
+                yield pa.RecordBatch.from_arrays([*(s.column(c).take(pa.array(row)) for c in ("key", "uid")), pa.array(h.view(np.int64)), pa.array(at - begin[row])], ["key", "uid", "pair", "place"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.mapInArrow(run, f"key {kind}, uid bigint, pair bigint, place bigint")
+
+
+def _near(places: Column, need: Column, span: Column) -> Column:
+    """Places from which so many seeds lie within the span."""
+    return F.filter(places, lambda p, i: F.get(places, (i + need - 1).cast("int")) - p <= span)
+
+
+def _stretches(near: np.ndarray, span: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of the stretches around some places in order; overlapping ones are one."""
+    low, high = np.maximum(near - span, 0), np.minimum(near + span + 2, size)
+    first = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+    return low[first], high[np.append(first[1:], len(near)) - 1]
+
+
+def _scores(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarray:
+    """The score of each item in the stretch of words beside it, computed together where lengths are alike."""
+    scores = np.zeros(len(items))
+    n, wide = np.array([len(x) for x in items], np.int64), np.array([len(x) for x in stretches], np.int64)
     order, at = np.lexsort((n, wide)), 0
     while at < len(order):
         end = at + 1
@@ -188,46 +172,50 @@ def _scores(w: Words, block: Block, item: np.ndarray, low: np.ndarray, high: np.
         # Item and text are padded with different words.
         a, b = np.zeros((len(some), n[some].max()), np.uint64), np.ones((len(some), wide[some].max()), np.uint64)
         for k, i in enumerate(some):
-            a[k, : n[i]] = block.words[item[i]]
-            b[k, : wide[i]] = w.hash[low[i] : high[i]]
+            a[k, : n[i]] = items[i]
+            b[k, : wide[i]] = stretches[i]
         scores[some] = align(a, b) / (2 * n[some])
         at = end
     return scores
 
 
-def _pass(docs: DataFrame, block: Block, key: str, text: str, min_score: float) -> DataFrame:
-    """Key, item, score and first word of the stretches of texts that match an item of the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _aligned(candidates: DataFrame, min_score: float) -> DataFrame:
+    """``key, item, score, first_word`` of the stretches of texts that match their item."""
 
     def run(batches):
-        block = shared.value
         for s in slices(batches, "text"):
             w = Words(*text_of(s.column("text")), ALNUM_LOWER, lower=True)
-            for item, low, high in _places(w, block):
-                scores = _scores(w, block, item, low, high)
-                hold = scores >= min_score
-                item, low, row = item[hold], low[hold], w.row[low[hold]]
-                first = low - np.searchsorted(w.row, row)
-                yield pa.RecordBatch.from_arrays([s.column("key").take(pa.array(row)), pa.array(block.item[item]), pa.array(scores[hold]), pa.array(first)], ["key", "item", "score", "first_word"])
-
-    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind = plain.schema["key"].dataType.simpleString()
-    return plain.mapInArrow(run, f"key {kind}, item bigint, score double, first_word bigint")
+            begin = np.searchsorted(w.row, np.arange(w.rows + 1))
+            row, first, words, held = [], [], [], []
+            for i, (near, span, raw) in enumerate(zip(*(s.column(c).to_pylist() for c in ("near", "span", "item_words")))):
+                item = np.frombuffer(raw, np.uint64)
+                for low, high in zip(*_stretches(np.array(near, np.int64), span, int(begin[i + 1] - begin[i]))):
+                    row.append(i)
+                    first.append(int(low))
+                    words.append(item)
+                    held.append(w.hash[begin[i] + low : begin[i] + high])
+            scores = _scores(words, held)
+            good = np.flatnonzero(scores >= min_score)
+            row, first = np.array(row, np.int64)[good], np.array(first, np.int64)[good]
+            yield pa.RecordBatch.from_arrays([*(s.column(c).take(pa.array(row)) for c in ("key", "item")), pa.array(scores[good]), pa.array(first)], ["key", "item", "score", "first_word"])
+
+    kind = candidates.schema["key"].dataType.simpleString()
+    return candidates.select("key", "item", "text", "near", "span", "item_words").mapInArrow(run, f"key {kind}, item bigint, score double, first_word bigint")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", k: int = K, min_score: float = MIN_SCORE) -> DataFrame:
     """Key and item key of texts that hold an item or an edited copy of it, the best score and the passage's first word."""
     items = _items(benchmark, item_key, text, k)
-    blocks = -(-(items.agg(F.sum(F.length("item_words"))).first()[0] or 0) // BLOCK_BYTES)
-    found = []
-    for b in range(max(blocks, 1)):
-        held = items.where(F.pmod(F.xxhash64("item"), F.lit(max(blocks, 1))) == b).select("item", "item_words").toArrow()
-        if held.num_rows:
-            block = _block(held["item"].to_numpy(), [np.frombuffer(x, np.uint64) for x in held["item_words"].to_pylist()], min_score)
-            found.append(stored(_pass(docs, block, key, text, min_score)))
-    if not found:
-        nothing = docs.select(F.col(key).alias(key)).where("false")
-        return nothing.crossJoin(items.select(F.col("item_key").alias(item_key)).where("false")).select("*", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("first_word"))
-    whole = reduce(DataFrame.unionByName, found).join(items.select("item", "item_key"), "item")
-    best = whole.groupBy("key", "item_key").agg(F.max("score").alias("score"), F.max_by("first_word", F.struct("score", -F.col("first_word"))).alias("first_word"))
+    pairs = stored(_item_pairs(items, min_score))
+    whole = F.col(text).cast("string")
+    # Rows of one key and text are one; a null or repeated key tells nothing.
+    texts = docs.select(F.col(key).alias("key"), whole.alias("text"), F.xxhash64(whole).alias("uid")).where("text <> ''")
+    hits = stored(_hits(texts, pairs))
+    met = hits.join(_seeds(pairs, hits), "pair").groupBy("key", "uid", "item", "need", "span").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    near = met.withColumn("near", _near(F.col("places"), F.col("need"), F.col("span"))).where(F.size("near") > 0)
+    likely = stored(near.select("key", "uid", "item", "span", "near").join(items.select("item", "item_words"), "item"))
+    same = (F.col("t.uid") == F.col("c.uid")) & F.col("t.key").eqNullSafe(F.col("c.key"))
+    candidates = texts.alias("t").join(likely.alias("c"), same).select("t.key", "t.text", "c.item", "c.near", "c.span", "c.item_words")
+    found = _aligned(candidates, min_score).join(items.select("item", "item_key"), "item")
+    best = found.groupBy("key", "item_key").agg(F.max("score").alias("score"), F.max_by("first_word", F.struct("score", -F.col("first_word"))).alias("first_word"))
     return best.select(F.col("key").alias(key), F.col("item_key").alias(item_key), "score", "first_word")

@@ -227,7 +227,7 @@ def test_leaks_however_frequent(spark, make_docs):
 
 def test_leaks_equal_alignment_of_everything(spark, monkeypatch):
     """Copies with a tenth to a third of their words edited, against every item aligned with every text."""
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500, raising=False)
+    monkeypatch.setattr(decontaminate, "_CELLS", 500)
     rng = random.Random(6)
     items = [prose(n, 20 + n) for n in (4, 5, 6, 9, 15, 20, 40, 59)]
     texts = ["q".join(f" {t} " for t in items[0].split()), " q ".join(items[1].split())]
@@ -251,12 +251,17 @@ def test_leaks_equal_alignment_of_everything(spark, monkeypatch):
     assert {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, benchmark).collect()} == want
 
 
-def test_very_common_pairs(monkeypatch):
-    """Items looked up a range at a time give the same stretches."""
-    w, _ = words_of(["a b " * 50 + prose(30, 1), prose(40, 2) + " a b"], ALNUM_LOWER, True)
-    v, _ = words_of([f"a b {prose(12, i)} a b" for i in range(30)] + [prose(20, 1)], ALNUM_LOWER, True)
-    block = decontaminate._block(np.arange(31), [v.hash[v.row == i] for i in range(31)], 0.6)
-    whole = [x.tolist() for x in next(decontaminate._places(w, block))]
-    monkeypatch.setattr(decontaminate, "_HITS", 250)
-    ranges = list(decontaminate._places(w, block))
-    assert len(ranges) > 1 and [np.concatenate(x).tolist() for x in zip(*ranges)] == whole
+def test_common_pairs_are_left_aside(spark):
+    """Of every item the most frequent pairs do not seed, as many as half of what a passage must share; others do, however common."""
+    item = prose(30, 5).split()
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, "a b c d e")], "item_id bigint, text string")
+    common = " ".join(item[:8])
+    texts = spark.createDataFrame([(i, f"{common} z{i}", i) for i in range(50)], "key bigint, text string, uid bigint")
+    items = decontaminate._items(benchmark, "item_id", "text", 4)
+    pairs = decontaminate._item_pairs(items, 0.6)
+    share = int(decontaminate.must_share(np.array([30]), 0.6)[0])
+    seeds = decontaminate._seeds(pairs, decontaminate._hits(texts, pairs))
+    kept = {r["item"]: (r["n"], r["need"]) for r in seeds.groupBy("item").agg(F.count("*").alias("n"), F.min("need").alias("need")).collect()}
+    assert sorted(kept.values()) == [(8, 1), (29 - share // 2, share - share // 2)]
+    frequent = {r["pair"] for r in decontaminate._hits(texts, pairs).groupBy("pair").count().where("count = 50").collect()}
+    assert len(frequent) >= 7 > share // 2 and len(frequent & {r["pair"] for r in seeds.collect()}) >= 7 - share // 2
