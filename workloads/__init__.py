@@ -1,6 +1,6 @@
 """The registered queries and their SQL counterparts."""
 
-from . import files, grids, profiles, schemas, streams, tables  # noqa: F401
+from . import branches, files, grids, profiles, schemas, streams, tables  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
