@@ -69,31 +69,44 @@ def _merge_sources(grid: DataFrame, merges: DataFrame) -> DataFrame:
     )
 
 
-def _spans(merges: DataFrame) -> DataFrame:
-    return merges.withColumn("row_idx", F.explode(F.sequence("start_row", "end_row")))
+def _covering(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Points ``(file_id, sheet, row_idx, ...)`` with every range ``(file_id, sheet, start_row, end_row, ...)`` over their row.
+
+    A range is cut into at most ten blocks of rows, aligned to a power of two that fits its length; a point asks for its block at
+    every power its sheet uses, which is one power where all ranges are short. So a range costs the same whatever its length, and
+    both sides meet by equal keys.
+    """
+    length = F.col("end_row") - F.col("start_row") + 1
+    power = F.greatest(F.floor(F.log2(length.cast("double"))).cast("int") - 2, F.lit(0))
+    sized = ranges.where("end_row >= start_row").withColumn("power", power)
+    block = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("power"))).cast("long")
+    cut = sized.withColumn("block", F.explode(F.sequence(block(F.col("start_row")), block(F.col("end_row")))))
+    # One row a sheet that has ranges.
+    used = sized.groupBy(*SHEET_KEY).agg(F.collect_set("power").alias("powers"))
+    asked = points.join(used, SHEET_KEY).withColumn("power", F.explode("powers")).drop("powers").withColumn("block", block(F.col("row_idx")))
+    met = asked.join(cut, [*SHEET_KEY, "power", "block"]).where(F.col("row_idx").between(F.col("start_row"), F.col("end_row")))
+    return met.drop("power", "block", "start_row", "end_row")
 
 
 def _chained_values(merges: DataFrame) -> DataFrame:
     """Values of merges after chaining: a top-left cell inside an earlier merge holds that merge's value.
 
-    Links to the latest such merge are followed by doubling, so a chain of n takes log n rounds; sheets without
-    overlaps, the usual case, take none.
+    Links to the latest such merge are followed by doubling, so a chain of n takes log n rounds, each stored for the next;
+    sheets without overlaps, the usual case, take none.
     """
-    spans = _spans(merges).select(
-        *SHEET_KEY, F.col("row_idx").alias("start_row"), F.col("start_col").alias("from_col"), F.col("end_col").alias("to_col"), F.col("merge_idx").alias("earlier")
-    )
-    inside = merges.join(spans, [*SHEET_KEY, "start_row"]).where(
+    earlier = merges.select(*SHEET_KEY, "start_row", "end_row", F.col("start_col").alias("from_col"), F.col("end_col").alias("to_col"), F.col("merge_idx").alias("earlier"))
+    inside = _covering(merges.select(*SHEET_KEY, F.col("start_row").alias("row_idx"), "start_col", "merge_idx"), earlier).where(
         F.col("start_col").between(F.col("from_col"), F.col("to_col")) & (F.col("earlier") < F.col("merge_idx"))
     )
-    links = inside.groupBy(*SHEET_KEY, "merge_idx").agg(F.max("earlier").alias("link"))
+    links = stored(inside.groupBy(*SHEET_KEY, "merge_idx").agg(F.max("earlier").alias("link")))
     if links.isEmpty():
         return merges
     while True:
         onward = links.select(*SHEET_KEY, F.col("merge_idx").alias("link"), F.col("link").alias("next"))
-        followed = links.join(onward, [*SHEET_KEY, "link"], "left")
-        if followed.where(F.col("next").isNotNull()).isEmpty():
+        followed = stored(links.join(onward, [*SHEET_KEY, "link"], "left").select(*SHEET_KEY, "merge_idx", F.coalesce("next", "link").alias("link"), F.col("next").isNotNull().alias("moved")))
+        links = followed.drop("moved")
+        if followed.where("moved").isEmpty():
             break
-        links = followed.select(*SHEET_KEY, "merge_idx", F.coalesce("next", "link").alias("link"))
     roots = merges.select(*SHEET_KEY, F.col("merge_idx").alias("link"), F.col("value").alias("root_value"))
     resolved = links.join(roots, [*SHEET_KEY, "link"]).select(*SHEET_KEY, "merge_idx", "root_value")
     return (
@@ -106,11 +119,11 @@ def _chained_values(merges: DataFrame) -> DataFrame:
 def fill_merges(grid: DataFrame, merges: DataFrame) -> DataFrame:
     """Every cell of a merged range takes the range's top-left value; of overlapping ranges the last one wins.
 
-    Ranges ``(file_id, sheet, merge_idx, start_row, start_col, end_row, end_col)`` are spread over the rows they touch,
-    so rows meet only their own ranges in a join on (file, sheet, row).
+    Ranges ``(file_id, sheet, merge_idx, start_row, start_col, end_row, end_col)`` of any length meet the rows they touch in
+    aligned blocks (``_covering``); rows that a range names but the sheet lacks cost nothing.
     """
-    valued = _chained_values(_merge_sources(grid, merges))
-    touching = _spans(valued).groupBy(*ROW_KEY).agg(
+    valued = stored(_chained_values(stored(_merge_sources(grid, merges))))
+    touching = _covering(grid.select(*ROW_KEY), valued).groupBy(*ROW_KEY).agg(
         F.array_sort(F.collect_list(F.struct("merge_idx", "start_col", "end_col", "value"))).alias("ranges")
     )
 

@@ -1,3 +1,5 @@
+import random
+
 from quillgrid.operators import grid as G
 from quillgrid.sources.audit import audit_bounds, within_bounds
 from quillgrid.sources.delimited import grid_cells, grid_from_cells
@@ -119,3 +121,46 @@ def test_cells_and_bounds(make_grid):
         "file_id": "f0", "sheet": "s", "n_rows": 2, "n_columns": 3, "n_sheets": 1, "too_many_rows": False, "too_many_columns": False, "too_many_sheets": False,
     }
     assert [len(r["cells"]) for r in within_bounds(grid, 1, 2).collect()] == [2]
+
+
+def plain_merges(cells, merges):
+    """Ranges one after another; a range whose top-left cell lies in an earlier one takes that one's value."""
+    values, out = {}, [list(row) for row in cells]
+    for i, (r0, c0, r1, c1) in enumerate(merges):
+        if r0 >= len(cells) or c0 >= len(cells[r0]):
+            continue
+        inside = [j for j in values if merges[j][0] <= r0 <= merges[j][2] and merges[j][1] <= c0 <= merges[j][3]]
+        values[i] = values[max(inside)] if inside and values[max(inside)] is not None else cells[r0][c0]
+        for r in range(r0, min(r1, len(cells) - 1) + 1):
+            for c in range(c0, min(c1, len(cells[r]) - 1) + 1):
+                out[r][c] = values[i]
+    return out
+
+
+def test_merges_of_all_lengths(make_grid, make_merges):
+    """Ranges short, long, beyond the sheet and over each other, against filling them one by one."""
+    rng = random.Random(4)
+    cells = [[f"{r}-{c}" for c in range(rng.randint(1, 5))] for r in range(150)]
+    merges = []
+    for _ in range(60):
+        r0, c0 = rng.randint(0, 160), rng.randint(0, 4)
+        merges.append((r0, c0, r0 + rng.choice([-1, 0, 1, 7, 40, 100, 10**9]), c0 + rng.randint(0, 2)))
+    merges = [m for m in merges if m[2] >= m[0]]
+    assert cells_after(make_grid(cells), make_merges(*merges)) == plain_merges(cells, merges)
+
+
+def test_a_chain_of_a_thousand_merges(make_grid, make_merges):
+    n = 1000
+    grid = make_grid([["top", "x"], *[[str(i), "x"] for i in range(1, n + 1)]])
+    found = cells_after(grid, make_merges(*[(i, 0, i + 1, 0) for i in range(n)]))
+    assert found == [["top", "x"]] * (n + 1)
+
+
+def test_a_range_over_a_million_rows(spark, make_merges):
+    """The range is cut into a few blocks, not into its rows."""
+    grid = spark.range(1_000_000).selectExpr("'f0' as file_id", "'s' as sheet", "id as row_idx", "array(named_struct('raw', cast(id as string), 'kind', 'number')) as cells")
+    merges = make_merges((10, 0, 2**40, 0))
+    blocks = G._covering(grid.select("file_id", "sheet", "row_idx").limit(0), merges)
+    assert blocks.count() == 0
+    filled = G.fill_merges(grid, merges).where("cells[0].raw = '10'")
+    assert filled.count() == 999_990
