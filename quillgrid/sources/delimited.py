@@ -33,7 +33,7 @@ SHEET = "Sheet1"
 _SHIELD = "\ue000"
 
 _SUMMARY = "file_id string, block_start bigint, delimiter string, end_out boolean, rows_out bigint, end_in boolean, rows_in bigint"
-_PIECES = "file_id string, row_idx bigint, block_start bigint, record string, fields array<string>"
+_PIECES = "file_id string, row_idx bigint, block_start bigint, delimiter string, record string, fields array<string>"
 
 
 def ends_quoted(line: str, quoted: bool, delimiter: str) -> bool:
@@ -166,10 +166,10 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # What ends a finished record's last line is no part of it; the part of an unfinished one keeps it.
         text = "".join(parts[:-1] if finished else parts)
         whole = finished and begun_here
-        out.append((current[0], row, current[1], None if whole else text, split_fields(text, delimiter) if whole else None))
+        out.append((current[0], row, current[1], delimiter, None if whole else text, split_fields(text, delimiter) if whole else None))
 
     def table() -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["file_id", "row_idx", "block_start", "record", "fields"])
+        return pd.DataFrame(out, columns=["file_id", "row_idx", "block_start", "delimiter", "record", "fields"])
 
     for split, run in _split_runs(batches):
         if split != current:
@@ -219,8 +219,8 @@ def read_grid(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lines.mapInPandas(_summarise, _SUMMARY).write.parquet(folder)
     splits = _placed_splits(spark.read.schema(_SUMMARY).parquet(folder), probed)
     keys = ["file_id", "block_start"]
-    # Spark picks the join by size; lines are put back in order in either case.
-    placed = lines.join(splits, keys).sortWithinPartitions(*keys, "line_no")
+    # One short row a split. What Python reads has no size that the planner knows: left to itself it would broadcast the lines.
+    placed = lines.join(F.broadcast(splits), keys).sortWithinPartitions(*keys, "line_no")
     columns = ["file_id", "block_start", "value", "line_end", "delimiter", "quoted", "first_row"]
     pieces = placed.select(*columns).mapInPandas(_cut, _PIECES)
     whole = pieces.where(F.col("fields").isNotNull()).select("file_id", "row_idx", "fields")
@@ -228,9 +228,8 @@ def read_grid(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     crossing = (
         pieces.where(F.col("fields").isNull())
         .groupBy("file_id", "row_idx")
-        .agg(F.array_sort(F.collect_list(F.struct("block_start", "record"))).alias("parts"))
-        .select("file_id", "row_idx", F.array_join(F.transform("parts", lambda p: p["record"]), "").alias("record"))
-        .join(splits.select("file_id", "delimiter").distinct(), "file_id")
+        .agg(F.array_sort(F.collect_list(F.struct("block_start", "record"))).alias("parts"), F.min("delimiter").alias("delimiter"))
+        .select("file_id", "row_idx", F.array_join(F.transform("parts", lambda p: p["record"]), "").alias("record"), "delimiter")
         .mapInPandas(_cut_crossing, "file_id string, row_idx bigint, fields array<string>")
     )
     rows = whole.unionByName(crossing)

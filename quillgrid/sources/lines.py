@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 HEAD_BYTES = 4096
 RANGE_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20
+#: Ranges beyond this number share tasks.
+MOST_TASKS = 1 << 14
 _MARKS = [(codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")]
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 #: Names of compressed files, which are read as one stream.
@@ -141,8 +143,10 @@ def read_lines(probed: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     last = F.when(packed, 0).otherwise(F.greatest(F.col("length") - 1, F.lit(0)))
     ranges = probed.where("length > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long"))))
     ranges = ranges.withColumn("stop", F.when(packed, F.lit(2**62)).otherwise(F.col("start") + step)).withColumn("length", F.when(packed, F.lit(2**62)).otherwise(F.col("length")))
-    # A range is a task's worth of work, whatever the listing's partitions were.
-    ranges = ranges.repartition(F.xxhash64("file_id", "start"))
+    # A range is a task's worth of work, whatever the listing's partitions were; without a number of its own the shuffle would bring these
+    # few short rows together in one task.
+    (number,) = ranges.agg(F.count(F.lit(1))).first()
+    ranges = ranges.repartition(min(max(number, 1), MOST_TASKS), F.xxhash64("file_id", "start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LINES.split(", ")]

@@ -3,6 +3,7 @@ import csv
 import gzip
 import hashlib
 import io
+import itertools
 import json
 import random
 import zipfile
@@ -185,6 +186,21 @@ def test_encodings_and_line_ends(spark, monkeypatch, tmp_path, encoding, line_en
     assert raw_rows(read_grid(spark, str(tmp_path))) == {"x.csv": [[c or None for c in row] for row in rows]}
 
 
+def test_ranges_are_tasks_and_lines_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """The planner takes lines that Python reads for small: nothing that holds them may pass through the driver, nor through one task."""
+    (tmp_path / "x.csv").write_bytes("\ufeffa,b\r".encode("utf-16-le") + "".join(f'{i},"x\ry"\r' for i in range(500)).encode("utf-16-le"))
+    monkeypatch.setattr(delimited, "read_lines", lambda p: lines.read_lines(p, 500))
+    assert lines.read_lines(lines.probe(spark, str(tmp_path)), 500).rdd.getNumPartitions() > 8
+    rows = read_grid(spark, str(tmp_path))
+    assert rows.count() == 501
+    plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*("))
+    for at, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda x: depth(x) > depth(line), plan[at + 1 :])
+            assert not any("MapInArrow" in x or "MapInPandas" in x for x in below)
+
+
 def test_files_of_several_kinds(spark, tmp_path):
     """Plain, marked, compressed and empty files together; a carriage return ends lines only where a file shows it so."""
     text = 'a,"b\rc"\n1,2\n'
