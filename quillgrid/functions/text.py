@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,21 +79,35 @@ def header_key(raw: Column, position: Column) -> Column:
     )
 
 
+def _placed(keys: list[str | None]) -> list[str | None]:
+    taken, tried, out = set(), {}, []
+    for key in keys:
+        name, n = key, tried.get(key, 0)
+        # Suffixes tried before are still taken.
+        if n:
+            name = f"{key}_{n}"
+        while key is not None and name in taken:
+            n += 1
+            name = f"{key}_{n}"
+        tried[key] = n
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _told_apart(keys: pa.Array) -> pa.Array:
+    return pa.array([x and _placed(x) for x in keys.to_pylist()], pa.list_(pa.string()))
+
+
 def unique_keys(keys: Column) -> Column:
     """Resolve repeated keys in a header array with the first free ``_1``, ``_2`` ... suffix, left to right.
 
-    Later keys must see earlier results (``a, a, a_1`` gives ``a, a_1, a_1_1``), so this folds over the array;
-    headers without repeats skip the fold.
+    Later keys must see earlier results (``a, a, a_1`` gives ``a, a_1, a_1_1``), so headers with repeats are gone through in
+    sequence, in Python with a set of what is taken: time grows with the keys, however many repeat.
     """
-    def place(taken: Column, key: Column) -> Column:
-        tries = F.transform(
-            F.sequence(F.lit(0), F.size(taken)),
-            lambda i: F.when(i == 0, key).otherwise(F.concat(key, F.lit("_"), i.cast("string"))),
-        )
-        return F.concat(taken, F.array(F.element_at(F.array_except(tries, taken), 1)))
-
-    folded = F.aggregate(keys, F.array().cast("array<string>"), place)
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), keys).otherwise(folded)
+    repeats = F.size(F.array_distinct(keys)) < F.size(keys)
+    return F.when(repeats, _told_apart(F.when(repeats, keys))).otherwise(keys)
 
 
 def plain_number(c: Column) -> Column:

@@ -217,20 +217,20 @@ def detect_headers(grid: DataFrame) -> DataFrame:
 
     A column without any label is kept only if a row below the header fills it; only such columns are looked up below.
     """
-    heads = _sheet_heads(grid)
-    nameless = F.filter(
-        F.transform("labels", lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull()
-    )
-    open_columns = heads.select(*SHEET_KEY, "header_row", nameless.alias("nameless")).where(F.size("nameless") > 0)
+    # One row a sheet, needed twice.
+    heads = stored(_sheet_heads(grid))
+    nameless = F.transform("labels", lambda x: x.isNull())
+    open_columns = heads.select(*SHEET_KEY, "header_row", nameless.alias("nameless")).where(F.exists("nameless", lambda x: x))
     rows = grid.join(open_columns, SHEET_KEY).where(F.col("row_idx") > F.col("header_row"))
-    hits = F.filter("nameless", lambda i: normalised(F.get("cells", i)["raw"]).isNotNull())
+    # A row is asked for the cells it has, not for all columns of its sheet.
+    filled = F.transform("cells", lambda c, i: F.when(F.get("nameless", i) & normalised(c["raw"]).isNotNull(), i))
+    hits = F.filter(filled, lambda i: i.isNotNull())
     with_data = rows.select(*SHEET_KEY, F.explode(hits).alias("position")).distinct()
     with_data = with_data.groupBy(*SHEET_KEY).agg(F.collect_set("position").alias("filled_nameless"))
     found = heads.join(with_data, SHEET_KEY, "left")
-    kept = F.filter(
-        F.transform("labels", lambda x, i: F.struct(x.alias("label"), i.alias("position"))),
-        lambda c: c["label"].isNotNull() | F.coalesce(F.array_contains("filled_nameless", c["position"]), F.lit(False)),
-    )
+    labelled = F.filter(F.transform("labels", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    positions = F.array_sort(F.concat(labelled, F.coalesce("filled_nameless", F.array().cast("array<int>"))))
+    kept = F.transform(positions, lambda i: F.struct(F.get("labels", i).alias("label"), i.alias("position")))
     only = F.array(F.struct(F.lit("Column 1").alias("label"), F.lit(0).alias("position")))
     found = found.withColumn("kept", F.when(F.size(kept) > 0, kept).otherwise(only))
     names = F.transform(

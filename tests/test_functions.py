@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -124,3 +125,13 @@ def test_name_similarity(spark):
     # 0.4 * (1 - 5/11) + 0.5; equal ignoring case; nothing alike; 0.4 * (1 - 6/13) + 0.25 + 0.2.
     assert got[0] == (0.718, 1.0) and got[1][0] == 1.0 and got[2] == (0.0, 0.0) and got[3] == (0.665, 0.5)
     assert applied(spark, ["custName_2X"], name_tokens) == [["cust", "name", "2", "x"]]
+
+
+def test_unique_keys_of_wide_headers(spark):
+    """Some 30,000 repeated keys take seconds; every comparison with all earlier keys would take hours."""
+    keys = [f"k{i % 7}" for i in range(30_000)] + ["k0_1", None, "k0_9999"]
+    df = spark.createDataFrame([(0, keys), (1, None), (2, [])], "i int, k array<string>")
+    begun = time.monotonic()
+    found = [r[0] for r in df.orderBy("i").select(unique_keys(F.col("k"))).collect()]
+    assert time.monotonic() - begun < 30 and found[1:] == [None, []]
+    assert found[0][:-3] == [f"k{i % 7}_{i // 7}" if i >= 7 else f"k{i}" for i in range(30_000)] and found[0][-3:] == ["k0_1_1", None, "k0_9999"]
