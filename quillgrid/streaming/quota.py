@@ -24,17 +24,6 @@ ACTION_LIMITS = {"llm-test": 5, "query-ask": 30, "spec-refine": 20}
 _DECISION = "admitted boolean, remaining int, retry_after_seconds int"
 
 
-def _admit(log: list[int], now: int, limit: int, window: int) -> tuple[bool, int, int]:
-    """Decide one event; ``log`` holds the admitted times still in the window and is changed in place."""
-    while log and now - log[0] >= window:
-        log.pop(0)
-    if len(log) >= limit:
-        wait = window - (now - log[0]) if log else window
-        return False, 0, max(1, -(-wait // 1000))
-    log.append(now)
-    return True, limit - len(log), 0
-
-
 def _quiet_runs(moments: DataFrame, keys: list[str], window: int) -> DataFrame:
     """Moments ``(keys, _ms, _n)`` with the number of their run: a run ends where a key is silent for a whole window.
 
@@ -125,7 +114,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class _InTimeOrder(StatefulProcessor):
     """Holds a key's events until the watermark has passed them, then decides them in time order.
 
-    State per key: the waiting events, the admitted times still in the window, and when the key is due next.
+    State per key: the waiting events in chunks as they came, an index of the chunks by time, the admitted times still in the
+    window, and when the key is due next. Chunks that are due are read twice, one at a time: first only their times are kept,
+    which decide all, then each comes out with its decisions.
     """
 
     def __init__(self, columns: list[str], limit: int, window: int):
@@ -133,46 +124,85 @@ class _InTimeOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms bigint, tie binary, event binary")
+        self.waiting = handle.getMapState("waiting", "number bigint", "events binary")
+        self.index = handle.getValueState("index", "numbers array<bigint>, firsts array<bigint>")
         self.log = handle.getValueState("log", "times array<bigint>")
         self.due = handle.getValueState("due", "ms bigint")
 
+    def _chunks(self) -> dict[int, int]:
+        """The earliest time of every waiting chunk by its number."""
+        return {int(n): int(ms) for n, ms in zip(*self.index.get())} if self.index.exists() else {}
+
+    def _hold(self, chunks: dict[int, int], number: int, events: pd.DataFrame) -> None:
+        chunks[number] = int(events["ms"].min())
+        self.waiting.updateValue((number,), (pickle.dumps(events),))
+
+    def _chunk(self, number: int) -> pd.DataFrame:
+        return pickle.loads(self.waiting.getValue((number,))[0])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed, first = timerValues.getCurrentWatermarkInMs(), None
+        passed, chunks, added = timerValues.getCurrentWatermarkInMs(), None, []
         for pdf in rows:
             ms = pdf["ms"]
             # Before the first batch is through there is no watermark yet.
             late = ms.isna() | ((ms < passed) & (passed > 0))
-            held = pdf[~late]
-            for now, tie, event in zip(held["ms"], held["tie"], held[self.columns].itertuples(index=False, name=None)):
-                self.waiting.appendValue((int(now), pickle.dumps(tie), pickle.dumps(event)))
-                first = int(now) if first is None else min(first, int(now))
-            yield self._out([(*event, None, None, None, True) for event in pdf.loc[late, self.columns].itertuples(index=False, name=None)])
-        if first is not None:
-            self._wake(first + 1)
+            if not late.all():
+                chunks = self._chunks() if chunks is None else chunks
+                added.append(max(chunks, default=-1) + 1)
+                self._hold(chunks, added[-1], pdf.loc[~late, [*self.columns, "ms", "tie"]].astype({"ms": "int64"}))
+            if late.any():
+                yield self._out(pdf.loc[late, self.columns], None, None, None, True)
+        if added:
+            self.index.update(([*chunks], [*chunks.values()]))
+            self._wake(min(chunks[n] for n in added) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         self.due.clear()
-        events = [(ms, pickle.loads(tie), pickle.loads(event)) for ms, tie, event in self.waiting.get()]
-        ready = sorted((e for e in events if e[0] < passed), key=lambda e: (e[0], e[1] is None, e[1] if e[1] is not None else 0))
-        rest = [e for e in events if e[0] >= passed]
+        chunks = self._chunks()
         log = [int(t) for t in self.log.get()[0]] if self.log.exists() else []
-        yield self._out([(*event, *_admit(log, ms, self.limit, self.window), False) for ms, _, event in ready])
-        if ready:
-            self.waiting.clear()
-            if rest:
-                self.waiting.put([(ms, pickle.dumps(tie), pickle.dumps(event)) for ms, tie, event in rest])
-        if rest:
-            self._wake(min(e[0] for e in rest) + 1)
+        due = [n for n, first in chunks.items() if first < passed]
+        if due:
+            times = [e.loc[e["ms"] < passed, ["ms", "tie"]] for e in map(self._chunk, due)]
+            decided = iter(np.split(self._decided(times, log), np.cumsum([len(t) for t in times])[:-1], axis=1))
+            del times
+            for n, (admitted, remaining, retry) in zip(due, decided):
+                events = self._chunk(n)
+                ready = events["ms"] < passed
+                yield self._out(events.loc[ready, self.columns], admitted.astype(bool), remaining, retry, False)
+                if ready.all():
+                    self.waiting.removeKey((n,))
+                    del chunks[n]
+                else:
+                    self._hold(chunks, n, events[~ready])
+            self.index.update(([*chunks], [*chunks.values()]))
+        if chunks:
+            self._wake(min(chunks.values()) + 1)
         elif log and log[-1] + self.window >= passed:
             self._wake(log[-1] + self.window + 1)
         else:
             # The key is silent and remembers nothing.
             self.log.clear()
+            self.index.clear()
             return
         self.log.update((log,))
 
+    def _decided(self, times: list[pd.DataFrame], log: list[int]) -> np.ndarray:
+        """Three rows, for all events in the order of ``times``: admitted, remaining and seconds to wait; ``log`` carries over."""
+        ms, tie = np.concatenate([t["ms"].to_numpy() for t in times]), pd.concat([t["tie"] for t in times], ignore_index=True)
+        unknown = tie.isna().to_numpy()
+        if tie.dtype == object and not unknown.all():
+            keys = tie.to_list()
+            order = np.array(sorted(range(len(ms)), key=lambda i: (ms[i], unknown[i], 0 if unknown[i] else keys[i])))
+        else:
+            order = np.lexsort((ms,) if unknown.all() else (tie.to_numpy(), unknown, ms))
+        moments, first, n = np.unique(ms[order], return_index=True, return_counts=True)
+        room, wait = _decide_moments(moments, n, log, self.limit, self.window)
+        left = np.repeat(room, n) - (np.arange(len(ms)) - np.repeat(first, n) + 1)
+        out = np.empty((3, len(ms)), "int64")
+        out[:, order] = left >= 0, np.maximum(left, 0), np.where(left >= 0, 0, np.maximum(1, -(-np.repeat(wait, n) // 1000)))
+        return out
+
     def _wake(self, ms: int) -> None:
         """One timer a key, at the earliest time asked for."""
         if self.due.exists():
@@ -183,8 +213,8 @@ class _InTimeOrder(StatefulProcessor):
         self.handle.registerTimer(ms)
         self.due.update((ms,))
 
-    def _out(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=[*self.columns, "admitted", "remaining", "retry_after_seconds", "late"])
+    def _out(self, events: pd.DataFrame, admitted, remaining, retry, late: bool) -> pd.DataFrame:
+        out = events.assign(admitted=admitted, remaining=remaining, retry_after_seconds=retry, late=late)
         return out.astype({"admitted": "object", "remaining": "Int32", "retry_after_seconds": "Int32"})
 
     def close(self) -> None:
@@ -199,8 +229,8 @@ def admit_stream(
     An event waits in the state store until the watermark has passed it; then all that wait are decided in time order, in whatever
     order and micro-batches they came. An event that is older than the watermark when it comes, or has no time, comes out
     at once with ``late`` and no decision. Events newer than the watermark wait when a stream ends, and are
-    decided when it goes on. A key holds the events of one lateness and the log of one window, in RocksDB on disk; this
-    function selects that store for the session. A key that is silent for a window is forgotten.
+    decided when it goes on. A key holds the events of one lateness and the log of one window, in RocksDB on disk, a
+    chunk of events an entry; this function selects that store for the session. A key that is silent for a window is forgotten.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

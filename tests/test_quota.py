@@ -4,7 +4,7 @@ import random
 import pandas as pd
 import pytest
 
-from quillgrid.streaming.quota import admit_events, admit_stream, minute_counts, minute_quota
+from quillgrid.streaming.quota import _InTimeOrder, admit_events, admit_stream, minute_counts, minute_quota
 from quillgrid.streaming.windows import event_windows, joint_quota
 
 
@@ -77,6 +77,80 @@ def test_stream_decides_in_time_order(spark, tmp_path):
     assert decisions(more.where("not late")) == plain_loop(rows, 3, 60_000)
 
 
+class Store:
+    """State variables of one key in memory, and how often they were called."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getMapState(self, *_):
+        entries = {}
+
+        class Map:
+            def updateValue(_, k, v):
+                self.calls += 1
+                entries[k] = v
+
+            def getValue(_, k):
+                self.calls += 1
+                return entries.get(k)
+
+            def removeKey(_, k):
+                self.calls += 1
+                del entries[k]
+
+        return Map()
+
+    def getValueState(self, *_):
+        held = []
+
+        class Value:
+            def exists(_):
+                self.calls += 1
+                return bool(held)
+
+            def get(_):
+                return held[0]
+
+            def update(_, v):
+                self.calls += 1
+                held[:] = [v]
+
+            def clear(_):
+                held.clear()
+
+        return Value()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_stream_holds_events_in_chunks(spark):
+    """The store is called for chunks of events, not for each; chunks that overlap in time and ties are decided as in one pass."""
+    rng = random.Random(3)
+    rows = [(i, "a", rng.randint(0, 90_000) // 50 * 50) for i in range(6000)]
+    rng.shuffle(rows)
+    store, step = Store(), _InTimeOrder(["c0"], 7, 10_000)
+    step.init(store)
+    batches = [pd.DataFrame([(i, ms, i if i % 2 else float(i)) for i, _, ms in rows[at : at + 2000]], columns=["c0", "ms", "tie"]) for at in range(0, 6000, 2000)]
+    assert not list(step.handleInputRows(("a",), iter(batches), Mark(0)))
+    out = list(step.handleExpiredTimer(("a",), Mark(40_000), None)) + list(step.handleExpiredTimer(("a",), Mark(80_000), None))
+    found = {r.c0: (r.admitted, r.remaining, r.retry_after_seconds) for pdf in out for r in pdf.itertuples()}
+    assert found == {i: d for i, d in plain_loop(rows, 7, 10_000).items() if dict((r[0], r[2]) for r in rows)[i] < 80_000}
+    assert store.calls < 100 and store.timers[-1] == 80_001
+
+
 def test_stream_keeps_columns_and_a_limit_of_none_admitted(spark, tmp_path):
     source = str(tmp_path / "in")
     df = events(spark, [(i, None if i == 1 else "a", 1000 + i * 1000) for i in range(3)] + [(9, "a", 900_000)])

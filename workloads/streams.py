@@ -60,7 +60,9 @@ def admission_log_per_user(spark, sf):
 @query("admission_stream", _log_sql(["event_type"], _LIMIT, _WINDOW) + " where ms < (select max(ms) - 60000 from e)")
 def admission_stream(spark, sf):
     """Events that the watermark has passed when the stream ends."""
-    stream = admit_stream(_event_stream(spark, sf), ["event_type"], "ts", _LIMIT, _WINDOW, tie="event_id")
+    # What waits in the store has the columns that are asked for.
+    given = _event_stream(spark, sf).select("event_id", "user_id", "event_type", "ts")
+    stream = admit_stream(given, ["event_type"], "ts", _LIMIT, _WINDOW, tie="event_id")
     return _run_to_end(spark, stream).where("not late").select("event_id", "user_id", "event_type", "admitted", "remaining", "retry_after_seconds")
 
 
