@@ -8,8 +8,8 @@ their windows is full, and a refused event is charged to none of them, nor opens
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,6 +97,21 @@ class _Ledger:
                 held[1] += 1
         return True, None, 0
 
+    def pass_over(self, ms: np.ndarray, actors: pa.Array, actions: pa.Array) -> None:
+        """Charge valid events in order. While all is full nothing else is asked of an event, so these are left out in one step."""
+        i = 0
+        while i < len(ms):
+            start, n = self.windows.get("*") or (None, 0)
+            if n >= self.all and start is not None and ms[i] - start < self.window:
+                i += int(np.searchsorted(ms[i:], start + self.window))
+                continue
+            some = slice(i, i + 256)
+            for now, actor, action in zip(ms[some].tolist(), actors[some].to_pylist(), actions[some].to_pylist()):
+                allowed, scope, _ = self.decide(now, actor, action)
+                if scope == "global" and self.all > 0:
+                    break
+                i += 1
+
     def state(self) -> list[dict]:
         return [{"key": k, "start": s, "n": n} for k, (s, n) in sorted(self.windows.items())]
 
@@ -107,11 +122,11 @@ def joint_quota(
 ) -> DataFrame:
     """Every event with ``allowed``, ``scope`` (what refused it) and ``retry_after_seconds``; ``tie`` orders events of one moment.
 
-    Time is cut into slabs that are decided side by side, each in one pass over its sorted events, from the windows that are
-    open when it begins. Those are taken to be none at first; then what one slab leaves open is handed to the next, and
-    only slabs that began with something else are decided again, until no slab did. The first wrong slab is right after
-    each round, so the result is that of one pass over all events; after a quiet window, slabs do not depend on each
-    other at all. Windows open at a time are bounded by the global limit. One row a slab is ordered as a whole.
+    Time is cut into slabs that are passed over side by side, from the windows that are open when they begin. Those are taken
+    to be none at first; then what one slab leaves open is handed to the next, and only slabs that began with something else
+    are passed over again, until no slab did. The first wrong slab is right after each round, so the result is that of one
+    pass over all events; after a quiet window, slabs do not depend on each other at all. Rounds read times and names only and
+    jump over events while all is full; when all slabs begin right, every event is decided, once. Windows open at a time are bounded by the global limit. One row a slab is ordered as a whole.
 
     Events without an actor, a time or a limit for their action are refused as ``invalid`` and charged to nothing.
     """
@@ -131,44 +146,53 @@ def joint_quota(
     todo = used = stored(slabs.select("slab", nothing.alias("state")))
     schema = T.StructType([*base.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("scope", T.StringType()), T.StructField("retry_after_seconds", T.LongType())])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ledger, slab, kinds = None, None, None
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ledger, slab = None, None
 
-        def left(like: pa.Schema) -> pa.RecordBatch:
-            given = {"slab": pa.array([slab], pa.int64()), "kind": pa.array([2], pa.int32()), "state": pa.array([ledger.state()], _ARROW_STATE)}
-            columns = [given[f.name].cast(f.type) if f.name in given else pa.nulls(1, f.type) for f in like]
-            more = [pa.nulls(1, pa.bool_()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())]
-            return pa.RecordBatch.from_arrays([*columns, *more], [*like.names, "allowed", "scope", "retry_after_seconds"])
+        def left(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([w for _, w in found], _ARROW_STATE)], ["slab", "state"])
 
         for batch in batches:
-            kinds, found, ends = batch.schema, [], []
-            states = batch.column("state")
-            for i, (of, kind, now, who, what) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("slab", "kind", "ms", "actor", "action")))):
-                if kind == 0:
+            found, begun = [], np.flatnonzero(batch.column("kind").to_numpy() == 0).tolist()
+            for at, end in zip([-1, *begun], [*begun, batch.num_rows]):
+                if at >= 0:
                     if ledger is not None:
-                        ends.append(left(kinds))
-                    slab, ledger = of, _Ledger(states[i].as_py(), window_ms, limits)
+                        found.append((slab, ledger.state()))
+                    slab, ledger = batch.column("slab")[at].as_py(), _Ledger(batch.column("state")[at].as_py(), window_ms, limits)
+                if end > at + 1:
+                    events = batch.slice(at + 1, end - at - 1)
+                    ledger.pass_over(events.column("ms").to_numpy(), events.column("actor"), events.column("action"))
+            if found:
+                yield left(found)
+        if ledger is not None:
+            yield left([(slab, ledger.state())])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ledger = None
+        for batch in batches:
+            found, states = [], batch.column("state")
+            for i, (kind, now, who, what) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "ms", "actor", "action")))):
+                if kind == 0:
+                    ledger = _Ledger(states[i].as_py(), window_ms, limits)
                     found.append((None, None, None))
                 else:
                     found.append(ledger.decide(now, who, what))
             allowed, scope, retry = zip(*found) if found else ((), (), ())
             more = [pa.array(allowed, pa.bool_()), pa.array(scope, pa.string()), pa.array(retry, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*kinds.names, "allowed", "scope", "retry_after_seconds"])
-            yield from ends
-        if ledger is not None:
-            yield left(kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "allowed", "scope", "retry_after_seconds"])
+
+    def fed(rows: DataFrame, begins: DataFrame) -> DataFrame:
+        """Every slab's events in order, behind a row with what is open when it begins."""
+        given = {"slab": F.col("slab"), "kind": F.lit(0), "state": F.col("state")}
+        begin = begins.select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema.fields])
+        return rows.unionByName(begin).repartition("slab").sortWithinPartitions("slab", "kind", "ms", "tie")
 
-    rounds, last = [], None
+    # Only valid events are charged, and only their times and names tell what a slab leaves open.
+    charged = base.where(F.col("ms").isNotNull() & F.col("actor").isNotNull() & F.col("action").isin([a for a, n in limits[2].items() if n is not None])).drop("row")
+    last = None
     while True:
-        begin = todo.select(
-            F.lit(None).cast(own).alias("row") if events.columns else F.lit(None).alias("row"), F.lit(None).cast("long").alias("ms"), F.lit(None).cast("string").alias("actor"),
-            F.lit(None).cast("string").alias("action"), F.lit(None).cast(base.schema["tie"].dataType).alias("tie"), "slab", F.lit(0).alias("kind"), "state",
-        )
-        fed = base.join(todo.select("slab"), "slab", "left_semi").select(*base.columns).unionByName(begin)
-        out = stored(fed.repartition("slab").sortWithinPartitions("slab", "kind", "ms", "tie").mapInArrow(decide, schema))
-        rounds.append(out.where("kind = 1"))
-        ended = out.where("kind = 2").select("slab", F.lit(len(rounds) - 1).alias("round"), "state")
-        last = stored(ended if last is None else last.join(ended, "slab", "left_anti").unionByName(ended))
+        ended = stored(fed(charged.join(todo.select("slab"), "slab", "left_semi").select(*charged.columns), todo).mapInArrow(ends, T.StructType([base.schema["slab"], T.StructField("state", _STATE)])))
+        last = ended if last is None else stored(last.join(ended, "slab", "left_anti").unionByName(ended))
         # One row a slab.
         before = slabs.join(last, "slab").withColumn("open", F.lag("state").over(Window.orderBy("slab")))
         alive = F.filter("open", lambda w: F.col("first_ms") - w["start"] < window_ms)
@@ -177,5 +201,5 @@ def joint_quota(
         todo, used = stored(changed), begins
         if todo.isEmpty():
             break
-    decided = [r.join(last.where(F.col("round") == n).select("slab"), "slab", "left_semi") for n, r in enumerate(rounds)]
-    return reduce(DataFrame.unionByName, decided).select("row.*", "allowed", "scope", "retry_after_seconds")
+    decided = fed(base, used).mapInArrow(decide, schema).where("kind = 1")
+    return decided.select("row.*", "allowed", "scope", "retry_after_seconds")

@@ -1,11 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from quillgrid.streaming.quota import _InTimeOrder, admit_events, admit_stream, minute_counts, minute_quota
-from quillgrid.streaming.windows import event_windows, joint_quota
+from quillgrid.streaming.windows import _Ledger, event_windows, joint_quota
 
 
 def plain_loop(rows, limit, window):
@@ -214,6 +216,26 @@ def test_joint_quota(spark, seed, span, slabs):
     assert {r["scope"] for r in found} >= {"global", "invalid", None}
 
 
+def test_full_windows_are_jumped_over():
+    """A dense slab costs as many decisions as its windows admit or refuse on their own, not one an event."""
+
+    class Counted(_Ledger):
+        asked = 0
+
+        def decide(self, *event):
+            Counted.asked += 1
+            return super().decide(*event)
+
+    ms = np.arange(0, 1_000_000, 5)
+    actors, actions = pa.array([f"u{i % 50}" for i in range(len(ms))]), pa.array(["x"] * len(ms))
+    quick, slow = Counted(None, 60_000, (8, 2, {"x": 1})), _Ledger(None, 60_000, (8, 2, {"x": 1}))
+    quick.pass_over(ms, actors, actions)
+    for event in zip(ms.tolist(), actors.to_pylist(), actions.to_pylist()):
+        slow.decide(*event)
+    alive = lambda ledger: [w for w in ledger.state() if 1_000_000 - w["start"] < 60_000]
+    assert alive(quick) == alive(slow) != [] and Counted.asked < 1000
+
+
 def test_joint_quota_of_odd_events(spark):
     rows = [(1, None, "query-ask", None), (2, "a", None, None), (3, "a", "query-ask", None)]
     found = joint_quota(spark.createDataFrame(rows, "id int, actor string, action string, ts timestamp"), "actor", "action", "ts").collect()
