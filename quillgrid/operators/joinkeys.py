@@ -18,6 +18,8 @@ KEY_ENDING = r"(_id|_code|_key|_sku|_ref|_no|_number)$"
 LEAST_OVERLAP = 0.5
 SAMPLE_MATCHES = 10
 SAMPLE_LENGTH = 64
+#: Common values that a task sorts to find the first ones, whatever the size of the catalogue.
+TASK_VALUES = 250_000
 
 
 def name_stem(key: str) -> str:
@@ -105,10 +107,12 @@ def find_join_candidates(
     sizes = stored(values.groupBy("col").agg(F.count(F.lit(1)).alias("size")))
     size_of = lambda side: sizes.select(F.col("col").alias(side), F.col("size").alias(f"size_{side}"))
     sized = stored(pairs.join(size_of("a"), "a").join(size_of("b"), "b"))
+    # One row a column.
+    tasks = 1 + sum(r["size"] for r in sizes.collect()) // TASK_VALUES
     likely = _sharing_rare_values(sized, values, sizes)
     in_a = values.select(F.col("col").alias("a"), "value", F.col("place").alias("place_a"))
     in_b = values.select(F.col("col").alias("b"), "value", F.col("place").alias("place_b"))
-    common = stored(likely.join(in_a, "a").join(in_b, ["b", "value"]))
+    common = stored(in_a.join(F.broadcast(likely), "a").join(in_b, ["b", "value"]))
     found = common.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("common"))
     least = F.least("size_a", "size_b")
     kept = stored(found.withColumn("overlap_ratio", fixed(F.col("common") / least, 4)).where(F.col("overlap_ratio") > LEAST_OVERLAP))
@@ -117,6 +121,7 @@ def find_join_candidates(
     samples = (
         common.select("a", "b", "value", first_seen.alias("seen"))
         .join(kept, ["a", "b"])
+        .repartition(tasks, "value")
         .withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= SAMPLE_MATCHES)
         .groupBy("a", "b", "size_a", "size_b", "common", "overlap_ratio")
@@ -168,16 +173,17 @@ def _sharing_rare_values(pairs: DataFrame, values: DataFrame, sizes: DataFrame)
 
     Of such a pair the common values cannot all lie in the commoner half of the smaller side: among its rarer half (by
     the columns that hold a value) at least one is in the other side. So only that half is looked up, and of it only what any other
-    column holds at all. Halves are found from counts by rarity, at most one row for every number of columns.
+    column holds at all. Halves are found from counts by rarity, at most one row for every number of columns. What has one row a column
+    or a pair is broadcast: a join by column would bring all values of a column to one task.
     """
     by_rarity = Window.partitionBy("col").orderBy("n_columns").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = values.groupBy("col", "n_columns").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(by_rarity))
     rare = counts.join(sizes, "col").where(F.col("upto") >= F.ceil(F.col("size") / 2)).groupBy("col").agg(F.min("n_columns").alias("rarity"))
     first = F.col("size_a") <= F.col("size_b")
     sided = pairs.select("*", F.when(first, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("large"))
-    half = values.where("n_columns > 1").join(rare, "col").where("n_columns <= rarity").select(F.col("col").alias("small"), "value")
+    half = values.where("n_columns > 1").join(F.broadcast(rare), "col").where("n_columns <= rarity").select(F.col("col").alias("small"), "value")
     held = values.where("n_columns > 1").select(F.col("col").alias("large"), "value")
-    met = sided.join(half, "small").join(held, ["large", "value"], "left_semi")
+    met = half.join(F.broadcast(sided), "small").join(held, ["large", "value"], "left_semi")
     return met.select("a", "b", "size_a", "size_b").distinct()
 
 

@@ -4,6 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from quillgrid.operators import joinkeys
 from quillgrid.operators import profile as P
 from quillgrid.operators.joinkeys import find_join_candidates, name_stem, names_compatible, profile_workbook, types_compatible
 from quillgrid.operators.median import lower_medians
@@ -192,3 +193,31 @@ def test_profiles_of_a_workbook(spark):
     profiles, joins = profile_workbook(tables)
     assert {(r["table_name"], r["column_key"], r["distinct_count"]) for r in profiles.collect()} == {("customers", "customer_id", 6), ("customers", "n", 6), ("orders", "order_id", 9), ("orders", "customer_id", 4)}
     assert [(r["source_table"], r["source_column"], r["target_table"]) for r in joins.collect()] == [("orders", "customer_id", "customers")]
+
+
+def test_no_join_by_column_alone(spark, monkeypatch):
+    """Values are dealt by value too, never all of a column to one task."""
+    plans = []
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored_as_before(df)
+
+    stored_as_before = joinkeys.stored
+    monkeypatch.setattr(joinkeys, "stored", stored)
+    monkeypatch.setattr(joinkeys, "TASK_VALUES", 200, raising=False)
+    monkeypatch.setattr(joinkeys, "_sharing_rare_values", lambda *given, rare=joinkeys._sharing_rare_values: stored(rare(*given)))
+    a = spark.range(2000).selectExpr("cast(id as string) as code")
+    b = spark.range(500, 2500).selectExpr("cast(id as string) as code")
+    types = {"a": {"code": "id"}, "b": {"code": "id"}}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = joinkeys.find_join_candidates({"a": a, "b": b}, types).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [(r["overlap_ratio"], r["confidence"]) for r in found] == [(0.75, 0.93)] and len(found[0]["sample_matches"]) == 10
+    rare = [plan for plan in plans if "rarity#" in plan]
+    by_column = [line for plan in rare for line in plan.split("\n") if "SortMergeJoin [col#" in line or "SortMergeJoin [small#" in line]
+    # Only the counts by rarity, a few rows a column, meet the sizes by column.
+    assert len(rare) == 1 and len(by_column) <= 1
