@@ -36,33 +36,28 @@ def worker_memory() -> dict:
 
 
 class _Pieces(dict):
-    """Ids of pieces, made when first asked for. ``marks`` has the ids of runs of marks by themselves."""
+    """Ids of pieces, made when first asked for. ``words`` has the ids of words and of runs of marks by themselves."""
 
     def __init__(self, encoder: _Encoder, keep: int, space: str = ""):
         self.encoder, self.keep, self.space = encoder, keep, space
-        self.marks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        # One piece may add its word too.
-        if len(self) >= self.keep - 1:
+        if len(self) >= self.keep:
             self.clear()
-            self.marks.clear()
-        encoder, known = self.encoder, self.marks
-        word = piece if piece.isalpha() else piece.rstrip(_MARKS)
-        if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)) and (word is piece and encoder.added_marked or not encoder.added.search(piece)):
-            spelt = encoder.cased(word)
-            # A word's own entry serves it wherever it stands, unless that entry may be an added token's.
-            own = spelt == word or encoder.added_marked
-            ids = None if spelt is piece or not own else self.get(spelt)
+            self.words.clear()
+        encoder, words = self.encoder, self.words
+        word = piece.rstrip(_MARKS)
+        if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)) and not encoder.added.search(piece):
+            spelt = self.space + encoder.cased(word)
+            ids = words.get(spelt)
             if ids is None:
-                ids = encoder.merged(self.space + spelt)
-                if own and spelt is not piece and len(spelt) <= SHORT:
-                    self[spelt] = ids
-            if word is not piece:
+                ids = words[spelt] = encoder.merged(spelt)
+            if word != piece:
                 marks = piece[len(word) :]
-                if marks not in known:
-                    known[marks] = encoder.merged(marks)
-                ids += known[marks]
+                if marks not in words:
+                    words[marks] = encoder.merged(marks)
+                ids += words[marks]
         else:
             ids = encoder.whole(piece, self.space)
         if len(piece) <= SHORT:
@@ -95,8 +90,6 @@ class _Encoder:
         #: How the pre-tokenizer spells a character of a word or mark.
         self.spelling = {c: "".join(x for x, _ in spelt(chr(c))) for c in [*range(32, 127), *range(0xC0, 0x100)]}
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: No added token can stand inside letters alone.
-        self.added_marked = not any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
         #: Added tokens are looked for before anything else.
         self.added = re.compile("|".join(added) or "(?!)")
         self.tokenize = self.tokenizer.model.tokenize
@@ -106,10 +99,7 @@ class _Encoder:
 
     def merged(self, word: str) -> bytes:
         """Through the library's merges only."""
-        letters = word[1:] if word[0] == " " else word
-        # ASCII letters are spelt as they are.
-        spelt = self.spelling[32] + letters if letters is not word and letters.isascii() and letters.isalpha() else word.translate(self.spelling)
-        ids = [t.id for t in self.tokenize(spelt)]
+        ids = [t.id for t in self.tokenize(word.translate(self.spelling))]
         return struct.pack(_PACK[len(ids)] if len(ids) < SHORT else f"<{len(ids)}I", *ids)
 
     def whole(self, piece: str, space: str = "") -> bytes:
