@@ -62,15 +62,17 @@ def sample_label(c: Column) -> Column:
     return F.substring(neutralise(t), 1, 40)
 
 
-def header_key(raw: Column, position: Column) -> Column:
-    """A safe column key from a header cell; ``position`` is the 0-based column index used for blank headers."""
-    t = trimmed(F.coalesce(raw, F.lit("")))
-    numbered = F.concat(F.lit("col_"), (position + 1).cast("string"))
+def _key_text(t: Column) -> Column:
+    """Trimmed header text in the letters of a key."""
     k = F.regexp_replace(t, r"([a-z0-9])([A-Z])", "$1_$2")
     k = F.regexp_replace(k, r"[^a-zA-Z0-9_]", "_")
     k = F.lower(F.regexp_replace(k, r"_+", "_"))
     k = F.regexp_replace(k, r"^([0-9])", "_$1")
-    k = F.regexp_replace(k, r"^(.+)_$", "$1")
+    return F.regexp_replace(k, r"^(.+)_$", "$1")
+
+
+def _safe_key(t: Column, k: Column, position: Column) -> Column:
+    numbered = F.concat(F.lit("col_"), (position + 1).cast("string"))
     k = F.when(k.isin("", "_"), numbered).when(k.isin(FORBIDDEN_KEYS), F.concat(F.lit("safe_"), k)).otherwise(k)
     return (
         F.when(t == "", numbered)
@@ -79,6 +81,19 @@ def header_key(raw: Column, position: Column) -> Column:
     )
 
 
+def header_key(raw: Column, position: Column) -> Column:
+    """A safe column key from a header cell; ``position`` is the 0-based column index used for blank headers."""
+    t = trimmed(F.coalesce(raw, F.lit("")))
+    return _safe_key(t, _key_text(t), position)
+
+
+def header_keys(raws: Column) -> Column:
+    """`header_key` of every cell of an array. Inside a lambda nothing is computed once for several uses, so it goes in steps."""
+    texts = F.transform(raws, lambda raw: trimmed(F.coalesce(raw, F.lit(""))))
+    pairs = F.transform(texts, lambda t: F.struct(t.alias("t"), _key_text(t).alias("k")))
+    return F.transform(pairs, lambda p, i: _safe_key(p["t"], p["k"], i))
+
+
 def _placed(keys: list[str | None]) -> list[str | None]:
     taken, tried, out = set(), {}, []
     for key in keys:

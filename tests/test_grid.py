@@ -164,3 +164,49 @@ def test_a_range_over_a_million_rows(spark, make_merges):
     assert blocks.count() == 0
     filled = G.fill_merges(grid, merges).where("cells[0].raw = '10'")
     assert filled.count() == 999_990
+
+
+def joins_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_few_ranges_take_one_join(make_grid, make_merges):
+    """A sheet with few ranges hands them to its rows by sheet; no row is looked up by its own key."""
+    filled = G.fill_merges(make_grid([["A", "B"], [None, "x"], [None, "y"]]), make_merges((0, 0, 2, 0)))
+    assert joins_of(filled) == 1
+    assert [[c["raw"] for c in r["cells"]] for r in filled.orderBy("row_idx").collect()] == [["A", "B"], ["A", "x"], ["A", "y"]]
+
+
+def test_sheets_with_few_many_and_chained_ranges(spark, make_grid):
+    """Every sheet is filled as if it stood alone, whichever way its ranges go."""
+    rng = random.Random(7)
+    grids = [[[f"{g}-{r}-{c}" for c in range(4)] for r in range(30)] for g in range(6)]
+    ranges = []
+    for g, n in enumerate([0, 1, 3, G.FEW_RANGES, G.FEW_RANGES + 1, 40]):
+        corners = [(rng.randint(0, 32), rng.randint(0, 3)) for _ in range(n)]
+        ranges.append([(r, c, r + rng.choice([0, 1, 4, 50]), c + rng.randint(0, 2)) for r, c in corners])
+    merges = spark.createDataFrame(
+        [(f"f{g}", "s", i, *m) for g, of_sheet in enumerate(ranges) for i, m in enumerate(of_sheet)],
+        "file_id string, sheet string, merge_idx int, start_row bigint, start_col int, end_row bigint, end_col int",
+    )
+    found = {}
+    for r in G.fill_merges(make_grid(*grids), merges).orderBy("file_id", "row_idx").collect():
+        found.setdefault(r["file_id"], []).append([c["raw"] for c in r["cells"]])
+    assert found == {f"f{g}": plain_merges(cells, ranges[g]) for g, cells in enumerate(grids)}
+
+
+def test_headers_without_repeats_pass_no_python(make_grid):
+    headers = G.detect_headers(make_grid([["name", "value"], ["x", 1]], [["a", "a", None], ["y", 2, 3]], [["p", "q"], ["z", 4]]).where("file_id != 'f1'"))
+    assert "ArrowEvalPython" not in headers._jdf.queryExecution().executedPlan().toString()
+    # One sheet with repeated keys and a column without label changes nothing for the others.
+    both = G.detect_headers(make_grid([["name", "value"], ["x", 1]], [["a", "a", None], ["y", 2, 3]]))
+    assert {r["file_id"]: (r["keys"], r["active_columns"]) for r in both.collect()} == {"f0": (["name", "value"], [0, 1]), "f1": (["a", "a_1", "column_3"], [0, 1, 2])}
+
+
+def test_rows_are_read_once_where_no_sheet_has_notes(make_grid):
+    plain = [["name", "value", "day"], ["x", 1, "mon"], ["total", 1, None], ["y", 2, "tue"]]
+    noted = [["name", "value", "day"], ["x", 1, "mon"], ["* a note", None, None], ["y", 2, "tue"], ["Source: z", None, None], [None, None, None]]
+    _, alone = G.normalise_grid(make_grid(plain))
+    assert joins_of(alone) == 1
+    _, both = G.normalise_grid(make_grid(plain, noted))
+    assert sorted((r["file_id"], r["row_idx"]) for r in both.collect()) == [("f0", 1), ("f0", 3), ("f1", 1), ("f1", 2), ("f1", 3)]

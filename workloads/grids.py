@@ -61,7 +61,8 @@ def _order_line_sheets(spark, sf):
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     lines = lines.withColumn("row_idx", place.cast("bigint"))
     sheet = [F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("file_id"), F.lit("lines").alias("sheet")]
-    orders = lines.groupBy("l_orderkey").agg(F.max("row_idx").alias("end_row"))
+    # The last row is the number of lines, which is counted without numbering them again.
+    orders = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("end_row"))
     merges = orders.select(*sheet, F.lit(0).alias("merge_idx"), F.lit(1).cast("bigint").alias("start_row"), F.lit(0).alias("start_col"), "end_row", F.lit(0).alias("end_col"))
 
     def cell(c, kind="number"):
