@@ -230,7 +230,8 @@ def _scored_head(grid: DataFrame) -> DataFrame:
         .withColumn("previous", F.lag(previous).over(sheet))
     )
     parent = F.when(F.col("previous.row_idx") == F.col("row_idx") - 1, F.col("previous.texts"))
-    rows = rows.withColumn("parent", parent).drop("previous")
+    repeated = F.col("previous.row_idx") == F.col("row_idx")
+    rows = rows.withColumn("parent", parent).withColumn("repeated", repeated).drop("previous")
     n, width = F.col("n_filled"), F.col("sheet_width")
     words_share, density = F.col("n_words") / n, F.col("below_data") / F.col("below_filled")
     banner = F.when((n == 1) & (width > 1), 0.75).when((n == 2) & (width >= 4), 0.4).otherwise(0.0)
@@ -245,11 +246,13 @@ def _sheet_heads(grid: DataFrame) -> DataFrame:
     """One row per sheet: header row, confidence, and a label for every column position (null where there is none)."""
     rows = _scored_head(grid)
     found = F.struct("texts", "parent").alias("head")
+    # Two rows of one number have no order: a sheet's head must not depend on it.
+    refused = F.raise_error(F.concat(F.lit("two rows with number "), F.col("row_idx").cast("string"), F.lit(" in a sheet"))).cast("int")
     best = rows.groupBy(*SHEET_KEY).agg(
         # Highest score, the earliest row on a tie; without any score the first row.
         F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("row_idx")).alias("up"), found))).alias("best"),
         F.max(F.when(F.col("row_idx") == 0, found)).alias("first"),
-        F.max("sheet_width").alias("width"),
+        F.max(F.when(F.col("repeated"), refused).otherwise(F.col("sheet_width"))).alias("width"),
     )
     score = F.coalesce(F.col("best.score"), F.lit(0.1))
     best = best.select(

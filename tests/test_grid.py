@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quillgrid.operators import grid as G
 from quillgrid.sources.audit import audit_bounds, within_bounds
 from quillgrid.sources.delimited import grid_cells, grid_from_cells
@@ -210,3 +212,9 @@ def test_rows_are_read_once_where_no_sheet_has_notes(make_grid):
     assert joins_of(alone) == 1
     _, both = G.normalise_grid(make_grid(plain, noted))
     assert sorted((r["file_id"], r["row_idx"]) for r in both.collect()) == [("f0", 1), ("f0", 3), ("f1", 1), ("f1", 2), ("f1", 3)]
+
+
+def test_two_rows_with_one_number_are_refused(make_grid):
+    grid = make_grid([["name", "value"], ["x", 1]])
+    with pytest.raises(Exception, match="two rows with number 0"):
+        G.detect_headers(grid.unionByName(grid.where("row_idx = 0")))
